@@ -1,0 +1 @@
+"""Intentionally empty: the panel operators are batch only (see README)."""
