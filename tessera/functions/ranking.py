@@ -1,11 +1,20 @@
 """Exact ordering statistics that survive very large groups.
 
 A window over a group sorts the whole group in one task.  Cross-sections can
-hold an arbitrary number of rows, so the helpers here cut groups above
-``hot_rows`` into ordered buckets by a deterministic hash sample of their own
-order keys, rank inside each bucket, and add the bucket offsets.  Smaller groups
-take bucket zero, and AQE removes the then empty sample branch.  Results equal
-the plain window for every input.
+hold an arbitrary number of rows, so the helpers here cut very large groups into
+ordered buckets by a deterministic hash sample of their own order keys, rank
+inside each bucket, and add the bucket offsets.  Results equal the plain window
+for every input.
+
+Only the ``MAX_HOT`` largest groups above ``HOT_ROWS`` rows are cut: any other
+group then holds less than one part in ``MAX_HOT`` of the table and is an
+ordinary task.  That also bounds the broadcast side tables (``MAX_HOT`` groups
+times about ``SPLITS`` cut points).
+
+Whether anything is hot is asked once, by an aggregate job that combines
+map-side and returns one number (:func:`is_bounded`); the plan without hot groups
+is the plain window.  A caller whose groups are limited by construction passes
+``bounded=True`` and skips the question.
 """
 
 from __future__ import annotations
@@ -17,9 +26,28 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import col
 
 HOT_ROWS = 2_000_000
+MAX_HOT = 4096
 SPLITS = 64
 
 
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The few groups too large for one task, with their row count ``_n``; usually empty."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT)
+
+
+def is_bounded(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Action: no group exceeds ``hot_rows``."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (sizes.agg(F.max("_n")).first()[0] or 0) <= hot_rows
+
+
+def _divide(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary groups and rows of hot groups."""
+    hot = F.broadcast(hot_groups(df, keys, hot_rows).select(*keys))
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
+
 def prefix_sum(
     df: DataFrame,
     keys: list[str],
@@ -28,28 +56,32 @@ def prefix_sum(
     out: str,
     hot_rows: int = HOT_ROWS,
     splits: int = SPLITS,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` per ``keys`` in ascending ``order``.
 
     ``order`` must be a total order within the group (negate a number for
     descending).  Keys must not be null.
     """
-    d = df.withColumn("_o", F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)]))
-    d = d.withColumn("_w", col(weight))
-    hot = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if bounded is None:
+        bounded = is_bounded(df, keys, hot_rows)
+    if bounded:
+        w = W.partitionBy(*keys).orderBy(*[col(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(col(weight)).over(w))
+    d = df.select("*", F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"),
+                  col(weight).alias("_w"))
+    hot = hot_groups(d, keys, hot_rows)
+    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / splits))
     cuts = (
         d.select(*keys, "_o")
-        .join(hot, keys)
-        .where(F.pmod(F.xxhash64("_o"), F.greatest(F.lit(1), F.floor(F.col("_n") / splits))) == 0)
+        .join(F.broadcast(hot), keys)
+        .where(F.pmod(F.xxhash64("_o"), step) == 0)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_o")).alias("_cuts"))
     )
-    d = d.join(cuts, keys, "left").withColumn(
-        "_b",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
-        ),
-    )
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
+    d = d.join(F.broadcast(cuts), keys, "left").withColumn(
+        "_b", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(bucket))
     below = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         d.where(F.col("_cuts").isNotNull())
@@ -60,7 +92,7 @@ def prefix_sum(
     inside = W.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
     return (
         d.drop("_cuts")
-        .join(offsets, [*keys, "_b"], "left")
+        .join(F.broadcast(offsets), [*keys, "_b"], "left")
         .withColumn(out, F.sum("_w").over(inside) + F.coalesce(F.col("_off"), F.lit(0)))
         .drop("_o", "_w", "_b", "_off")
     )
@@ -85,43 +117,78 @@ def ntile_of(position: str | Column, n: str | Column, k: int) -> Column:
     )
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str, **kw) -> DataFrame:
-    """Ascending rank with ties sharing their mean rank; null values are unranked.
+def average_rank(
+    df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = HOT_ROWS, bounded: bool | None = None, **kw
+) -> DataFrame:
+    """Ascending rank with ties sharing their mean rank; rows with a null value are dropped.
 
-    Equal values are counted first, so one value shared by most of a group costs
-    one row.
+    Hot groups are first reduced to (value, count), so even one value shared by
+    most of the table costs a single row there.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = prefix_sum(counts, keys, [value], "_c", "_cum", **kw).select(
-        *keys, value, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out)
-    )
-    return df.join(ranked, [*keys, value], "left")
+    known = df.where(F.col(value).isNotNull())
+    w = W.partitionBy(*keys).orderBy(value)
+    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
+
+    def by_window(d: DataFrame) -> DataFrame:
+        return d.withColumn(out, F.rank().over(w) + (ties - 1) / 2)
+
+    if bounded is None:
+        bounded = is_bounded(known, keys, hot_rows)
+    if bounded:
+        return by_window(known)
+    cold, hot = _divide(known, keys, hot_rows)
+    counts = hot.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sum(counts, keys, [value], "_c", "_cum", hot_rows=hot_rows, bounded=False, **kw).select(
+        *keys, value, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
+    return by_window(cold).unionByName(hot.join(ranked, [*keys, value]))
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None, **kw
+    df: DataFrame,
+    keys: list[str],
+    picks: dict[str, tuple[str, float]],
+    weight: str | None = None,
+    hot_rows: int = HOT_ROWS,
+    bounded: bool | None = None,
+    **kw,
 ) -> DataFrame:
-    """Linear-interpolated percentiles per group, exact, without sorting a group in one task.
+    """Exact linear-interpolated percentiles, ``picks`` mapping output to (column, share).
 
-    Values are first reduced to (value, count); positions then come from the
-    distributed running count.  ``weight`` repeats a row that many times.
+    Ordinary groups use the built-in aggregate.  Hot groups are reduced to
+    (value, count) and positions taken from the distributed running count.
+    ``weight`` repeats a row that many times.
     """
-    one = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     gk = keys or ["_all"]
     d = df if keys else df.withColumn("_all", F.lit(0))
-    counts = (
-        d.where(F.col(value).isNotNull()).groupBy(*gk, value).agg(F.sum(one).alias("_c")).where(F.col("_c") > 0)
-    )
-    cum = prefix_sum(counts, gk, [value], "_c", "_cum", **kw)
-    totals = counts.groupBy(*gk).agg(F.sum("_c").alias("_total"))
-    wanted = cum.join(totals, gk).withColumn("_first", F.col("_cum") - F.col("_c"))
-    aggs = []
-    for name, p in probs.items():
+    one = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    freq = () if weight is None else (one,)
+    builtin = [F.percentile(F.col(c), F.lit(float(p)), *freq).alias(out) for out, (c, p) in picks.items()]
+    if bounded is None:
+        bounded = is_bounded(d, gk, hot_rows)
+    if bounded:
+        return df.groupBy(*keys).agg(*builtin)
+    cold, hot = _divide(d, gk, hot_rows)
+    near = cold.groupBy(*gk).agg(*builtin)
+
+    columns = sorted({c for c, _ in picks.values()})
+    cells = [F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v"), one.alias("_one")) for c in columns]
+    long = hot.select(*gk, F.inline(F.array(*cells))).where(F.col("_v").isNotNull() & (F.col("_one") > 0))
+    lk = [*gk, "_m"]
+    counts = long.groupBy(*lk, "_v").agg(F.sum("_one").alias("_c"))
+    cum = prefix_sum(counts, lk, ["_v"], "_c", "_cum", hot_rows=hot_rows, bounded=False, **kw)
+    wanted = cum.join(long.groupBy(*lk).agg(F.sum("_one").alias("_total")), lk)
+    first = F.col("_cum") - F.col("_c")
+
+    def pick(c: str, p: float) -> Column:
         pos = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at_lo = F.max(F.when((F.col("_first") <= lo) & (lo < F.col("_cum")), F.col(value)))
-        at_hi = F.max(F.when((F.col("_first") <= hi) & (hi < F.col("_cum")), F.col(value)))
-        frac = F.max(pos - lo)
-        aggs.append((at_lo + (at_hi - at_lo) * frac).alias(name))
-    out = wanted.groupBy(*gk).agg(*aggs)
-    return out if keys else out.drop("_all")
+        mine = F.col("_m") == c
+
+        def at(k: Column) -> Column:
+            return F.max(F.when(mine & (first <= k) & (k < F.col("_cum")), F.col("_v")))
+
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        return lo + (hi - lo) * F.max(F.when(mine, pos - F.floor(pos)))
+
+    far = wanted.groupBy(*gk).agg(*[pick(c, p).alias(out) for out, (c, p) in picks.items()])
+    both = near.unionByName(far)
+    return both if keys else both.drop("_all")

@@ -104,7 +104,7 @@ def market_stats(panel: DataFrame, medians: dict[str, str], **kw) -> DataFrame:
     """Cross-section per (country, date): mean, dispersion, breadth and medians.
 
     Breadth divides by every row; an unknown return is not an advance.  Medians
-    of all measures come from one exact distributed selection over a long form.
+    of all measures come from one exact aggregate.
     """
     keys = ["country", "date"]
     base = panel.groupBy(*keys).agg(
@@ -114,11 +114,7 @@ def market_stats(panel: DataFrame, medians: dict[str, str], **kw) -> DataFrame:
     )
     if not medians:
         return base
-    long = panel.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(out).alias("measure"), F.col(src).cast("double").alias("v")) for out, src in medians.items()])))
-    mid = exact_quantiles(long, [*keys, "measure"], "v", {"m": 0.5}, **kw)
-    wide = mid.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("measure") == out, F.col("m"))).alias(out) for out in medians])
+    wide = exact_quantiles(panel, keys, {out: (src, 0.5) for out, src in medians.items()}, **kw)
     return base.join(wide, keys, "left")
 
 

@@ -1,5 +1,33 @@
-"""Flagship plan (filled in with the universe operators)."""
+"""Flagship plan: liquid universe, trailing return buckets, forward return."""
 
+from __future__ import annotations
 
-def liquidity_momentum(spark, sf, buckets=10):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.expr import attach_stats, by_asset, compounded
+from tessera.functions.ranking import ntile_of, ordinal
+from tessera.operators import labels, universe
+from tessera.plans import views
+
+
+def liquidity_momentum(
+    spark: SparkSession, sf: str, buckets: int = 10, top_k: int = 100, liquidity: int = 3, momentum: int = 3
+) -> DataFrame:
+    """Mean forward 5-session excess return by trailing-return bucket of the ``top_k`` liquid assets.
+
+    All asset windows share one exchange on (country, asset); the cross-section
+    is cut to ``top_k`` before it is shuffled by date.
+    """
+    p = views.panel(spark, sf, "user", rf=True)
+    p = p.withColumn("momentum", compounded("ret", momentum, by_asset()))
+    p = labels.forward_excess(p)
+    picked = universe.liquid_universe(p, liquidity, top_k).where(
+        F.col("momentum").isNotNull() & F.col("target").isNotNull())
+    keys = ["country", "date"]
+    ranked = ordinal(attach_stats(picked, keys, F.count(F.lit(1)).alias("n")), keys, ["momentum", "asset"], "pos",
+                     bounded=True)
+    ranked = ranked.where(F.col("n") >= buckets).withColumn("bucket", ntile_of("pos", "n", buckets))
+    return ranked.groupBy("bucket").agg(
+        F.count_distinct("date").alias("n_dates"), F.count(F.lit(1)).alias("n_rows"),
+        F.avg("momentum").alias("mean_momentum"), F.avg("target").alias("mean_target_bps"))

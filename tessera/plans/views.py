@@ -74,8 +74,8 @@ def _bars(ticks: DataFrame) -> DataFrame:
             F.avg("tax").alias("t"),
             F.count(F.lit(1)).alias("n"),
         )
-        .withColumn("bid", F.when(quoted, F.col("close") * (1 - F.col("d") / 13)))
-        .withColumn("ask", F.when(quoted, F.col("close") * (1 + F.col("t") / 13)))
+        .withColumn("bid", F.when(quoted, F.floor(F.col("close") * (1 - F.col("d") / 13) * 100) / 100))
+        .withColumn("ask", F.when(quoted, F.ceil(F.col("close") * (1 + F.col("t") / 13) * 100) / 100))
         .drop("d", "t", "n")
     )
 
@@ -211,8 +211,8 @@ _TICKS = """
   arg_max(price, k) AS close, sum(qty) AS volume, avg(discount) AS d, avg(tax) AS t, count(*) AS n
   FROM {name}_ticks GROUP BY asset, date)"""
 
-_QUOTE = ("CASE WHEN n > 1 THEN close * (1 - d / 13) END AS bid, "
-          "CASE WHEN n > 1 THEN close * (1 + t / 13) END AS ask")
+_QUOTE = ("CASE WHEN n > 1 THEN floor(close * (1 - d / 13) * 100) / 100 END AS bid, "
+          "CASE WHEN n > 1 THEN ceil(close * (1 + t / 13) * 100) / 100 END AS ask")
 
 SUPPLIER_COUNTRY = """
 supplier_country AS (SELECT s_suppkey AS asset, r_name AS country FROM supplier
