@@ -14,6 +14,7 @@ from tessera.functions import ranking as rk
 from tessera.functions.expr import attach_stats, moment_corr, normal_quantile, safe_div
 
 CLIP = (0.001, 0.999)
+DIGITS = 12
 CROSS = ["country", "date"]
 
 
@@ -35,17 +36,20 @@ def common_universe(scores: DataFrame, seeds: int) -> DataFrame:
 def mean_available(scores: DataFrame) -> DataFrame:
     """Mean normal score over the seeds that cover the asset."""
     z = rank_normal(scores, [*CROSS, "seed"])
-    return z.groupBy(*CROSS, "asset").agg(F.avg("z").alias("ensemble"), F.count(F.lit(1)).alias("n_seeds"))
+    return z.groupBy(*CROSS, "asset").agg(F.round(F.avg("z"), DIGITS).alias("ensemble"), F.count(F.lit(1)).alias("n_seeds"))
 
 
 def candidates(z: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean, median and the two weighted combinations of seed normal scores.
 
-    ``weights``: one row per seed with ``w_ic`` and ``w_tb``.
+    ``weights``: one row per seed with ``w_ic`` and ``w_tb``.  Seeds arrive in no
+    fixed order, so sums are rounded to make equal scores tie.
     """
     return z.join(F.broadcast(weights), "seed").groupBy(*CROSS, "asset").agg(
-        F.avg("z").alias("mean_rank"), F.percentile("z", F.lit(0.5)).alias("median_rank"),
-        F.sum(F.col("z") * F.col("w_ic")).alias("ic_weighted"), F.sum(F.col("z") * F.col("w_tb")).alias("tb_weighted"))
+        F.round(F.avg("z"), DIGITS).alias("mean_rank"),
+        F.round(F.percentile("z", F.lit(0.5)), DIGITS).alias("median_rank"),
+        F.round(F.sum(F.col("z") * F.col("w_ic")), DIGITS).alias("ic_weighted"),
+        F.round(F.sum(F.col("z") * F.col("w_tb")), DIGITS).alias("tb_weighted"))
 
 
 def seed_weights(seed_metrics: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from tessera.plans.catalog.cleaning import FOLDS, SPLIT_SQL
 from tessera.plans.catalog.featureset import forward_sql, full, labelled
 from tessera.plans.catalog.universes import TOP, UNI, uni_sup
 from tessera.plans.registry import query
+from tessera.session import materialise
 
 SESSIONS = 5
 BASE = v.panel_sql("sup", rf=True) + "," + forward_sql(1, SESSIONS) + f""",
@@ -30,7 +31,7 @@ def base(spark, sf):
     p = p.withColumn("r3", compounded("ret", 3, by_asset())).where(F.col("r3").isNotNull())
     p = p.withColumn("split", clean.split_by_date("date", FOLDS, "outside"))
     p = p.withColumn("zero", forecast.zero()).withColumn("mom", F.col("r3") * 1000).withColumn("rev", -F.col("mom"))
-    return forecast.expanding_mean(p, SESSIONS, F.col("split") == "train")
+    return materialise(forecast.expanding_mean(materialise(p), SESSIONS, F.col("split") == "train"))
 
 
 def forecasts(spark, sf, models=MODELS):

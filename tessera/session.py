@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, name: str = "tessera") -> SparkSession:
@@ -35,3 +36,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Action: write a stage table to the shared checkpoint folder and read it back.
+
+    Used where a derived table feeds several branches: it is computed once, later
+    scans prune its columns, and a lost executor costs a re-read, not the lineage.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(schema).parquet(folder)
