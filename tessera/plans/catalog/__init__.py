@@ -1,4 +1,4 @@
 """All registered queries; importing a family registers it."""
 
-from tessera.plans.catalog import calendars, cleaning, ensembles, featureset, forecasts, risks, universes  # noqa: F401
+from tessera.plans.catalog import calendars, cleaning, ensembles, featureset, forecasts, portfolios, risks, universes  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401
