@@ -21,49 +21,59 @@ SCHEMA = (
 )
 
 
-def _step(pre: pd.Series, want: pd.Series, cap: float, first: bool) -> tuple[pd.Series, float, bool]:
+def _step(pre: dict, want: dict, cap: float, first: bool) -> tuple[dict, float, bool]:
     """Blend from the carried weights toward the wanted ones within a turnover cap."""
-    left = pre[~pre.index.isin(want.index)].sum()
-    kept = pre.reindex(want.index).fillna(0.0)
-    if first or kept.sum() <= 0:
+    kept = {a: pre.get(a, 0.0) for a in want}
+    total = sum(kept.values())
+    if first or total <= 0:
         return want, 1.0, False
-    start = kept / kept.sum()
-    distance = (want - start).abs().sum()
-    room = cap - 2 * left
-    blend = 1.0 if distance <= 1e-15 else min(max(room / distance, 0.0), 1.0)
-    return start + blend * (want - start), blend, blend < 1.0
+    left = sum(w for a, w in pre.items() if a not in want)
+    start = {a: w / total for a, w in kept.items()}
+    distance = sum(abs(want[a] - start[a]) for a in want)
+    blend = 1.0 if distance <= 1e-15 else min(max((cap - 2 * left) / distance, 0.0), 1.0)
+    return {a: start[a] + blend * (want[a] - start[a]) for a in want}, blend, blend < 1.0
+
+
+def _carry(pre: dict, want: dict) -> tuple[dict, float, bool]:
+    """Keep drifted weights; names that left hand their weight to those that stay."""
+    kept = {a: pre.get(a, 0.0) for a in want}
+    total = sum(kept.values())
+    return ({a: w / total for a, w in kept.items()} if total > 0 else want), 1.0, False
 
 
 def _fold(cap_column: str, hold: bool):
     def run(book: pd.DataFrame) -> pd.DataFrame:
-        out, pre, first = [], pd.Series(dtype=float), True
-        cap = float(book[cap_column].iloc[0])
-        head = {k: book[k].iloc[0] for k in BOOK}
+        cap, head = float(book[cap_column].iloc[0]), [book[k].iloc[0] for k in BOOK]
+        pre: dict = {}
+        rows, first = [], True
         for session, g in book.sort_values(["execution_session", "asset"]).groupby("execution_session"):
-            want = g.dropna(subset=["target_weight"]).set_index("asset")["target_weight"]
-            if want.empty:
+            assets, targets = g["asset"].tolist(), g["target_weight"].tolist()
+            want = {a: w for a, w in zip(assets, targets) if w == w}
+            if not want:
                 continue
-            want = want / want.sum()
-            if len(pre):
-                grown = pre * (1 + g.set_index("asset")["growth"].reindex(pre.index).fillna(0.0))
-                pre = grown / grown.sum()
-            if hold and len(pre):
-                kept = pre.reindex(want.index).fillna(0.0)
-                want = kept / kept.sum() if kept.sum() > 0 else want
-                new, blend, capped = want, 1.0, False
-            else:
-                new, blend, capped = _step(pre, want, cap, first)
-            names = new.index.union(pre.index)
-            a, b = pre.reindex(names).fillna(0.0), new.reindex(names).fillna(0.0)
-            out.append(pd.DataFrame({
-                **head, "execution_session": session, "asset": names.astype(str), "pre_weight": a.to_numpy(),
-                "target_weight": b.to_numpy(), "turnover": float((b - a).abs().sum()), "blend": blend, "capped": capped}))
-            pre, first = new[new > 0], False
-        return pd.concat(out, ignore_index=True)
+            total = sum(want.values())
+            want = {a: w / total for a, w in want.items()}
+            if pre:
+                growth = dict(zip(assets, g["growth"].tolist()))
+                grown = {a: w * (1 + growth.get(a, 0.0)) for a, w in pre.items()}
+                value = sum(grown.values())
+                pre = {a: w / value for a, w in grown.items()}
+            new, blend, capped = _carry(pre, want) if hold and pre else _step(pre, want, cap, first)
+            names = sorted(set(new) | set(pre))
+            turnover = sum(abs(new.get(a, 0.0) - pre.get(a, 0.0)) for a in names)
+            rows += [(*head, session, str(a), pre.get(a, 0.0), new.get(a, 0.0), turnover, blend, capped) for a in names]
+            pre, first = {a: w for a, w in new.items() if w > 0}, False
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
 
+def _spread(targets: DataFrame) -> DataFrame:
+    """One task per few books: the fold is compute-bound, so small input must not be coalesced."""
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return targets.repartition(n, *BOOK).groupBy(*BOOK)
+
+
 def with_growth(targets: DataFrame, held: DataFrame) -> DataFrame:
     """Targets plus the growth of every name held since the previous execution.
 
@@ -81,9 +91,9 @@ def rebalance(targets: DataFrame, cap: str = "turnover_cap") -> DataFrame:
 
     ``growth`` is the asset's return since the previous execution.
     """
-    return targets.groupBy(*BOOK).applyInPandas(_fold(cap, hold=False), SCHEMA)
+    return _spread(targets).applyInPandas(_fold(cap, hold=False), SCHEMA)
 
 
 def buy_and_hold(targets: DataFrame, cap: str = "turnover_cap") -> DataFrame:
     """Equal start, then drift; the weight of names that leave goes to those that stay."""
-    return targets.groupBy(*BOOK).applyInPandas(_fold(cap, hold=True), SCHEMA)
+    return _spread(targets).applyInPandas(_fold(cap, hold=True), SCHEMA)
