@@ -23,11 +23,13 @@ def expanding_quantile(
     o = o.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("_at")))
     cuts = F.broadcast(o.groupBy(key).agg(F.sort_array(F.collect_list("_at")).alias("_cuts")))
     seen = F.size(F.filter("_cuts", lambda c: c <= F.col(order))) + 1
+    known = rows.where(F.col(value).isNotNull())
+    # distinct sessions are bounded by the calendar: place those, not every row
+    place = known.select(key, order).distinct().join(cuts, key).select(
+        key, order, seen.alias("_k"), F.size("_cuts").alias("_last")).where(F.col("_k") <= F.col("_last"))
     base = (
-        rows.where(F.col(value).isNotNull())
-        .join(cuts, key)
-        .select(key, F.col(value).alias("_v"), seen.alias("_k"), F.size("_cuts").alias("_last"))
-        .where(F.col("_k") <= F.col("_last"))
+        known.join(F.broadcast(place), [key, order])
+        .select(key, F.col(value).alias("_v"), "_k", "_last")
         .withColumn("_b", F.floor(F.col("_v") / width))
         .groupBy(key, "_b", "_v", "_k", "_last").agg(F.count(F.lit(1)).alias("_c"))
     )

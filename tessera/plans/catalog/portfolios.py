@@ -23,11 +23,17 @@ sig AS (SELECT f.country, f.date, f.session_id, f.asset, mom, var, spread_bps, f
   WHERE market_cap_rank <= {POOL} AND mom IS NOT NULL)"""
 
 
-def signals(spark, sf):
+def staged_panel(spark, sf):
+    """The panel columns a ledger run needs, written once."""
+    p = v.panel(spark, sf, "sup", rf=True)
+    return materialise(p.select("country", "asset", "date", "session_id", "ret", "rf_daily", "spread_bps"))
+
+
+def signals(spark, sf, panel=None):
     """Month-end cross-sections with score, variance, spread and forward return."""
     c = v.calendar(spark, sf, "sup")
     ends = cal.month_end_sessions(c).select("country", "date")
-    p = labels.forward_excess(v.panel(spark, sf, "sup", rf=True))
+    p = labels.forward_excess(v.panel(spark, sf, "sup", rf=True) if panel is None else panel)
     w = by_asset()
     p = p.withColumn("mom", compounded("ret", 3, w)).withColumn("var", full_frame(F.var_pop, "ret", 3, w))
     p = p.join(F.broadcast(ends), ["country", "date"], "left_semi").where(F.col("mom").isNotNull())
@@ -96,15 +102,14 @@ rates AS (SELECT s.*, 0.001 AS c0, greatest(coalesce(q / 20000, 0.001), 0) AS c1
   JOIN own USING (country, asset, session_id))"""
 
 
-def rates(spark, sf, s=None):
-    s = signals(spark, sf) if s is None else s
-    quotes = v.panel(spark, sf, "sup").select("country", "asset", "session_id", "spread_bps")
-    return portfolio.cost_rates(s, materialise(quotes))
+def rates(panel, s):
+    return portfolio.cost_rates(s, panel.select("country", "asset", "session_id", "spread_bps"))
 
 
 @query("p06_cost_rates", "country date:d asset:i c0:f9 c1:f9 c2:f9", SIG + "," + RATES, "SELECT * FROM rates")
 def p06(spark, sf):
-    return rates(spark, sf)
+    panel = staged_panel(spark, sf)
+    return rates(panel, signals(spark, sf, panel))
 
 
 BOOKS = ",".join([SIG, EW, TK, CP, RATES]) + """,
@@ -167,11 +172,12 @@ class Books:
     """Stage tables of one ledger run."""
 
     def __init__(self, spark, sf, scenario="c2"):
-        self.calendar = v.calendar(spark, sf, "sup")
-        self.signals = signals(spark, sf)
-        self.rates = materialise(rates(spark, sf, self.signals))
+        panel = staged_panel(spark, sf)
+        self.calendar = materialise(v.calendar(spark, sf, "sup"))
+        self.signals = signals(spark, sf, panel)
+        self.rates = materialise(rates(panel, self.signals))
         self.weights = materialise(_weights(self.signals, self.rates, scenario))
-        self.returns = v.panel(spark, sf, "sup").select("country", "asset", "session_id", "ret")
+        self.returns = panel.select("country", "asset", "session_id", "ret")
 
     def held(self):
         return materialise(ledger.positions(self.weights, self.returns, self.calendar))

@@ -61,7 +61,7 @@ def f19(spark, sf):
     return sequence.long_form(_assembled(spark, sf).where(F.element_at("slots", -1).isNull()))
 
 
-@query("f20_sequence_summaries", "country asset:i session_id:i ret_last:f ret_mean:f ret_std:f ret_min:f ret_max:f close_mean:f4", SIGNALS,
+@query("f20_sequence_summaries", "country asset:i session_id:i ret_last:f ret_mean:f ret_std:f ret_min:f ret_max:f close_mean:f", SIGNALS,
        """SELECT country, asset, session_id, max(CASE WHEN step = 7 THEN ret END) AS ret_last, avg(ret) AS ret_mean,
   stddev_pop(ret) AS ret_std, min(ret) AS ret_min, max(ret) AS ret_max, avg(close) AS close_mean FROM lf GROUP BY 1, 2, 3""")
 def f20(spark, sf):
