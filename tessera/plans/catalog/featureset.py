@@ -134,12 +134,6 @@ market AS (SELECT country, date, avg(ret) AS market_return, stddev_samp(ret) AS
 MEDIANS = {"median_vol": "vol_3", "median_spread": "spread_bps", "median_amihud": "amihud"}
 
 
-def feats_sup(spark, sf):
-    p = features.rolling_features(v.panel(spark, sf, "sup"), (), (3,), 3)
-    # the volatility here bridges gaps, as all but the gated horizon do
-    return p.withColumn("amihud", features.illiquidity())
-
-
 def _feats_vol3(spark, sf):
     p = features.rolling_features(v.panel(spark, sf, "sup"), (), (3,), 60)
     return p.withColumn("amihud", features.illiquidity())

@@ -67,7 +67,6 @@ members AS (SELECT p.*, u.universe_month, u.market_cap, u.market_cap_rank,
   r3 IS NOT NULL AND spread_bps IS NOT NULL AS complete
   FROM rolled p JOIN uni u ON u.country = p.country AND u.asset = p.asset
   AND u.universe_month = date_trunc('month', p.date) WHERE u.eligible)"""
-COMPLETE = features.feature_complete
 
 
 def members(spark, sf):
