@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +30,30 @@ def local_session(cpus: int | str = 8, name: str = "tessera") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a scratch one only if unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a scratch one only for a local master without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(folder)
-    return folder
+    if not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    copy = shutil.copytree(os.path.join(root, "tessera"), os.path.join(folder, "src", "tessera"), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "tessera-package"), "zip", os.path.dirname(copy)))
+    context._tessera_shipped = True
 
 
 def materialise(df: DataFrame) -> DataFrame:
