@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
+TOXIC = 0.7
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field scores as toxic go; it is trained on labelled documents among these."""
+    from tessera.llm.toxicity import tagged, train
+
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.withColumn("_toxic", tagged(model, F.col("text"))["score"] >= TOXIC).where(~F.col("_toxic")).select(*COLUMNS)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     from tessera.llm.exact_dedup import dedup
@@ -19,6 +28,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup(docs, carry=COLUMNS).where("kept").select("carried.*")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    from tessera.llm.near_dedup import near_groups
+
+    return near_groups(docs, carry=COLUMNS).where("stays").select("carried.*")
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     from tessera.llm.mixing import mix
@@ -35,7 +51,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing), ("encoding", encoding)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
 
 #: SQL cannot express the stages that are trained or hashed; tests compare with a brute-force version.
 ORACLE_SQL = None

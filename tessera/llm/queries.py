@@ -130,3 +130,43 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.bpe import encode
 
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query("op2_quality_fourier_ridge")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a calibrated kernel ridge."""
+    from tessera.llm.labelled import held_out
+    from tessera.llm.quality import quality_score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return out.select("*", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+@query("op4_toxicity_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and offending spans of every document by a linear-chain field."""
+    from tessera.llm.labelled import held_out
+    from tessera.llm.toxicity import tagged, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), tagged(model, F.col("text")).alias("t"))
+    return out.select("doc_id", "held_out", F.col("t.score").alias("score"), F.when(F.col("t.score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"), F.size("t.spans").alias("n_spans"))
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    from tessera.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tessera.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
