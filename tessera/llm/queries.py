@@ -170,3 +170,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pages import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_lattice_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label."""
+    from tessera.llm.lattice import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
