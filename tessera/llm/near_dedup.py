@@ -98,7 +98,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _close_pairs(key: int, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs of unlike components whose first shared band is ``key`` and whose sketches are near."""
     most = most_odd_bits(PERCENT / 100)
-    la, lb = np.stack(left["sketch"]), np.stack(right["sketch"])
+    la, lb = (np.stack(x["sketch"]).view(np.uint64) for x in (left, right))  # bit counts are of magnitudes
     ba, bb = np.stack(left["bands"]), np.stack(right["bands"])
     ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
     place = int(np.flatnonzero(ba[0] == key)[0])
