@@ -1,20 +1,17 @@
 """Exact ordering statistics that survive very large groups.
 
 A window over a group sorts the whole group in one task.  Cross-sections can
-hold an arbitrary number of rows, so the helpers here cut very large groups into
+hold an arbitrary number of rows, so the helpers here cut large groups into
 ordered buckets by a deterministic hash sample of their own order keys, rank
 inside each bucket, and add the bucket offsets.  Results equal the plain window
 for every input.
 
-Only the ``MAX_HOT`` largest groups above ``HOT_ROWS`` rows are cut: any other
-group then holds less than one part in ``MAX_HOT`` of the table and is an
-ordinary task.  That also bounds the broadcast side tables (``MAX_HOT`` groups
-times about ``SPLITS`` cut points).
-
-Whether anything is hot is asked once, by an aggregate job that combines
-map-side and returns one number (:func:`is_bounded`); the plan without hot groups
-is the plain window.  A caller whose groups are limited by construction passes
-``bounded=True`` and skips the question.
+Cut points are sampled at one fixed rate, so a group has as many buckets as its
+size asks for, however many such groups there are, and no side table is forced
+into a broadcast.  Whether any group is that large is asked once, by an aggregate
+job that combines map-side and returns one number (:func:`is_bounded`); if none
+is, every group is one bucket and the plan is the plain window.  A caller whose
+groups are limited by construction passes ``bounded=True`` and skips the question.
 """
 
 from __future__ import annotations
@@ -26,14 +23,16 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import col
 
 HOT_ROWS = 2_000_000
-MAX_HOT = 4096
-SPLITS = 64
+#: One in this many order keys is a cut point, the mean size of a bucket.
+BUCKET_ROWS = 500_000
+#: Cut points per step of the two-step search.
+STEP = 128
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The few groups too large for one task, with their row count ``_n``; usually empty."""
+    """The groups too large for one task."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT)
+    return sizes.where(F.col("_n") > hot_rows)
 
 
 def is_bounded(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
@@ -44,7 +43,7 @@ def is_bounded(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool
 
 def _divide(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary groups and rows of hot groups."""
-    hot = F.broadcast(hot_groups(df, keys, hot_rows).select(*keys))
+    hot = hot_groups(df, keys, hot_rows).select(*keys)
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
@@ -55,7 +54,7 @@ def prefix_sum(
     weight: str | Column,
     out: str,
     hot_rows: int = HOT_ROWS,
-    splits: int = SPLITS,
+    bucket_rows: int = BUCKET_ROWS,
     bounded: bool | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` per ``keys`` in ascending ``order``.
@@ -70,18 +69,15 @@ def prefix_sum(
         return df.withColumn(out, F.sum(col(weight)).over(w))
     d = df.select("*", F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"),
                   col(weight).alias("_w"))
-    hot = hot_groups(d, keys, hot_rows)
-    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / splits))
-    cuts = (
-        d.select(*keys, "_o")
-        .join(F.broadcast(hot), keys)
-        .where(F.pmod(F.xxhash64("_o"), step) == 0)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_o")).alias("_cuts"))
-    )
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
-    d = d.join(F.broadcast(cuts), keys, "left").withColumn(
-        "_b", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(bucket))
+    hot = hot_groups(d, keys, hot_rows).select(*keys)
+    sample = d.where(F.pmod(F.xxhash64(*keys, "_o"), F.lit(bucket_rows)) == 0).select(*keys, "_o").join(hot, keys, "left_semi")
+    cuts = sample.groupBy(*keys).agg(F.sort_array(F.collect_set("_o")).alias("_cuts"))
+    firsts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / STEP).cast("int")), lambda k: F.element_at("_cuts", k * STEP + 1))
+    d = d.join(cuts.withColumn("_firsts", firsts), keys, "left")
+    # cut points below the row: whole steps before the last first one, then those of its step
+    steps = F.size(F.filter("_firsts", lambda c: c < F.col("_o")))
+    rest = F.size(F.filter(F.slice("_cuts", (steps - 1) * STEP + 1, F.lit(STEP)), lambda c: c < F.col("_o")))
+    d = d.withColumn("_b", F.when(F.col("_cuts").isNull() | (steps == 0), F.lit(0)).otherwise((steps - 1) * STEP + rest))
     below = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         d.where(F.col("_cuts").isNotNull())
@@ -89,13 +85,9 @@ def prefix_sum(
         .agg(F.sum("_w").alias("_t"))
         .select(*keys, "_b", F.sum("_t").over(below).alias("_off"))
     )
+    d = d.drop("_cuts", "_firsts").join(offsets, [*keys, "_b"], "left").repartition(*keys, "_b")
     inside = W.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        d.drop("_cuts")
-        .join(F.broadcast(offsets), [*keys, "_b"], "left")
-        .withColumn(out, F.sum("_w").over(inside) + F.coalesce(F.col("_off"), F.lit(0)))
-        .drop("_o", "_w", "_b", "_off")
-    )
+    return d.withColumn(out, F.sum("_w").over(inside) + F.coalesce(F.col("_off"), F.lit(0))).drop("_o", "_w", "_b", "_off")
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str | Column], out: str, **kw) -> DataFrame:

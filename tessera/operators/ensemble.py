@@ -108,8 +108,8 @@ def seed_agreement(scores: DataFrame, bounded: bool | None = None) -> DataFrame:
 
 
 def consensus(z: DataFrame) -> DataFrame:
-    """Mean, spread and their ratio over seeds."""
-    sd = F.stddev_pop("z")
+    """Mean, spread and their ratio over seeds; rounding keeps equal seeds at spread zero."""
+    sd = F.round(F.stddev_pop(F.round("z", DIGITS)), DIGITS)
     return z.groupBy(*CROSS, "asset").agg(
         F.avg("z").alias("mean_rank"), sd.alias("sd_rank"), (F.avg("z") / (sd + 1e-8)).alias("consensus"))
 

@@ -80,7 +80,7 @@ def summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if("rank_defined").alias("rank_defined_dates"),
         F.avg(ic).alias("mean_ic"),
         F.percentile(ic, F.lit(0.5)).alias("median_ic"),
-        F.avg(F.when(ic > CONSTANT, 1.0).when(ic.isNotNull(), 0.0)).alias("hit_rate"),
+        F.avg(F.when(F.round(ic, 12) > 0, 1.0).when(ic.isNotNull(), 0.0)).alias("hit_rate"),
         _icir(F.avg(ic), sd).alias("icir"),
         F.avg("top_minus_bottom").alias("top_minus_bottom"),
         F.avg("pearson_ic").alias("pearson_ic"),

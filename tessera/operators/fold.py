@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import safe_div
+from tessera.session import ship_package
 
 BOOK = ["strategy", "country", "scenario"]
 SCHEMA = (
@@ -35,10 +36,10 @@ def _step(pre: dict, want: dict, cap: float, first: bool) -> tuple[dict, float,
 
 
 def _carry(pre: dict, want: dict) -> tuple[dict, float, bool]:
-    """Keep drifted weights; names that left hand their weight to those that stay."""
+    """Keep drifted weights; the weight of names that left is shared equally by the valid names."""
     kept = {a: pre.get(a, 0.0) for a in want}
-    total = sum(kept.values())
-    return ({a: w / total for a, w in kept.items()} if total > 0 else want), 1.0, False
+    left = sum(w for a, w in pre.items() if a not in want)
+    return {a: w + left / len(want) for a, w in kept.items()}, 1.0, False
 
 
 def _fold(cap_column: str, hold: bool):
@@ -70,6 +71,7 @@ def _fold(cap_column: str, hold: bool):
 
 def _spread(targets: DataFrame) -> DataFrame:
     """One task per few books: the fold is compute-bound, so small input must not be coalesced."""
+    ship_package(targets.sparkSession)
     n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return targets.repartition(n, *BOOK).groupBy(*BOOK)
 
@@ -95,5 +97,5 @@ def rebalance(targets: DataFrame, cap: str = "turnover_cap") -> DataFrame:
 
 
 def buy_and_hold(targets: DataFrame, cap: str = "turnover_cap") -> DataFrame:
-    """Equal start, then drift; the weight of names that leave goes to those that stay."""
+    """Equal start, then drift; the weight of names that leave is shared equally by the valid names."""
     return _spread(targets).applyInPandas(_fold(cap, hold=True), SCHEMA)

@@ -41,7 +41,9 @@ def _centred(x: str, weights: list[float] | None = None) -> Column:
         mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
     else:
         mean = _dot(x, F.array(*[F.lit(w) for w in weights]))
-    return F.transform(x, lambda v: v - mean)
+    # the mean is a field of a lambda variable, so it is computed once per window and not once per element
+    held = F.array(F.struct(F.col(x).alias("x"), mean.alias("mean")))
+    return F.element_at(F.transform(held, lambda h: F.transform(h.x, lambda v: v - h.mean)), 1)
 
 
 def ewma_weights(n: int, half_life: float) -> list[float]:
@@ -66,19 +68,19 @@ def covariance(rows: DataFrame, weights: list[float] | None = None, size: int =
 
 
 def shrinkage(rows: DataFrame, size: int = tiles.SIZE) -> DataFrame:
-    """Ledoit-Wolf constants per group: assets, scale ``mu``, and intensity ``rho``.
+    """Ledoit-Wolf constants per group: assets, scale ``mu``, and intensity ``rho`` (0 for one asset).
 
     The sums over all asset pairs are folds of each row over the tiles.
     """
     d = rows.where("valid").select(*GROUP, "asset", _centred("x").alias("x"))
-    side = tiles.tiles(d, GROUP, "asset", ["x"], size)
-    sq = F.transform("x", lambda v: v * v)
-    met = d.join(side, GROUP).withColumn("x2", sq)
+    d = d.withColumn("x2", F.transform("x", lambda v: v * v))
+    side = tiles.tiles(d, GROUP, "asset", ["x", "x2"], size)
+    met = d.join(side, GROUP)
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m"))
 
     def fold(a, m):
         dot = _dot("x", m.x)
-        four = _dot("x2", F.transform(m.x, lambda v: v * v))
+        four = _dot("x2", m.x2)
         return F.struct((a.s + dot * dot).alias("s"), (a.m + four).alias("m"))
 
     sums = met.select(*GROUP, F.aggregate("members", zero, fold).alias("f")).groupBy(*GROUP).agg(
@@ -89,7 +91,7 @@ def shrinkage(rows: DataFrame, size: int = tiles.SIZE) -> DataFrame:
     return (
         diag.join(sums, GROUP)
         .withColumn("mu", F.col("t") / n / p)
-        .withColumn("delta", (F.col("s2") / (n * n) - p * F.col("mu") * F.col("mu")) / p)
+        .withColumn("delta", F.when(p > 1, (F.col("s2") / (n * n) - p * F.col("mu") * F.col("mu")) / p).otherwise(0.0))
         .withColumn("beta", F.least((F.col("m4") / n - F.col("s2") / (n * n)) / (p * n), "delta"))
         .withColumn("rho", F.coalesce(F.when(F.col("delta") > 0, safe_div("beta", "delta")), F.lit(0.0)))
         .select(*GROUP, "p", "n", "mu", "delta", "rho")

@@ -76,9 +76,9 @@ def liquid_universe(panel: DataFrame, n: int, k: int, keys=("country", "date"))
     return top_k(liquid, list(keys), [F.desc("liquidity"), F.asc("asset")], k, "liquidity_rank")
 
 
-def available_top_n(members: DataFrame, complete: Column, pool: int, n: int) -> DataFrame:
-    """Best ``n`` by size among the first ``pool`` ranks with complete features."""
-    ok = members.where((F.col("market_cap_rank") <= pool) & complete)
+def available_top_n(members: DataFrame, complete: Column, pool: int | None, n: int) -> DataFrame:
+    """Best ``n`` by size with complete features, among the first ``pool`` ranks if given."""
+    ok = members.where(complete if pool is None else (F.col("market_cap_rank") <= pool) & complete)
     return top_k(ok, ["country", "date"], [F.asc("market_cap_rank"), F.asc("asset")], n)
 
 

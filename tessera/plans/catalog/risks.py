@@ -24,7 +24,7 @@ cov AS (SELECT a.country, a.date, a.asset AS asset_i, b.asset AS asset_j, sum(a.
   GROUP BY 1, 2, 3, 4),
 lw0 AS (SELECT country, date, count_if(asset_i = asset_j) AS p, sum(CASE WHEN asset_i = asset_j THEN m2 END) / {N} AS tr,
   sum(m2 * m2) / {N * N} AS s2, sum(m4) AS m4 FROM cov GROUP BY 1, 2),
-lw1 AS (SELECT *, tr / p AS mu, (s2 - tr * tr / p) / p AS delta, (m4 / {N} - s2) / (p * {N}) AS b FROM lw0),
+lw1 AS (SELECT *, tr / p AS mu, CASE WHEN p > 1 THEN (s2 - tr * tr / p) / p ELSE 0.0 END AS delta, (m4 / {N} - s2) / (p * {N}) AS b FROM lw0),
 lw AS (SELECT *, CASE WHEN delta > 0 THEN least(b, delta) / delta ELSE 0 END AS rho FROM lw1),
 shrunk AS (SELECT cov.country, cov.date, asset_i, asset_j,
   (1 - rho) * m2 / {N} + CASE WHEN asset_i = asset_j THEN rho * mu ELSE 0 END AS value
@@ -61,17 +61,16 @@ def r03(spark, sf):
     return risk.covariance(_rows(spark, sf), risk.ewma_weights(N, HALF_LIFE))
 
 
-@query("r04_shrinkage_constants", "country date:d p:i mu:f9 delta:f12 rho:f", WIN, "SELECT * FROM lw WHERE p > 1")
+@query("r04_shrinkage_constants", "country date:d p:i mu:f9 delta:f12 rho:f", WIN, "SELECT * FROM lw")
 def r04(spark, sf):
-    """Groups of one asset have no off-diagonal and an undefined intensity; they take the fallback."""
-    return risk.shrinkage(_rows(spark, sf)).where("p > 1")
+    return risk.shrinkage(_rows(spark, sf))
 
 
 @query("r04_shrunk_covariance", "country date:d asset_i:i asset_j:i value:f9", WIN,
-       "SELECT shrunk.* FROM shrunk JOIN lw USING (country, date) WHERE asset_i <= asset_j AND p > 1")
+       "SELECT * FROM shrunk WHERE asset_i <= asset_j")
 def r04_matrix(spark, sf):
     rows = _rows(spark, sf)
-    return risk.shrunk_covariance(rows, risk.shrinkage(rows).where("p > 1"))
+    return risk.shrunk_covariance(rows, risk.shrinkage(rows))
 
 
 @query("r05_fallback_covariance", "country date:d asset_i:i asset_j:i value:f9", WIN + """,
@@ -94,14 +93,14 @@ er AS (SELECT country, date, sum(w * r) AS r FROM ew JOIN (SELECT country, date,
 tc AS (SELECT e.country, e.date, sum(w * spread_bps / 20000) AS c FROM ew e JOIN win USING (country, date, asset) GROUP BY 1, 2)""",
        """SELECT pv.country, pv.date, coalesce(r, 0) AS return_term, variance * 5 AS risk_term, coalesce(c, 0) AS cost_term,
   coalesce(r, 0) - variance * 5 - coalesce(c, 0) AS objective FROM pv LEFT JOIN er USING (country, date)
-  LEFT JOIN tc USING (country, date) JOIN lw USING (country, date) WHERE p > 1""")
+  LEFT JOIN tc USING (country, date)""")
 def r06(spark, sf):
     rows = _rows(spark, sf)
     keys = ["country", "date"]
     valid = rows.where("valid")
     n = valid.groupBy(*keys).agg((1.0 / F.count(F.lit(1))).alias("weight"))
     w = valid.join(n, keys)
-    var = risk.portfolio_variance(rows, w, risk.shrinkage(rows).where("p > 1"))
+    var = risk.portfolio_variance(rows, w, risk.shrinkage(rows))
     er = w.groupBy(*keys).agg(F.sum(F.col("weight") * F.element_at("x", -1)).alias("expected_return"))
     tc = w.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("spread_bps") / 20000).alias("trade_cost"))
     return risk.objective(var, er, tc, 10.0)

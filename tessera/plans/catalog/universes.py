@@ -105,7 +105,7 @@ picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, dat
        f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY country, date) AS n_assets FROM picked)
   WHERE n_assets = {TOP}""")
 def u08(spark, sf):
-    return universe.full_dates(universe.available_top_n(members(spark, sf), complete(), 1_000_000, TOP), TOP)
+    return universe.full_dates(universe.available_top_n(members(spark, sf), complete(), None, TOP), TOP)
 
 
 def _pure(spark, sf):

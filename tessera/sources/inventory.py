@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and sha-256 of every file; each file is hashed by the task that reads it."""
+    """Path relative to ``path``, size and sha-256 of every file; each file is hashed by the task that reads it.
+
+    A file is one binary value, so files above 2 GiB are out of scope of the reader.
+    """
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = F.regexp_replace(F.lit(path.rstrip("/")), r"^[a-z]+:(?://[^/]*)?(?=/)", "")
+    plain = F.regexp_replace("path", r"^[a-z]+:(?://[^/]*)?(?=/)", "")
+    return f.select(F.substring(plain, F.char_length(root) + 2, F.char_length(plain)).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def check_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:

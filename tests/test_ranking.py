@@ -23,7 +23,7 @@ def skewed(spark):
 @pytest.mark.parametrize("hot_rows", [100, 10_000])
 def test_ordinal(skewed, hot_rows):
     pdf, df = skewed
-    got = rk.ordinal(df.where("v is not null"), ["g"], ["v", "id"], "r", hot_rows=hot_rows, splits=9).toPandas()
+    got = rk.ordinal(df.where("v is not null"), ["g"], ["v", "id"], "r", hot_rows=hot_rows, bucket_rows=11).toPandas()
     want = pdf.dropna().sort_values(["g", "v", "id"])
     want["r"] = want.groupby("g").cumcount() + 1
     both = got.merge(want, on="id")
@@ -33,7 +33,7 @@ def test_ordinal(skewed, hot_rows):
 @pytest.mark.parametrize("hot_rows", [100, 10_000])
 def test_average_rank(skewed, hot_rows):
     pdf, df = skewed
-    got = rk.average_rank(df, ["g"], "v", "r", hot_rows=hot_rows, splits=9).toPandas()
+    got = rk.average_rank(df, ["g"], "v", "r", hot_rows=hot_rows, bucket_rows=11).toPandas()
     want = pdf.dropna().assign(r=lambda d: d.groupby("g").v.rank())
     both = got.merge(want, on="id")
     assert len(both) == len(got) == len(want) and np.allclose(both.r_x, both.r_y)
@@ -43,7 +43,7 @@ def test_average_rank(skewed, hot_rows):
 def test_quantiles(skewed, hot_rows):
     pdf, df = skewed
     got = rk.exact_quantiles(df, ["g"], {"m": ("v", 0.5), "hi": ("v", 0.9), "wid": ("id", 0.25)},
-                             hot_rows=hot_rows, splits=9).toPandas()
+                             hot_rows=hot_rows, bucket_rows=11).toPandas()
     for _, row in got.iterrows():
         x = pdf[pdf.g == row.g]
         assert np.isclose(row.m, x.v.quantile(0.5)) and np.isclose(row.hi, x.v.quantile(0.9))
@@ -54,7 +54,7 @@ def test_quantiles(skewed, hot_rows):
 @pytest.mark.parametrize("hot_rows", [100, 10_000])
 def test_weighted_global_quantile(skewed, hot_rows):
     pdf, df = skewed
-    got = rk.exact_quantiles(df, [], {"m": ("v", 0.3)}, weight="w", hot_rows=hot_rows, splits=9).toPandas()
+    got = rk.exact_quantiles(df, [], {"m": ("v", 0.3)}, weight="w", hot_rows=hot_rows, bucket_rows=11).toPandas()
     x = pdf.dropna()
     assert np.isclose(got.m[0], np.quantile(np.repeat(x.v, x.w), 0.3))
 
@@ -66,3 +66,12 @@ def test_ntile_of(spark):
     for k, x in got.groupby("n"):
         want = [b + 1 for b, part in enumerate(np.array_split(np.arange(k), 10)) for _ in part]
         assert x.sort_values("i").b.tolist() == want
+
+
+def test_many_large_groups(spark):
+    """Thousands of groups above the threshold, one with more cut points than a search step."""
+    small = spark.range(30_000).select((F.col("id") % 3000).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"), "id")
+    large = spark.range(30_000, 36_000).select(F.lit(-1).cast("bigint").alias("g"), F.pmod(F.xxhash64("id"), F.lit(900)).alias("v"), "id")
+    got = rk.ordinal(small.unionByName(large), ["g"], ["v", "id"], "r", hot_rows=5, bucket_rows=7).toPandas()
+    want = got.sort_values(["g", "v", "id"])
+    assert len(got) == 36_000 and (want.r == want.groupby("g").cumcount() + 1).all()

@@ -225,6 +225,16 @@ def test_turnover_capped_path(spark):
     assert np.allclose(bh[bh.execution_session > 1].turnover, 0)
 
 
+def test_leavers_are_shared_equally(spark):
+    kind = "strategy string, country string, scenario string, execution_session bigint, asset string, target_weight double, growth double, turnover_cap double"
+    rows = [("s", "X", "c", 1, a, w, 0.0, 1.0) for a, w in (("a", 0.5), ("b", 0.25), ("c", 0.25))]
+    rows += [("s", "X", "c", 2, a, w, 0.0, 1.0) for a, w in (("a", 0.5), ("b", 0.5), ("c", None))]
+    rows += [("s", "X", "c", 3, a, w, 0.0, 1.0) for a, w in (("a", None), ("b", 0.5), ("d", 0.5))]
+    got = {(r.execution_session, r.asset): r.target_weight for r in fold.buy_and_hold(spark.createDataFrame(rows, kind)).collect()}
+    assert (got[2, "a"], got[2, "b"], got[2, "c"]) == pytest.approx((0.625, 0.375, 0))
+    assert (got[3, "a"], got[3, "b"], got[3, "d"]) == pytest.approx((0, 0.375 + 0.3125, 0.3125))
+
+
 @pytest.mark.parametrize("size", [3, 256])
 def test_hybrid_loss_matches_pairs(spark, size):
     rng = np.random.default_rng(6)
