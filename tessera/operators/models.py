@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir, ship_package
+
 # Ridge penalty and boosting settings.
 ALPHA = 10.0
 BOOSTING = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.8, "seed": 7}
@@ -26,9 +28,14 @@ def ridge(train: DataFrame, rows: DataFrame, alpha: float = ALPHA, label: str =
 
 
 def boosted_trees(train: DataFrame, rows: DataFrame, label: str = "target", **settings) -> DataFrame:
-    """Action: gradient boosted regression trees."""
+    """Action: gradient boosted regression trees.
+
+    Trees are grown one after the other, each over all rows; the checkpoint interval
+    keeps the lineage of the running residuals short.
+    """
     from pyspark.ml.regression import GBTRegressor
 
+    ensure_checkpoint_dir(train.sparkSession)
     model = GBTRegressor(featuresCol="features", labelCol=label, **{**BOOSTING, **settings})
     return model.fit(train.where(F.col(label).isNotNull())).transform(rows)
 
@@ -78,6 +85,7 @@ def walk_forward(rows: DataFrame, origins: DataFrame, features: list[str], alpha
     packed = m.where(F.col("m0") > d).select(
         "country", "origin", F.col("m0").alias("n"), F.col("m1").alias("sy"), arr(2, 2 + d).alias("sx"),
         arr(2 + d, 2 + d + q).alias("sxx"), arr(2 + d + q, 2 + 2 * d + q).alias("sxy"))
+    ship_package(rows.sparkSession)
     return packed.mapInPandas(_solve(d, alpha), "country string, origin date, rows_used bigint, intercept double, beta array<double>")
 
 

@@ -63,17 +63,24 @@ def _moments(m: str) -> list[Column]:
         return F.when(n > 0, F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n)
 
     mean = mean_of(vals)
-    spread = F.sqrt(mean_of(F.transform(vals, lambda x: (x - mean) * (x - mean))))
+    # held in a struct of a lambda variable, so the mean is computed once and not per element
+    held = F.array(F.struct(vals.alias("x"), mean.alias("mean")))
+    squares = F.element_at(F.transform(held, lambda h: F.transform(h.x, lambda x: (x - h.mean) * (x - h.mean))), 1)
+    spread = F.sqrt(mean_of(squares))
     parts = {"last": F.element_at(every, -1), "mean": mean, "std": spread, "min": F.array_min(vals), "max": F.array_max(vals)}
     return [c.alias(f"{m}_{k}") for k, c in parts.items()]
 
 
+def flat_cells(measures: list[str], fill: float = 0.0) -> Column:
+    """Array of length steps times measures; empty cells take ``fill``."""
+    return F.flatten(F.transform("slots", lambda s: F.array(*[F.coalesce(s.getField(m), F.lit(fill)) for m in measures])))
+
+
 def flatten(assembled: DataFrame, measures: list[str], fill: float = 0.0) -> DataFrame:
-    """One ML vector of length steps times measures; empty cells take ``fill``."""
+    """One ML vector per signal of its flat cells."""
     from pyspark.ml.functions import array_to_vector
 
-    flat = F.flatten(F.transform("slots", lambda s: F.array(*[F.coalesce(s.getField(m), F.lit(fill)) for m in measures])))
-    return assembled.select("country", "asset", "session_id", array_to_vector(flat).alias("features"))
+    return assembled.select("country", "asset", "session_id", array_to_vector(flat_cells(measures, fill)).alias("features"))
 
 
 def window_counts(rows: DataFrame, fit: Column, length: int) -> DataFrame:

@@ -7,7 +7,7 @@ from tessera.operators import calendar as cal
 from tessera.operators import clean, features, forecast, models, sequence
 from tessera.plans import views as v
 from tessera.plans.catalog.cleaning import FOLDS, SPLIT_SQL
-from tessera.plans.catalog.featureset import full, labelled
+from tessera.plans.catalog.featureset import full, purged
 from tessera.plans.catalog.universes import TOP, UNI, uni_sup
 from tessera.plans.registry import query
 from tessera.session import materialise
@@ -122,40 +122,44 @@ def f25(spark, sf):
 
 # --- model fits -------------------------------------------------------------------
 
-X = ["r1", "vol", "range", "lvol"]
+CELLS = ["ret", "high_low_proxy", "log_volume"]
+FLAT = [f"x{k}" for k in range(L * len(CELLS))]
+SUMMARY = [f"{m}_{k}" for m in CELLS for k in ("last", "mean", "std", "min", "max")]
 
 
 def _training(spark, sf):
-    p = features.log_levels(features.bar_shape(labelled(spark, sf)))
-    p = p.withColumn("split", clean.split_by_date("date", FOLDS, "outside"))
-    p = p.withColumn("vol", full_frame(F.stddev_pop, "ret", 3, by_asset())).withColumn("r1", F.col("ret"))
-    p = p.withColumn("range", F.col("high_low_proxy")).withColumn("lvol", F.col("log_volume"))
-    p = p.where(features.feature_complete(X))
-    return materialise(p.select("country", "asset", "date", "split", "target", "label_end_date", *X))
+    """Eligible signals after the purge with their flat sequence and its summaries."""
+    p = materialise(features.log_levels(features.bar_shape(purged(spark, sf))))
+    keys = ["country", "asset", "session_id"]
+    rows = p.where("model_eligible").select(*keys, "date", "split", "target", "label_end_date")
+    a = sequence.assemble(rows.select(*keys), p, CELLS, L)
+    cells = sequence.flat_cells(CELLS)
+    seq = a.select(*keys, cells.alias("flat")).select(*keys, *[F.col("flat")[k].alias(c) for k, c in enumerate(FLAT)])
+    return materialise(rows.join(seq, keys).join(sequence.summarise(a, CELLS), keys))
 
 
-def _vectors(rows):
+def _vectors(rows, columns):
     from pyspark.ml.functions import array_to_vector
 
-    return rows.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in X])))
+    return rows.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
 
 
 @query("m03_ridge", "country asset:i date:d prediction:f4 target:f4")
 def m03(spark, sf):
-    r = _vectors(_training(spark, sf))
+    r = _vectors(_training(spark, sf), FLAT)
     return models.ridge(r.where("split = 'train'"), r.where("split <> 'train'"))
 
 
 @query("m04_boosted_trees", "country asset:i date:d prediction:f4 target:f4")
 def m04(spark, sf):
-    r = _vectors(_training(spark, sf))
-    return models.boosted_trees(r.where("split = 'train'"), r.where("split <> 'train'"), maxIter=5)
+    r = _vectors(_training(spark, sf), SUMMARY)
+    return models.boosted_trees(r.where("split = 'train'"), r.where("split <> 'train'"))
 
 
 def _walk(spark, sf):
     r = _training(spark, sf)
     o = forecast.quarter_origins(r.where("split <> 'train'").select("country", "date").distinct())
-    return r, models.walk_forward(r, o, X)
+    return r, models.walk_forward(r, o, FLAT)
 
 
 @query("m05_walk_forward_fits", "country origin:d rows_used:i intercept:f4")
@@ -166,4 +170,4 @@ def m05(spark, sf):
 @query("m05_walk_forward_forecasts", "country asset:i date:d training_cutoff:d prediction:f4 target:f4")
 def m05_predict(spark, sf):
     r, fits = _walk(spark, sf)
-    return models.predict_walk_forward(r, materialise(fits), X)
+    return models.predict_walk_forward(r, materialise(fits), FLAT)
