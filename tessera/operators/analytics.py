@@ -121,9 +121,16 @@ def incremental(daily: DataFrame, trades: DataFrame, base: str, keys: list[str],
     return d.join(t, ["strategy", *keys]).join(tb, keys).withColumn("delta_turnover", F.col("t") - F.col("tb")).drop("t", "tb")
 
 
-def turnover_reduction(trades: DataFrame, base: str, keys: list[str]) -> DataFrame:
-    """One minus the ratio of mean turnover to that of the base strategy."""
+def turnover_reduction(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """One minus the ratio of mean turnovers for every two strategies of a group; strategies are few."""
     t = trades.groupBy("strategy", *keys).agg(F.avg("turnover").alias("t"))
-    b = t.where(F.col("strategy") == base).select(*keys, F.col("t").alias("tb"))
-    return t.where(F.col("strategy") != base).join(b, keys).select(
-        "strategy", *keys, (1 - safe_div("t", "tb")).alias("turnover_reduction"))
+    right = t.select(*keys, F.col("strategy").alias("right_"), F.col("t").alias("tb"))
+    return t.withColumnRenamed("strategy", "left_").join(right, keys).where("left_ < right_").select(
+        "left_", "right_", *keys, (1 - safe_div("t", "tb")).alias("turnover_reduction"))
+
+
+def strategy_pairs(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Returns ``a`` and ``b`` of every two strategies of a group on shared dates."""
+    right = daily.select(*keys, "date", F.col("strategy").alias("right_"), F.col("net_return").alias("b"))
+    return daily.select(*keys, "date", F.col("strategy").alias("left_"), F.col("net_return").alias("a")).join(
+        right, [*keys, "date"]).where("left_ < right_")

@@ -1,7 +1,8 @@
 """Costed portfolio ledger in set form.
 
 Input is one weights table: (strategy, country, signal_date, execution_session,
-asset, target_weight, rate).  A holding period runs from an execution to the
+asset, target_weight, rate), with a ``scenario`` column where several cost
+scenarios run side by side.  A holding period runs from an execution to the
 next; inside it a position is weight times running growth, so drifted weights,
 P&L and trades are windows and joins, not a loop over dates.
 """
@@ -14,14 +15,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import safe_div
 
-BOOK = ["strategy", "country"]
 DEFAULT_COST = 0.001
 
 
+def book_of(df: DataFrame) -> list[str]:
+    """Keys of a book: strategy, cost scenario if the table has one, country."""
+    return [c for c in ("strategy", "scenario", "country") if c in df.columns]
+
+
 def rebalances(weights: DataFrame) -> DataFrame:
     """Ordered executions per book with the next and previous one."""
-    w = W.partitionBy(*BOOK).orderBy("execution_session")
-    return weights.select(*BOOK, "execution_session", "signal_date").distinct().select(
+    book = book_of(weights)
+    w = W.partitionBy(*book).orderBy("execution_session")
+    return weights.select(*book, "execution_session", "signal_date").distinct().select(
         "*", F.lead("execution_session").over(w).alias("next_session"),
         (F.row_number().over(w) == 1).alias("initial"))
 
@@ -32,19 +38,20 @@ def positions(weights: DataFrame, returns: DataFrame, calendar: DataFrame) -> Da
     Each position generates its own sessions; their number is bounded by the
     calendar.  An unknown return carries the position at its last value.
     """
-    reb = rebalances(weights).select(*BOOK, "execution_session", "next_session")
+    book = book_of(weights)
+    reb = rebalances(weights).select(*book, "execution_session", "next_session")
     last = calendar.groupBy("country").agg(F.max("session_id").alias("last_session"))
     held = (
         weights.where(F.col("target_weight") > 0)
-        .join(F.broadcast(reb), [*BOOK, "execution_session"])
+        .join(F.broadcast(reb), [*book, "execution_session"])
         .join(F.broadcast(last), "country")
         .withColumn("until", F.coalesce("next_session", "last_session"))
         .where(F.col("until") > F.col("execution_session"))
-        .select(*BOOK, "execution_session", "next_session", "asset", "target_weight", "rate",
+        .select(*book, "execution_session", "next_session", "asset", "target_weight", "rate",
                 F.explode(F.sequence(F.col("execution_session") + 1, F.col("until"))).alias("session_id"))
     )
     r = returns.select("country", "asset", "session_id", "ret")
-    w = W.partitionBy(*BOOK, "execution_session", "asset").orderBy("session_id")
+    w = W.partitionBy(*book, "execution_session", "asset").orderBy("session_id")
     growth = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w.rowsBetween(W.unboundedPreceding, 0))
     return held.join(r, ["country", "asset", "session_id"], "left").select(
         "*", (F.col("target_weight") * growth).alias("value"), F.col("ret").isNull().alias("missing"))
@@ -52,10 +59,11 @@ def positions(weights: DataFrame, returns: DataFrame, calendar: DataFrame) -> Da
 
 def drifted(held: DataFrame) -> DataFrame:
     """Weights just before the next execution: position values normalised over the book."""
+    book = book_of(held)
     at = held.where(F.col("session_id") == F.col("next_session"))
-    total = at.groupBy(*BOOK, "next_session").agg(F.sum("value").alias("_v"))
-    return at.join(total, [*BOOK, "next_session"]).select(
-        *BOOK, F.col("next_session").alias("execution_session"), "asset",
+    total = at.groupBy(*book, "next_session").agg(F.sum("value").alias("_v"))
+    return at.join(total, [*book, "next_session"]).select(
+        *book, F.col("next_session").alias("execution_session"), "asset",
         safe_div("value", "_v").alias("pre_weight"), F.col("rate").alias("last_rate"))
 
 
@@ -64,7 +72,8 @@ def weight_ledger(weights: DataFrame, before: DataFrame) -> DataFrame:
 
     Exits pay the rate stored at the previous execution.
     """
-    keys = [*BOOK, "execution_session", "asset"]
+    book = book_of(weights)
+    keys = [*book, "execution_session", "asset"]
     new = weights.select(*keys, "target_weight", "rate")
     j = before.join(new, keys, "full")
     pre, tgt = F.coalesce("pre_weight", F.lit(0.0)), F.coalesce("target_weight", F.lit(0.0))
@@ -83,13 +92,14 @@ def weight_ledger(weights: DataFrame, before: DataFrame) -> DataFrame:
 
 def turnover(ledger: DataFrame, weights: DataFrame, cap: float) -> DataFrame:
     """Turnover by component per execution; the initial deployment is exempt from the cap."""
+    book = book_of(ledger)
     part = lambda c: F.sum(F.when(F.col("trade_component") == c, F.col("absolute_trade")).otherwise(0.0))
-    t = ledger.groupBy(*BOOK, "execution_session").agg(
+    t = ledger.groupBy(*book, "execution_session").agg(
         part("continuing_name").alias("continuing_turnover"), part("forced_entry").alias("entry_turnover"),
         part("forced_exit").alias("exit_turnover"), F.sum("absolute_trade").alias("turnover"),
         F.sum("transaction_cost").alias("cost"), F.count_if(F.col("target_weight") > 0).alias("positions"))
-    first = rebalances(weights).select(*BOOK, "execution_session", "signal_date", "initial")
-    t = t.join(F.broadcast(first), [*BOOK, "execution_session"])
+    first = rebalances(weights).select(*book, "execution_session", "signal_date", "initial")
+    t = t.join(F.broadcast(first), [*book, "execution_session"])
     return t.withColumn("rebalance_type", F.when(F.col("initial"), "initial_deployment").otherwise("rebalance")).withColumn(
         "cap_utilization", F.when(~F.col("initial"), F.col("turnover") / cap)).drop("initial")
 
@@ -99,18 +109,19 @@ def daily_pnl(held: DataFrame, trades: DataFrame, calendar: DataFrame) -> DataFr
 
     A new book earns from the session after its execution.
     """
-    v = held.groupBy(*BOOK, "execution_session", "session_id").agg(
+    book = book_of(held)
+    v = held.groupBy(*book, "execution_session", "session_id").agg(
         F.sum("value").alias("v"), F.count(F.lit(1)).alias("n_held"), F.count_if("missing").alias("missing_valuations"))
-    w = W.partitionBy(*BOOK, "execution_session").orderBy("session_id")
+    w = W.partitionBy(*book, "execution_session").orderBy("session_id")
     v = v.withColumn("gross_return", safe_div("v", F.lag("v", 1, 1.0).over(w)) - 1)
-    first = trades.groupBy(*BOOK).agg(F.min("execution_session").alias("_first"))
+    first = trades.groupBy(*book).agg(F.min("execution_session").alias("_first"))
     days = F.broadcast(first).join(F.broadcast(calendar.select("country", "session_id", "date")), "country").where(
         F.col("session_id") >= F.col("_first")).drop("_first")
-    t = trades.select(*BOOK, F.col("execution_session").alias("session_id"), "turnover", "cost", "positions")
-    d = days.join(v.drop("execution_session", "v"), [*BOOK, "session_id"], "left").join(t, [*BOOK, "session_id"], "left")
+    t = trades.select(*book, F.col("execution_session").alias("session_id"), "turnover", "cost", "positions")
+    d = days.join(v.drop("execution_session", "v"), [*book, "session_id"], "left").join(t, [*book, "session_id"], "left")
     zero = F.lit(0.0)
     return d.select(
-        *BOOK, "session_id", "date", F.coalesce("gross_return", zero).alias("gross_return"),
+        *book, "session_id", "date", F.coalesce("gross_return", zero).alias("gross_return"),
         F.coalesce("cost", zero).alias("cost"),
         (F.coalesce("gross_return", zero) - F.coalesce("cost", zero)).alias("net_return"),
         F.coalesce("turnover", zero).alias("turnover"),
@@ -119,12 +130,14 @@ def daily_pnl(held: DataFrame, trades: DataFrame, calendar: DataFrame) -> DataFr
 
 
 def missing_valuations(held: DataFrame) -> DataFrame:
-    return held.where("missing").select(*BOOK, "session_id", "asset", F.lit("missing_valuation_carried").alias("reason"))
+    book = book_of(held)
+    return held.where("missing").select(*book, "session_id", "asset", F.lit("missing_valuation_carried").alias("reason"))
 
 
 def period_pnl(weights: DataFrame, forward: DataFrame, value: str) -> DataFrame:
     """Return of each target book over the label window; evaluable only if every name has one."""
-    keys = [*BOOK, "signal_date"]
+    book = book_of(weights)
+    keys = [*book, "signal_date"]
     f = forward.select("country", "asset", F.col("date").alias("signal_date"), F.col(value).alias("_f"))
     j = weights.where(F.col("target_weight") > 0).join(f, ["country", "asset", "signal_date"], "left")
     return j.groupBy(*keys).agg(
@@ -135,13 +148,14 @@ def period_pnl(weights: DataFrame, forward: DataFrame, value: str) -> DataFrame:
 
 def target_turnover(weights: DataFrame) -> DataFrame:
     """L1 distance between consecutive target books; a name that left counts once."""
+    book = book_of(weights)
     reb = rebalances(weights)
-    now = weights.select(*BOOK, "execution_session", "asset", F.col("target_weight").alias("w1"))
-    nxt = weights.join(F.broadcast(reb), [*BOOK, "execution_session"]).where(F.col("next_session").isNotNull()).select(
-        *BOOK, F.col("next_session").alias("execution_session"), "asset", F.col("target_weight").alias("w0"))
-    j = now.join(nxt, [*BOOK, "execution_session", "asset"], "full")
+    now = weights.select(*book, "execution_session", "asset", F.col("target_weight").alias("w1"))
+    nxt = weights.join(F.broadcast(reb), [*book, "execution_session"]).where(F.col("next_session").isNotNull()).select(
+        *book, F.col("next_session").alias("execution_session"), "asset", F.col("target_weight").alias("w0"))
+    j = now.join(nxt, [*book, "execution_session", "asset"], "full")
     zero = F.lit(0.0)
-    return j.groupBy(*BOOK, "execution_session").agg(
+    return j.groupBy(*book, "execution_session").agg(
         F.sum(F.abs(F.coalesce("w1", zero) - F.coalesce("w0", zero))).alias("l1_turnover"))
 
 

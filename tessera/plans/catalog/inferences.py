@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import analytics
 from tessera.operators import inference as inf
 from tessera.plans.catalog.forecasts import BASE, METRICS, forecasts, metrics
-from tessera.plans.catalog.portfolios import BOOKS, Books
+from tessera.plans.catalog.portfolios import BOOKS, COSTED, Books
 from tessera.plans.registry import query
 from tessera.session import materialise
 
@@ -130,37 +131,65 @@ def i07(spark, sf):
     return inf.portfolio_bootstrap(inf.circular_indices(s, ["strategy"]), s, ["strategy"], 252)
 
 
+# Series per strategy, scenario and country against equal weight, and per two strategies of a scenario and country.
+_SERIES = """
+ser AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM (
+  SELECT split_part(x.strategy, ':', 1) AS left_, split_part(y.strategy, ':', 1) AS right_, split_part(x.strategy, ':', 2) AS scenario,
+    x.country, x.date, x.net_return AS a, y.net_return AS b FROM pnl x JOIN pnl y ON y.country = x.country AND y.date = x.date
+    AND split_part(x.strategy, ':', 2) = split_part(y.strategy, ':', 2)) WHERE {which})"""
+_PK = "left_, right_, scenario, country"
+BOOK_PAIR = LP + ["scenario", "country"]
+VS_EQUAL = COSTED + "," + _SERIES.format(keys=_PK, which="right_ = 'equal' AND left_ <> 'equal'")
+ALL_PAIRS = COSTED + "," + _SERIES.format(keys=_PK, which="left_ < right_")
+
+
+def _pairs(spark, sf, every):
+    """Paired returns under every cost scenario, numbered by date."""
+    d = Books(spark, sf, costed=True).pnl()[0].select("strategy", "scenario", "country", "date", "net_return")
+    if every:
+        s = analytics.strategy_pairs(d, ["scenario", "country"])
+    else:
+        base = d.where("strategy = 'equal'").select("scenario", "country", "date", F.col("net_return").alias("b"))
+        s = d.where("strategy <> 'equal'").select(F.col("strategy").alias("left_"), F.lit("equal").alias("right_"), "scenario", "country", "date",
+                                                  F.col("net_return").alias("a")).join(base, ["scenario", "country", "date"])
+    return materialise(inf.indexed(s, BOOK_PAIR))
+
+
 BLOCKS = f"""
-fb AS (SELECT *, {_h('CAST(ceil(n / 5) AS BIGINT)', "'7'", 'draw', 'b')} * 5 AS start FROM (SELECT strategy, n, draw,
+fb AS (SELECT *, {_h('CAST(ceil(n / 5) AS BIGINT)', "'7'", 'draw', 'b')} * 5 AS start FROM (SELECT {_PK}, n, draw,
   unnest(range(CAST(ceil(n / least(CASE WHEN n % 5 = 0 THEN 5 ELSE n % 5 END, 5)) AS BIGINT))) AS b
-  FROM (SELECT DISTINCT strategy, n FROM ser), range(2000) AS r(draw))),
+  FROM (SELECT DISTINCT {_PK}, n FROM ser), range(2000) AS r(draw))),
 fl AS (SELECT *, least(5, n - start) AS len FROM fb),
-fa AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY strategy, draw ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM fl),
-ix AS (SELECT strategy, draw, pos0 + o AS j, start + o AS i FROM (SELECT *, unnest(range(CAST(len AS BIGINT))) AS o FROM fa WHERE pos0 < n)
+fa AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY {_PK}, draw ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM fl),
+ix AS (SELECT {_PK}, draw, pos0 + o AS j, start + o AS i FROM (SELECT *, unnest(range(CAST(len AS BIGINT))) AS o FROM fa WHERE pos0 < n)
   WHERE pos0 + o < n)"""
 
 
-@query("i08_fixed_block_interval", "strategy ci_low:f8 ci_high:f8", SER2 + "," + BLOCKS,
-       """SELECT strategy, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
-  SELECT strategy, draw, avg(a - b) AS m FROM ix JOIN ser USING (strategy, i) GROUP BY 1, 2) GROUP BY 1""")
+_PC = "left_ right_ scenario country "
+
+
+@query("i08_fixed_block_interval", _PC + "ci_low:f8 ci_high:f8", VS_EQUAL + "," + BLOCKS,
+       f"""SELECT {_PK}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
+  SELECT {_PK}, draw, avg(a - b) AS m FROM ix JOIN ser USING ({_PK}, i) GROUP BY {_PK}, draw) GROUP BY {_PK}""")
 def i08(spark, sf):
-    s = _books(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    return inf.mean_interval(inf.fixed_block_indices(s, ["strategy"], 5), s, ["strategy"], "d")
+    s = _pairs(spark, sf, every=False).withColumn("d", F.col("a") - F.col("b"))
+    return inf.mean_interval(inf.fixed_block_indices(s, BOOK_PAIR, 5), s, BOOK_PAIR, "d")
 
 
-_DSHARPE = """SELECT strategy, quantile_cont(ds, 0.025) AS delta_sharpe_low, quantile_cont(ds, 0.975) AS delta_sharpe_high FROM (
-  SELECT strategy, draw, avg(a) / stddev_samp(a) * sqrt(252) - avg(b) / stddev_samp(b) * sqrt(252) AS ds
-  FROM ix JOIN ser USING (strategy, i) GROUP BY 1, 2) GROUP BY 1"""
+_DSHARPE = f"""SELECT {_PK}, quantile_cont(ds, 0.025) AS delta_sharpe_low, quantile_cont(ds, 0.975) AS delta_sharpe_high FROM (
+  SELECT {_PK}, draw, CASE WHEN stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN
+    avg(a) / stddev_samp(a) * sqrt(252) - avg(b) / stddev_samp(b) * sqrt(252) END AS ds
+  FROM ix JOIN ser USING ({_PK}, i) GROUP BY {_PK}, draw) GROUP BY {_PK}"""
 
 
-@query("i09_fixed_block_sharpe", "strategy delta_sharpe_low:f delta_sharpe_high:f", SER2 + "," + BLOCKS, _DSHARPE)
+@query("i09_fixed_block_sharpe", _PC + "delta_sharpe_low:f delta_sharpe_high:f", VS_EQUAL + "," + BLOCKS, _DSHARPE)
 def i09(spark, sf):
-    s = _books(spark, sf)
-    return inf.sharpe_difference(inf.fixed_block_indices(s, ["strategy"], 5), s, ["strategy"], 252)
+    s = _pairs(spark, sf, every=False)
+    return inf.sharpe_difference(inf.fixed_block_indices(s, BOOK_PAIR, 5), s, BOOK_PAIR, 252)
 
 
 IC = METRICS + """,
-ic AS (SELECT model, date, avg(spearman_ic) AS ic FROM dm WHERE rank_defined AND spearman_ic IS NOT NULL GROUP BY 1, 2)"""
+ic AS (SELECT model, country, date, spearman_ic AS ic FROM dm WHERE rank_defined AND spearman_ic IS NOT NULL)"""
 
 
 def iid_sql(keys: str) -> str:
@@ -171,35 +200,41 @@ ix AS (SELECT {keys}, draw, j, {_h('n', "'7'", 'draw', 'j')} AS i FROM (SELECT {
 
 def _ics(spark, sf):
     m = metrics(spark, sf).where("rank_defined AND spearman_ic IS NOT NULL")
-    return materialise(m.groupBy("model", "date").agg(F.avg("spearman_ic").alias("ic")))
+    return materialise(m.select("model", "country", "date", F.col("spearman_ic").alias("ic")))
 
 
-@query("i10_ic_interval", "model ci_low:f ci_high:f", IC + """,
-ser AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM ic),"""
-       + iid_sql("model"), """SELECT model, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
-  SELECT model, draw, avg(ic) AS m FROM ix JOIN ser USING (model, i) GROUP BY 1, 2) GROUP BY 1""")
-def i10(spark, sf):
-    s = materialise(inf.indexed(_ics(spark, sf), ["model"]))
-    return inf.mean_interval(inf.iid_indices(s, ["model"]), s, ["model"], "ic")
+MC, LC = ["model", "country"], [*LP, "country"]
 
 
-@query("i11_paired_ic_interval", _P + "mean_delta:f ci_low:f ci_high:f", IC + """,
-ser AS (SELECT *, row_number() OVER (PARTITION BY left_, right_ ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY left_, right_) AS n
-  FROM (SELECT a.model AS left_, b.model AS right_, a.date, a.ic - b.ic AS d FROM ic a JOIN ic b ON a.date = b.date AND a.model < b.model)),"""
-       + iid_sql("left_, right_"),
-       """SELECT left_, right_, mean_delta, ci_low, ci_high FROM (SELECT left_, right_, quantile_cont(m, 0.025) AS ci_low,
-  quantile_cont(m, 0.975) AS ci_high FROM (SELECT left_, right_, draw, avg(d) AS m FROM ix JOIN ser USING (left_, right_, i)
-  GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT left_, right_, avg(d) AS mean_delta FROM ser GROUP BY 1, 2) USING (left_, right_)""")
+@query("i10_ic_interval", "model country ci_low:f ci_high:f", IC + """,
+ser AS (SELECT *, row_number() OVER (PARTITION BY model, country ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY model, country) AS n FROM ic),"""
+       + iid_sql("model, country"), """SELECT model, country, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
+  SELECT model, country, draw, avg(ic) AS m FROM ix JOIN ser USING (model, country, i) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def i10(spark, sf):
+    s = materialise(inf.indexed(_ics(spark, sf), MC))
+    return inf.mean_interval(inf.iid_indices(s, MC), s, MC, "ic")
+
+
+@query("i11_paired_ic_interval", _P + "country mean_delta:f ci_low:f ci_high:f", IC + """,
+ser AS (SELECT *, row_number() OVER (PARTITION BY left_, right_, country ORDER BY date) - 1 AS i,
+  count(*) OVER (PARTITION BY left_, right_, country) AS n
+  FROM (SELECT a.model AS left_, b.model AS right_, country, date, a.ic - b.ic AS d FROM ic a JOIN ic b USING (country, date) WHERE a.model < b.model)),"""
+       + iid_sql("left_, right_, country"),
+       """SELECT left_, right_, country, mean_delta, ci_low, ci_high FROM (SELECT left_, right_, country, quantile_cont(m, 0.025) AS ci_low,
+  quantile_cont(m, 0.975) AS ci_high FROM (SELECT left_, right_, country, draw, avg(d) AS m FROM ix JOIN ser USING (left_, right_, country, i)
+  GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) JOIN (SELECT left_, right_, country, avg(d) AS mean_delta FROM ser GROUP BY 1, 2, 3)
+  USING (left_, right_, country)""")
 def i11(spark, sf):
     ic = _ics(spark, sf)
-    other = F.broadcast(ic.select("date", F.col("model").alias("right_"), F.col("ic").alias("y")))
-    d = ic.select("date", F.col("model").alias("left_"), F.col("ic").alias("x")).join(other, "date").where("left_ < right_")
-    s = materialise(inf.indexed(d.select("left_", "right_", "date", (F.col("x") - F.col("y")).alias("d")), LP))
-    mean = s.groupBy(*LP).agg(F.avg("d").alias("mean_delta"))
-    return mean.join(inf.mean_interval(inf.iid_indices(s, LP), s, LP, "d"), LP)
+    on = ["country", "date"]
+    other = ic.select(*on, F.col("model").alias("right_"), F.col("ic").alias("y"))
+    d = ic.select(*on, F.col("model").alias("left_"), F.col("ic").alias("x")).join(other, on).where("left_ < right_")
+    s = materialise(inf.indexed(d.select(*LP, *on, (F.col("x") - F.col("y")).alias("d")), LC))
+    mean = s.groupBy(*LC).agg(F.avg("d").alias("mean_delta"))
+    return mean.join(inf.mean_interval(inf.iid_indices(s, LC), s, LC, "d"), LC)
 
 
-@query("i12_paired_sharpe_interval", "strategy delta_sharpe_low:f delta_sharpe_high:f", SER2 + "," + iid_sql("strategy"), _DSHARPE)
+@query("i12_paired_sharpe_interval", _PC + "delta_sharpe_low:f delta_sharpe_high:f", ALL_PAIRS + "," + iid_sql(_PK), _DSHARPE)
 def i12(spark, sf):
-    s = _books(spark, sf)
-    return inf.sharpe_difference(inf.iid_indices(s, ["strategy"]), s, ["strategy"], 252)
+    s = _pairs(spark, sf, every=True)
+    return inf.sharpe_difference(inf.iid_indices(s, BOOK_PAIR), s, BOOK_PAIR, 252)

@@ -155,9 +155,18 @@ pnl AS (SELECT d.strategy, d.country, d.session_id, d.date, coalesce(g, 0) AS gr
   LEFT JOIN tr ON tr.strategy = d.strategy AND tr.country = d.country AND tr.execution_session = d.session_id)"""
 
 
-def _weights(s, r, scenario="c2"):
-    rate = r.select("country", "asset", "session_id", "execution_session", F.col("date").alias("signal_date"),
-                    F.col(scenario).alias("rate"))
+# In the twin a book's scenario is a suffix of its strategy, so every statement above applies as it is.
+COSTED = BOOKS.replace("SELECT strategy, r.country, r.date AS signal_date, execution_session, r.asset, target_weight, c2 AS rate\n  FROM bk JOIN rates r",
+                       """SELECT strategy || ':' || scenario AS strategy, r.country, r.date AS signal_date, execution_session, r.asset, target_weight, rate
+  FROM bk JOIN (UNPIVOT (SELECT country, date, asset, session_id, execution_session, CAST(c0 AS DOUBLE) AS C0, c1 AS C1, c2 AS C2 FROM rates)
+    ON C0, C1, C2 INTO NAME scenario VALUE rate) r""")
+SPLIT = "split_part({0}, ':', 1) AS {1}"
+SCENARIO = "split_part({0}, ':', 2)"
+
+
+def _weights(s, r, costed=False):
+    keep = ["country", "asset", "session_id", "execution_session", F.col("date").alias("signal_date")]
+    rate = portfolio.long_scenarios(r, keep) if costed else r.select(*keep, F.col("c2").alias("rate"))
     keep = ["country", "asset", "session_id", "target_weight"]
     books = [("equal", portfolio.equal_weight(s, F.col("spread_bps").isNotNull())),
              ("topk", portfolio.top_k_equal(s, "mom", K)), ("capped", portfolio.risk_scaled(s, "mom", "var"))]
@@ -169,14 +178,14 @@ def _weights(s, r, scenario="c2"):
 
 
 class Books:
-    """Stage tables of one ledger run."""
+    """Stage tables of one ledger run: costs of own quotes, or every cost scenario if ``costed``."""
 
-    def __init__(self, spark, sf, scenario="c2"):
+    def __init__(self, spark, sf, costed=False):
         panel = staged_panel(spark, sf)
         self.calendar = materialise(v.calendar(spark, sf, "sup"))
         self.signals = signals(spark, sf, panel)
         self.rates = materialise(rates(panel, self.signals))
-        self.weights = materialise(_weights(self.signals, self.rates, scenario))
+        self.weights = materialise(_weights(self.signals, self.rates, costed))
         self.returns = panel.select("country", "asset", "session_id", "ret")
 
     def held(self):
@@ -460,21 +469,34 @@ def a13(spark, sf):
     return analytics.by_period(Books(spark, sf).pnl()[0], "strategy", "date", "net_return", analytics.DAILY)
 
 
-@query("a14_incremental_value", "strategy country delta_sharpe:f mean_delta_return:f delta_turnover:f", BOOKS + """,
+CK = ["scenario", "country"]
+
+
+@query("p13_costed_pnl", "strategy scenario country date:d gross_return:f cost:f9 net_return:f", COSTED,
+       f"SELECT {SPLIT.format('strategy', 'strategy')}, {SCENARIO.format('strategy')} AS scenario, country, date, gross_return, cost, net_return FROM pnl")
+def p13_costed(spark, sf):
+    """The ledger under every cost scenario; positions are shared, costs are not."""
+    return Books(spark, sf, costed=True).pnl()[0]
+
+
+@query("a14_incremental_value", "strategy scenario country delta_sharpe:f mean_delta_return:f delta_turnover:f", COSTED + """,
 sh AS (SELECT a.strategy, a.country, avg(a.net_return) / stddev_samp(a.net_return) * sqrt(252)
   - avg(b.net_return) / stddev_samp(b.net_return) * sqrt(252) AS delta_sharpe, avg(a.net_return - b.net_return) AS mean_delta_return
-  FROM pnl a JOIN pnl b ON a.country = b.country AND a.date = b.date AND b.strategy = 'equal' WHERE a.strategy <> 'equal' GROUP BY 1, 2),
+  FROM pnl a JOIN pnl b ON a.country = b.country AND a.date = b.date AND b.strategy = 'equal:' || split_part(a.strategy, ':', 2)
+  WHERE a.strategy NOT LIKE 'equal:%' GROUP BY 1, 2),
 mt AS (SELECT strategy, country, avg(turnover) AS t FROM tr GROUP BY 1, 2)""",
-       """SELECT sh.*, m.t - b.t AS delta_turnover FROM sh JOIN mt m USING (strategy, country)
-  JOIN mt b ON b.country = sh.country AND b.strategy = 'equal'""")
+       f"""SELECT {SPLIT.format('sh.strategy', 'strategy')}, {SCENARIO.format('sh.strategy')} AS scenario, sh.country, delta_sharpe, mean_delta_return,
+  m.t - b.t AS delta_turnover FROM sh JOIN mt m USING (strategy, country)
+  JOIN mt b ON b.country = sh.country AND b.strategy = 'equal:' || split_part(sh.strategy, ':', 2)""")
 def a14(spark, sf):
-    d, t = Books(spark, sf).pnl()
-    return analytics.incremental(d, t, "equal", ["country"])
+    d, t = Books(spark, sf, costed=True).pnl()
+    return analytics.incremental(d, t, "equal", CK)
 
 
-@query("a15_turnover_reduction", "strategy country turnover_reduction:f", BOOKS + """,
+@query("a15_turnover_reduction", "left_ right_ country turnover_reduction:f", BOOKS + """,
 mt AS (SELECT strategy, country, avg(turnover) AS t FROM tr GROUP BY 1, 2)""",
-       """SELECT m.strategy, m.country, 1 - m.t / b.t AS turnover_reduction FROM mt m JOIN mt b
-  ON b.country = m.country AND b.strategy = 'equal' WHERE m.strategy <> 'equal'""")
+       """SELECT m.strategy AS left_, b.strategy AS right_, m.country, 1 - m.t / b.t AS turnover_reduction FROM mt m JOIN mt b
+  ON b.country = m.country AND m.strategy < b.strategy""")
 def a15(spark, sf):
-    return analytics.turnover_reduction(Books(spark, sf).pnl()[1], "equal", ["country"])
+    """Every two strategies per country; a cost scenario does not change what is traded."""
+    return analytics.turnover_reduction(Books(spark, sf).pnl()[1], ["country"])
