@@ -8,6 +8,8 @@ series (bounded) is broadcast to them.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,41 +75,32 @@ def mean_test(series: DataFrame, keys: list[str], value: str = "d", order: str =
     return g.select(*keys, "n", "lag", "mean", total.alias("long_run_variance"), stat.alias("statistic"))
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + num * d, 1 + num / c
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-    return h
-
-
 def student_p(t: str | Column, df: str | Column) -> Column:
-    """Two-sided Student-t p-value; one row per comparison reaches Python, in Arrow batches."""
-    return F.pandas_udf(_student_p, "double")(t, df)
-
-
-def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Regularised incomplete beta I_x(df/2, 1/2) at x = df / (df + t * t)."""
-    from math import lgamma
-
-    a = df.to_numpy(float) / 2
-    b = np.full_like(a, 0.5)
-    x = 2 * a / (2 * a + t.to_numpy(float) ** 2)
-    lead = np.array([lgamma(k + 0.5) - lgamma(k) - lgamma(0.5) for k in a])
-    front = np.exp(lead + a * np.log(np.maximum(x, 1e-300)) + b * np.log(np.maximum(1 - x, 1e-300)))
-    direct = x < (a + 1) / (a + b + 2)
-    near = front * _beta_fraction(a, b, np.where(direct, x, 0.0)) / a
-    far = 1 - front * _beta_fraction(b, a, np.where(direct, 0.0, 1 - x)) / b
-    p = np.where(direct, near, far)
-    return pd.Series(np.where(t.to_numpy(float) == 0, 1.0, p))
+    """Two-sided Student-t p-value for whole degrees of freedom: a finite sum in the angle atan(t / sqrt(df)).
+
+    Terms of even powers of its cosine for even ``df``, of odd powers for odd ``df``.
+    """
+    t, df = (F.col(c) if isinstance(c, str) else c for c in (t, df))
+    t, nu = F.abs(t.cast("double")), df.cast("bigint")
+    odd, c2 = nu % 2 == 1, nu / (nu + t * t)
+    steps = F.floor((nu - 2 - (nu % 2)) / 2).cast("int")
+    start = F.when(odd, F.sqrt(c2)).otherwise(1.0)
+    # the row's constants are fields of a lambda variable, so they are computed once
+    row = F.array(F.struct(odd.alias("odd"), c2.alias("c2"), start.alias("start")))
+
+    def series(r: Column) -> Column:
+        zero = F.struct(r.start.alias("term"), r.start.alias("total"))
+
+        def add(a: Column, k: Column) -> Column:
+            term = a.term * r.c2 * F.when(r.odd, 2 * k / (2 * k + 1.0)).otherwise((2 * k - 1.0) / (2 * k))
+            return F.struct(term.alias("term"), (a.total + term).alias("total"))
+
+        return F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), zero, add, lambda a: a.total)
+
+    total = F.when(nu > 1, F.element_at(F.transform(row, series), 1)).otherwise(0.0)
+    sine = t / F.sqrt(nu + t * t)
+    inside = F.when(odd, 2 / math.pi * (F.atan(t / F.sqrt(nu.cast("double"))) + sine * total)).otherwise(sine * total)
+    return F.greatest(1 - inside, F.lit(0.0))
 
 
 def circular_block(n: str | Column) -> Column:

@@ -68,7 +68,8 @@ def f20(spark, sf):
     return sequence.summarise(_assembled(spark, sf), MEASURES)
 
 
-@query("f21_flat_vectors", "country asset:i session_id:i dims:i total:f4")
+@query("f21_flat_vectors", "country asset:i session_id:i dims:i total:f4", SIGNALS,
+       """SELECT country, asset, session_id, 2 * count(*) AS dims, sum(coalesce(ret, 0) + coalesce(close, 0)) AS total FROM lf GROUP BY 1, 2, 3""")
 def f21(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
