@@ -18,7 +18,7 @@ HEADLINE = [
 
 def main() -> None:
     from tessera.plans import catalog
-    from tessera.session import local_session
+    from tessera.session import drop_stages, local_session
 
     spark = local_session(CPUS, "bench")
     spark.range(1_000_000).selectExpr("sum(id)").collect()
@@ -27,6 +27,7 @@ def main() -> None:
         t = time.perf_counter()
         catalog.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t, 3)
+        drop_stages(spark)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": SF.rsplit("sf", 1)[-1]}))
 

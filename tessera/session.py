@@ -44,6 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Folder of this application's stage tables in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables; results that still read them must be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per Spark context."""
     context = spark.sparkContext
@@ -62,7 +73,7 @@ def materialise(df: DataFrame) -> DataFrame:
     Used where a derived table feeds several branches: it is computed once, later
     scans prune its columns, and a lost executor costs a re-read, not the lineage.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    folder = f"{stage_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(folder)
     return df.sparkSession.read.schema(schema).parquet(folder)

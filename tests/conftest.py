@@ -8,6 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tessera.session import local_session
+    from tessera.session import drop_stages, local_session
 
-    return local_session()
+    session = local_session()
+    yield session
+    drop_stages(session)
