@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 WIDEST = 64
 AT_ONCE = 4096
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
+ROWS_OUT = 256
 NONE = 1 << 60
 #: Codecs of this Python worker by (vocabulary digest, pattern), so tasks share remembered pieces.
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -241,15 +242,17 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(shared.value, pattern)
+        names = [c.split()[0] for c in fields.split(", ")]
         for batch in batches:
             rows = []
-            for data in codec.encode_all(batch["text"].tolist()):
+            for doc_id, data in zip(batch["doc_id"].to_numpy(dtype=object), codec.encode_all(batch["text"].tolist())):
                 ids = np.frombuffer(data, dtype="<u4")
                 decoded = codec.decode(ids.tolist())
-                rows.append((len(ids), *([ids.astype("int32")] if keep_ids else []), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in fields.split(", ")[1:]])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
-            yield out
+                rows.append((doc_id, len(ids), *([ids.astype("int32")] if keep_ids else []), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                if len(rows) == ROWS_OUT:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return chosen.mapInPandas(run, fields)

@@ -9,7 +9,7 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 BLOCK = 4096
 
 _rng = np.random.default_rng(20240601)

@@ -24,6 +24,7 @@ scores; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,7 +45,7 @@ SEED = 3
 STEPS = 40
 PENALTY = 1.0
 LIKELY = 0.5
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 TOKEN = re.compile(r"[^\W_]+")
 GRAMS = (4, 5)
 
@@ -190,11 +191,14 @@ def _lexicon(rows: DataFrame, n1: int, n0: int) -> dict[str, int]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            tally: dict[str, list[int]] = {}
-            for text, label in zip(b["text"], b["label"]):
-                for g in {g for w in set(TOKEN.findall(text.lower())) for g in grams_of(w)}:
-                    tally.setdefault(g, [0, 0])[label > 0] += 1
-            yield pd.DataFrame([(g, k1, k0) for g, (k0, k1) in tally.items()], columns=["gram", "k1", "k0"])
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for text, label in zip(part["text"], part["label"]):
+                    seen[label > 0].update({g for w in set(TOKEN.findall(text.lower())) for g in grams_of(w)})
+                k0, k1 = seen
+                grams = list(k0.keys() | k1.keys())
+                yield pd.DataFrame({"gram": grams, "k1": [k1[g] for g in grams], "k0": [k0[g] for g in grams]})
 
     counts = rows.select("text", "label").mapInPandas(count, "gram string, k1 bigint, k0 bigint")
     sums = counts.groupBy("gram").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
@@ -336,7 +340,7 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x @ m.curve, -500, 500))), spans
 
 
-def tagged(model: Field, text: Column, together: int = 256) -> Column:
+def tagged(model: Field, text: Column, together: int = 64) -> Column:
     """Struct of ``score`` and ``spans`` (code point offsets of offending runs) of a text."""
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int>>")
