@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir, materialise
+from tessera.session import materialise, stage_folder
 
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, copies BIGINT, batch BIGINT"
 
@@ -44,7 +44,7 @@ class DigestIndex:
     @classmethod
     def scratch(cls, spark: SparkSession, buckets: int) -> DigestIndex:
         """An empty index in the shared folder of the session."""
-        return cls(spark, f"{ensure_checkpoint_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets)
+        return cls(spark, f"{stage_folder(spark)}/digest-index-{uuid.uuid4().hex}", buckets)
 
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.table)

@@ -148,3 +148,15 @@ def test_pipeline_stages(spark, tmp_path):
     encoded = tables["encoding"].collect()
     assert Counter(r.doc_id for r in encoded) == Counter(i for i, _, _ in rows["mixing"])
     assert corpus_pipeline.run(spark, sf).count() == len(encoded)
+
+
+def test_pipeline_takes_odd_and_empty_documents(spark, odd_docs, no_docs, tmp_path):
+    for k, docs in enumerate((odd_docs, no_docs)):
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / f"{name}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if name == "near_dedup" and not k:
+                texts = [r.text or "" for r in docs.collect()]
+                kept = [t for t in texts if brute_texts([t])[0][0]]
+                assert len(kept) == len(set(kept)) and texts.count("") == 1
+        assert (docs.count() > 0) == (k == 0)
