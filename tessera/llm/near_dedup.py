@@ -176,11 +176,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = met.select("node").distinct().join(nodes.select("node", "key"), "node")
     source = docs.select(text_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: set_digest(shingle_set(t)))
+    # takes both sides' columns, so it runs on the joined rows and not on every document before the join
+    @F.pandas_udf("boolean")
+    def is_node(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([set_digest(shingle_set(t)) == n for t, n in zip(texts, names)], dtype=bool)
 
-    found = source.hint("merge").join(wanted, "key").where(digest("text") == F.col("node"))
+    found = source.hint("merge").join(wanted, "key").where(is_node("text", "node"))
     texts = materialise(found.groupBy("node").agg(F.any_value("text").alias("text")))
 
     sketch = nodes.select("node", "sketch")
