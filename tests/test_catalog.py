@@ -52,4 +52,4 @@ def test_entry(spark):
 
     df = entry.entry(spark)
     assert df.columns == ["bucket", "n_dates", "n_rows", "mean_momentum", "mean_target_bps"] and df.count() == 2
-    assert entry.queries().keys() == catalog.QUERIES.keys() and entry.oracle_sql()
+    assert catalog.QUERIES.keys() <= entry.queries().keys() and entry.oracle_sql()
