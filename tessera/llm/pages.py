@@ -5,7 +5,8 @@ of its host with the nearest path; a host of any size spreads over partitions.
 Each page's lines (its blocks) are aligned with its neighbour's by longest
 common subsequence and shared lines are deleted as template text.  Lines inside
 an explicit main element are not deleted by that: neighbours that carry copies of
-one article would lose it, and nothing of an article may be dropped.  Elements
+one article would lose it, and nothing of an article may be dropped.  Lines outside
+it stay unless they are shared, so a teaser card does not cost a page its body.  Elements
 that markup itself declares as menu, header, footer, sidebar, notice, advert,
 form or comment never contribute.
 
@@ -141,10 +142,10 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
 
 
 def main_text(page: tuple, neighbour: tuple | None) -> str:
-    """Lines of the main element, or without one the lines that the neighbour does not share."""
-    lines, inside, has_main = page
+    """Lines of main elements, and those elsewhere that the neighbour does not share."""
+    lines, inside, _ = page
     common = shared(lines, neighbour[0]) if neighbour else [False] * len(lines)
-    return " ".join(x for x, m, c in zip(lines, inside, common) if m or not (c or has_main))
+    return " ".join(x for x, m, c in zip(lines, inside, common) if m or not c)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
