@@ -13,11 +13,14 @@ form or comment never contribute.
 Defined results: null html gives an empty text; pages without a usable url have
 no neighbour; pages of one url are neighbours in order of page_id; repeated rows
 give repeated results; unclosed elements end where an enclosing or a main
-element says so; an empty table gives no rows; other columns are not read.
+element says so, and a skipped one that neither ends is not skipped; an article
+or main element outside another, and an element that holds one, is not skipped
+for its class, id, role or label; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -30,85 +33,172 @@ from tessera.session import ship_package
 
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?/]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|itemprop)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never main text, and words in class, id or role that say the same of any element.
+#: Elements that are never main text, and words in class, id, role or label that say the same of any element.
 SKIPPED = frozenset("head nav header footer aside form button menu dialog fieldset".split())
-SKIPPED_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|gdpr|sidebar|side|widget|nav\w*|menu|breadcrumbs?|footer|header|masthead|toolbar|"
-    r"comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search\w*|form|popup|modal|overlay|pagination|pager|tags|contentinfo|complementary|navigation)(?:$|[\s_-])",
+_WORD = (
+    r"ads?|advert(?:s|ise[a-z]*|ising)?|banner|sponsor(?:s|ed|ship)?|promo(?:s|tions?|ted)?|cookies?|consent|notices?|alert|gdpr|sidebar|side|widget|nav(?:s|bar|box|igation|menu|list|links?)?|menu|breadcrumbs?|"
+    r"footer|header|masthead|toolbar|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search(?:box|form|bar)?|form|popup|modal|overlay|pagination|pager|tags|"
+    r"contentinfo|complementary"
+)
+#: A token made only of such words and of words for place or shape: it names the element, unlike has-sidebar,
+#: search-results, side-by-side or entry-header.
+SKIPPED_NAME = re.compile(
+    r"(?!search[-_](?:list|items?|posts|articles|stories))(?!side(?:bar)?[-_](?:container|wrapper|wrap))"
+    r"(?:(?:site|global|main|primary|secondary|top|bottom|left|right|mobile|desktop)[-_]|(?:post|article|entry|page)[-_](?!header|masthead|side|form|alert|notice|banner))*"
+    rf"(?:{_WORD})(?:[-_](?:{_WORD}|left|right|top|bottom|primary|secondary|bar|box|block|list|items?|container|wrapper|wrap|section|area|panel|slot|unit|links?|buttons?|icons?|posts|articles|stories|inner|body|toggle|\d+))*\Z",
     re.I,
 )
-MAIN_ROLE = re.compile(r"^(?:main|article|articlebody)$", re.I)
-#: Elements that a start tag of the same kind closes, since authors may leave out the end.
-SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
+#: Elements whose end authors may leave out: the start tags that end them, and the elements such a tag does not reach across.
+SELF_CLOSING = frozenset("p li dt dd option tr td th thead tbody tfoot".split())
+_CELLS, _PARTS, _TERMS = (("td", "th"), ("tr", "table")), (("thead", "tbody", "tfoot"), ("table",)), (("dt", "dd"), ("dl",))
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": _TERMS, "dd": _TERMS, "option": (("option",), ("datalist",)), "td": _CELLS, "th": _CELLS,
+    "tr": (("tr",), ("table",)), "thead": _PARTS, "tbody": _PARTS, "tfoot": _PARTS, "body": (("head",), ()),
+}
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    """Attributes of a start tag by name; the first of a name counts."""
+    out: dict[str, str] = {}
+    if len(tag.split(None, 1)) > 1:
+        for k, v in ATTRIBUTE.findall(tag, TAG.match(tag).end()):
+            out.setdefault(k.lower(), v.strip("\"'"))
+    return out
+
+
+def _named(name: str, attributes: dict[str, str]) -> bool:
+    """Whether a whole class, id or role token, or the whole label, names an element that is never main text."""
+    tokens = [t for k in ("class", "id", "role") for t in attributes.get(k, "").split()]
+    return any(SKIPPED_NAME.match(t) for t in [*tokens, "-".join(attributes.get("aria-label", "").split())])
+
+
+class _Element:
+    """A start tag: place of the tag and of its end among the page's tags, and whether its own end tag or an enclosing one gave it."""
+
+    __slots__ = ("name", "start", "end", "own", "enclosed", "named", "hidden", "in_main")
+
+    def __init__(self, name: str, start: int, attributes: dict[str, str], in_main: bool):
+        self.name, self.start, self.end, self.own, self.enclosed = name, start, -1, False, False
+        self.named = bool(attributes) and name not in ("body", "html") and _named(name, attributes)
+        self.hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
+        self.in_main = in_main
+
+
+class _Open:
+    """The stack of open elements, with the places of each name for steps of constant cost."""
 
+    def __init__(self):
+        self.stack: list[_Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
-def _attributes(tag: str) -> list[tuple[str, str]]:
-    return [(k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(tag)]
+    def last(self, *names: str) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
 
+    def push(self, e: _Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        if e.name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
 
-def page_lines(page: str) -> tuple[list[str], list[bool], bool]:
-    """Blocks of a page in order, whether each lies in a main element, and whether the page has one.
+    def cut(self, place: int, step: int, enclosed: bool) -> None:
+        """End every element from ``place`` on."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.places[e.name].pop()
+            if e.name not in INLINE:
+                self.blocks.pop()
+            e.end, e.enclosed = step, enclosed
+
+    def end(self, name: str, step: int) -> None:
+        at = self.last(name)
+        wall = (self.blocks[-1] if self.blocks else -1) if name in INLINE else -1 if name in TABLE else self.last("td", "th", "caption")
+        if at > wall or (at >= 0 and name in ("body", "html")):
+            self.stack[at].own = True
+            self.cut(at, step, name not in ("body", "html"))
+
+    def start(self, name: str, step: int) -> None:
+        """End what a start tag of this name ends without an end tag."""
+        if name in ENDS_P and self.blocks and self.stack[self.blocks[-1]].name == "p":
+            self.cut(self.blocks[-1], step, True)
+        if (like := IMPLIED.get(name)) and (at := self.last(*like[0])) > self.last(*like[1]):
+            self.cut(at, step, True)
+
+
+def page_lines(page: str) -> tuple[list[str], list[bool]]:
+    """Blocks of a page in order, and whether each lies in a main element.
 
     Blocks of skipped elements are left out.
     """
+    texts: list[str] = []
+    breaks: list[bool] = []
+    started: dict[int, _Element] = {}
+    opened, at = _Open(), 0
+    for step, m in enumerate(PART.finditer(page)):
+        texts.append(page[at : m.start()])
+        at = m.end()
+        tag = TAG.match(m.group())
+        if tag is None or m.group(1):
+            breaks.append(False)
+            continue
+        name = tag.group(2).lower()
+        breaks.append(name not in INLINE)
+        if tag.group(1):
+            opened.end(name, step)
+        else:
+            opened.start(name, step)
+            if name not in VOID:
+                e = started[step] = _Element(name, step, _attributes(m.group()), opened.last("article", "main") >= 0)
+                opened.push(e)
+    opened.cut(0, len(texts), False)
+    tail = page[at:]
+    texts.append(tail[: tail.rfind("<")] if re.search(r"<[!/a-zA-Z][^<>]*\Z", tail) else tail)
+
+    mains = [s for s, e in started.items() if e.name in ("article", "main") and not (e.named and e.in_main)]
     lines, inside, buffer = [], [], []
-    skip, depth, main, has_main = "", 0, 0, False
+    #: End, skipped and in a main element, of the elements around this step that decide it.
+    around = [(len(texts), False, False)]
 
     def close() -> None:
         if buffer:
             if line := " ".join(entities.unescape("".join(buffer)).split()):
                 lines.append(line)
-                inside.append(main > 0)
+                inside.append(around[-1][2])
             buffer.clear()
 
-    at = 0
-    for m in PART.finditer(page):
-        if at < m.start() and not skip:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        tag = TAG.match(m.group())
-        if tag is None or m.group(1):
+    for step, text in enumerate(texts):
+        if not around[-1][1]:
+            buffer.append(text)
+        if step == len(breaks):
+            break
+        if breaks[step]:
+            close()
+        while around[-1][0] <= step:
+            around.pop()
+        if (e := started.get(step)) is None:
             continue
-        end, name = bool(tag.group(1)), tag.group(2).lower()
-        if name in INLINE and not (not end and ("class" in m.group() or "role" in m.group() or "id=" in m.group())) and not skip:
+        _, skipped, in_main = around[-1]
+        if e.name in ("article", "main") and not (e.named and e.in_main) and not e.hidden:
+            around.append((e.end, False, True))
             continue
-        is_main = name in ("article", "main")
-        if skip:
-            if is_main and not end and not SKIPPED_WORD.search(" ".join(v for _, v in _attributes(m.group()))) and skip not in ("article", "main"):
-                skip, depth = "", 0
-            elif name == skip and not end and name in SELF_CLOSING:
-                skip = ""
-            elif name == skip:
-                depth += -1 if end else 1
-                if depth <= 0:
-                    skip = ""
-                continue
-            else:
-                continue
-        if not end:
-            named = _attributes(m.group()) if " " in m.group() or "\n" in m.group() or "\t" in m.group() else []
-            words = " ".join(v for k, v in named if k in ("class", "id", "role", "aria-label"))
-            plain_header = name == "header" and main > 0
-            hidden = any(k == "hidden" for k, _ in named)
-            if name not in VOID and name not in ("body", "html") and ((name in SKIPPED and not plain_header) or hidden or (words and SKIPPED_WORD.search(words))):
-                close()
-                skip, depth = name, 1
-                continue
-            is_main = is_main or any(k in ("role", "itemprop") and MAIN_ROLE.match(v) for k, v in named)
-        if name in INLINE:
+        following = bisect.bisect(mains, step)
+        main_at = mains[following] if following < len(mains) else len(texts)
+        of_kind = e.name in SKIPPED and not (e.name == "header" and in_main)
+        if skipped or not (of_kind or e.hidden or (e.named and not (e.own and main_at < e.end))):
             continue
-        close()
-        if is_main and name in ("article", "main"):
-            has_main = True
-            main = max(0, main + (-1 if end else 1))
-    if at < len(page) and not skip:
-        tail = page[at:]
-        buffer.append(tail[: tail.rfind("<")] if re.search(r"<[!/a-zA-Z][^<>]*\Z", tail) else tail)
+        end = e.end if e.own else min(e.end, main_at)
+        if e.own or e.enclosed or main_at < e.end or e.name in SELF_CLOSING:
+            close()
+            around.append((end, True, in_main))
     close()
-    return lines, inside, has_main
+    return lines, inside
 
 
 def shared(a: list[str], b: list[str]) -> list[bool]:
@@ -143,7 +233,7 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
 
 def main_text(page: tuple, neighbour: tuple | None) -> str:
     """Lines of main elements, and those elsewhere that the neighbour does not share."""
-    lines, inside, _ = page
+    lines, inside = page
     common = shared(lines, neighbour[0]) if neighbour else [False] * len(lines)
     return " ".join(x for x, m, c in zip(lines, inside, common) if m or not c)
 

@@ -9,3 +9,27 @@ def test_differencing_decides_lines_outside_the_main_element(spark):
     page = "<p>Site name</p><article>teaser {0}</article><div>The story {0} itself.</div><p>All rights reserved</p>"
     df = spark.createDataFrame([(k, f"https://h.example/{k}", page.format(k)) for k in range(4)], "page_id bigint, url string, html string")
     assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"teaser {k} The story {k} itself." for k in range(4)}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article class='post has-sidebar'>a</article>", "a"),
+        ("<div class='page with-sidebar'><p>b</div>", "b"),
+        ("<div id='search-results'>c</div><p class='side-by-side'>d</p><div class=no-nav>e</div>", "c d e"),
+        ("<div class='entry-header'><h1>T</h1></div><div class='site-footer'>f</div><p class='ad-slot-3'>g</p>x", "T x"),
+        ("<article class='sidebar'>a</article>", "a"),
+        ("<div class='widget'>intro<article>a</article>rest</div>", "intro a rest"),
+        ("<main>a<div id=comments>c<article class=comment-body>d</article></div>b</main>", "a b"),
+        ("<body><div><nav><ul><li>menu</ul></div><p>text</p></body>", "text"),
+        ("<body><div><div class=ad>buy<p>now</div></div><p>text</p></body>", "text"),
+        ("<body><table><tr><td><div class=ad>buy<td>text</table>more</body>", "text more"),
+        ("<body><nav><ul><li>menu</ul><p>text</p></body>", "menu text"),
+        ("<body><div class=ad>buy<p>text</body>", "buy text"),
+        ("<aside>s<article>a</article>t</aside>b", "a b"),
+        ("<p data-role=banner title='class=ad'>a</p><p hidden>h</p><span class=ad>x<span>y</span>z</span>b", "a b"),
+        ("<head><meta name=x><body><p>text<p class=ad>end", "text"),
+    ],
+)
+def test_what_markup_skips(page, text):
+    assert pages.main_text(pages.page_lines(page), None) == text
