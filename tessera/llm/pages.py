@@ -1,7 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are dealt and sorted by (host, path), so every page lies next to the page
-of its host with the nearest path; a host of any size spreads over partitions.
+Pages are dealt and sorted by (host, path, query), so every page lies next to the
+pages of its host with the nearest urls; a host of any size spreads over parts.
+A page's neighbour is the nearest page before it with another url and other lines,
+or without one the nearest such page after it; copies never face each other.
 Each page's lines (its blocks) are aligned with its neighbour's by longest
 common subsequence and shared lines are deleted as template text.  Lines inside
 an explicit main element are not deleted by that: neighbours that carry copies of
@@ -11,8 +13,9 @@ that markup itself declares as menu, header, footer, sidebar, notice, advert,
 form or comment never contribute.
 
 Defined results: null html gives an empty text; pages without a usable url have
-no neighbour; pages of one url are neighbours in order of page_id; repeated rows
-give repeated results; unclosed elements end where an enclosing or a main
+no neighbour; pages of one url lie in order of page_id and are not each other's
+neighbours, nor are pages without lines anyone's; repeated rows give
+repeated results; unclosed elements end where an enclosing or a main
 element says so, and a skipped one that neither ends is not skipped; an article
 or main element outside another, and an element that holds one, is not skipped
 for its class, id, role or label; an empty table gives no rows; other columns are not read.
@@ -21,15 +24,19 @@ for its class, id, role or label; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
+import json
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
+from tessera.session import materialise, ship_package
 
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?/]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
@@ -238,42 +245,191 @@ def main_text(page: tuple, neighbour: tuple | None) -> str:
     return " ".join(x for x, m, c in zip(lines, inside, common) if m or not c)
 
 
+def digest(lines: list[str]) -> str | None:
+    return hashlib.blake2b("\n".join(lines).encode("utf-8", "replace"), digest_size=16).hexdigest() if lines else None
+
+
+class Near:
+    """Pages of one host on one side of a place in the order, as far as a page there can need them.
+
+    ``latest`` holds the nearest page and the nearest one with other lines, ``outside`` the same
+    from before the nearest url's run.  Pages are (digest, anything).
+    """
+
+    def __init__(self):
+        self.host, self.url, self.latest, self.outside = "", None, [], []
+
+    def add(self, host: str, url: str, page: tuple) -> None:
+        if host != self.host:
+            self.host, self.url, self.latest, self.outside = host, None, [], []
+        if url != self.url:
+            self.url, self.outside = url, self.latest
+        if not self.latest or self.latest[0][0] != page[0]:
+            self.latest = [page, *self.latest[:1]]
+
+    def absorb(self, host: str, url: str, latest: list[tuple], outside: list[tuple]) -> None:
+        """Add a part of the order by what another ``Near`` kept of it."""
+        for page in reversed(outside):
+            self.add(host, f"not {url}", page)
+        for page in reversed(latest):
+            self.add(host, url, page)
+
+    def other(self, host: str, url: str, its_digest: str) -> tuple | None:
+        """The nearest page of the host with another url and other lines."""
+        if not host or host != self.host:
+            return None
+        return next((x for x in (self.outside if url == self.url else self.latest) if x[0] != its_digest), None)
+
+    def kept(self) -> tuple:
+        return self.host, self.url, self.latest, self.outside
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per part of the order: its first key and what its last and first host leave to the parts after and before."""
+    tail, first, head = Near(), None, None
+    for b in batches:
+        for host, path, query, page, tie, text in zip(b["_host"], b["_path"], b["_query"], b["_id"], b["_tie"], b["_digest"]):
+            first = first or [host, path, query, page, tie]
+            if not host or text is None:
+                continue
+            url, ref = path + query, (text, page, tie)
+            tail.add(host, url, ref)
+            head = head or (host, url, [], [])
+            if host == head[0]:
+                for kept in (head[2], head[3]) if url != head[1] else (head[2],):
+                    if not kept or len(kept) == 1 and kept[0][0] != text:
+                        kept.append(ref)
+    if first:
+        yield pd.DataFrame([(TaskContext.get().partitionId(), json.dumps([first, tail.kept() if tail.host else None, head]))], columns=["part", "kept"])
+
+
+def _around(rows: list) -> list[tuple[tuple, tuple]]:
+    """What lies before and after each part of the order."""
+    def walk(kept: list) -> list[tuple]:
+        near, out = Near(), []
+        for x in kept:
+            out.append(near.kept())
+            if x:
+                near.absorb(*x)
+        return out
+
+    return list(zip(walk([x[1] for x in rows]), reversed(walk([x[2] for x in reversed(rows)]))))
+
+
+def _texts(around: dict[int, tuple[tuple, tuple]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of whole parts in order; the pages around a part come before its own."""
+    columns = ["page_id", "url", "text", "n_chars"]
+    part, edge, out = None, {}, []
+    before, after, waiting, urls, digests = Near(), Near(), [], set(), set()
+
+    def put(row: tuple, neighbour: tuple | None) -> None:
+        text = main_text(row[4], neighbour and neighbour[1])
+        out.append((row[0], row[1], text, len(text)))
+
+    def settle(neighbour) -> None:
+        """Write the waiting pages for which ``neighbour`` gives a page; keep the others."""
+        kept = []
+        for row in waiting:
+            found = neighbour(row)
+            put(row, found or None) if found is not None else kept.append(row)
+        waiting[:] = kept
+        urls.clear(), digests.clear()
+        urls.update(r[2] for r in kept), digests.update(r[3] for r in kept)
+
+    def side(kept: tuple) -> Near:
+        near = Near()
+        near.host, near.url = kept[:2]
+        near.latest, near.outside = ([(x[0], edge[x[0]]) for x in pages] for pages in kept[2:])
+        return near
+
+    def close() -> None:
+        if waiting:
+            last = side(around[part][1])
+            settle(lambda r: last.other(before.host, r[2], r[3]) or ())
+
+    for b in batches:
+        for page_id, address, page, host, path, query, its_part, context in zip(*(b[c] for c in ("page_id", "url", "html", "_host", "_path", "_query", "_part", "_context"))):
+            if its_part != part:
+                close()
+                part, edge, before = its_part, {}, None
+            lines = page_lines(page or "")
+            its_digest = digest(lines[0])
+            if context:
+                edge[its_digest] = lines
+                continue
+            before = before or side(around[part][0])
+            url = path + query
+            if before.latest and before.latest[0][1] == lines:
+                lines = before.latest[0][1]
+            row = (page_id, address, url, its_digest, lines)
+            if not host or its_digest is None:
+                put(row, None)
+                continue
+            if waiting and host != before.host:
+                settle(lambda r: ())
+            # What waits has one url or one digest, so that a page with it settles nothing.
+            if waiting and not (urls == {url} or digests == {its_digest}):
+                settle(lambda r: (its_digest, lines) if r[2] != url and r[3] != its_digest else None)
+            if (found := before.other(host, url, its_digest)) is not None:
+                put(row, found)
+            else:
+                waiting.append(row)
+                urls.add(url), digests.add(its_digest)
+            before.add(host, url, (its_digest, lines))
+        yield pd.DataFrame(out, columns=columns)
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=columns)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
-    ship_package(pages.sparkSession)
-    url, place = F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
+    """One row per page: page_id, url, text, n_chars.  Action: digests of all pages in order.
+
+    The digests tell which pages lie around each part of the order; those are sent along with
+    the part, so neighbours do not depend on where parts begin.
+    """
+    spark = pages.sparkSession
+    ship_package(spark)
+    url, place = F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(\?[^#]*)?"
     near = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
         F.lower(F.regexp_extract(url, place, 1)).alias("_host"),
         F.regexp_extract(url, place, 2).alias("_path"),
+        F.regexp_extract(url, place, 3).alias("_query"),
+        F.xxhash64(html_col).alias("_tie"),
     )
-    key = ("_host", "_path", "page_id")
-    fields = f"page_id {dict(near.dtypes)['page_id']}, url string, text string, n_chars bigint"
+    id_type = near.schema["page_id"].dataType
+    keys = ("_host", "_path", "_query", "page_id", "_tie")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, before, waiting = None, None, None
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-
-            def put(row, neighbour):
-                text = main_text(row[2], neighbour)
-                out.append((row[0], row[1], text, len(text)))
-
-            for page_id, url, page, its_host in zip(b["page_id"], b["url"], b["html"], b["_host"]):
-                lines = page_lines(page or "")
-                if waiting is not None:
-                    put(waiting, lines if its_host == host and host else None)
-                    waiting = None
-                if its_host == host and host:
-                    put((page_id, url, lines), before)
-                else:
-                    waiting = (page_id, url, lines)
-                host, before = its_host, lines
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
-        if waiting is not None:
-            text = main_text(waiting[2], None)
-            yield pd.DataFrame([(waiting[0], waiting[1], text, len(text))], columns=["page_id", "url", "text", "n_chars"])
-
-    return near.repartitionByRange(*key).sortWithinPartitions(*key).mapInPandas(run, fields)
+            texts = [digest(page_lines(page or "")[0]) for page in b["html"]]
+            yield b.drop(columns="html").assign(_digest=pd.Series(texts, index=b.index, dtype=object))
+
+    small = near.select("_host", "_path", "_query", F.col("page_id").cast("string").alias("_id"), "_tie", "html")
+    small = materialise(small.mapInPandas(digests, "_host string, _path string, _query string, _id string, _tie bigint, _digest string"))
+    order = ["_host", "_path", "_query", F.col("_id").cast(id_type), "_tie"]
+    parts = small.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    rows = [json.loads(r.kept) for r in sorted(parts.mapInPandas(_edges, "part int, kept string").collect(), key=lambda r: r.part)]
+    around = dict(enumerate(_around(rows)))
+
+    def key(host, path, query, page, tie):
+        return F.struct(F.lit(host), F.lit(path), F.lit(query), F.lit(page).cast(id_type), F.lit(tie).cast("bigint"))
+
+    part = F.lit(0)
+    if len(rows) > 1:
+        part = F.size(F.filter(F.array(*(key(*x[0]) for x in rows[1:])), lambda first: first <= F.struct(*keys)))
+    near = near.withColumn("_part", part).withColumn("_context", F.lit(False))
+    sent = {(ref[1], ref[2], k) for k, sides in around.items() for x in sides for pages_ in x[2:] for ref in pages_}
+    wanted = spark.createDataFrame(sorted(sent, key=str), "_id string, _tie bigint, _to int")
+    extra = (
+        near.join(F.broadcast(wanted), (F.col("page_id").cast("string").eqNullSafe(F.col("_id"))) & (near["_tie"] == wanted["_tie"]))
+        .drop(wanted["_tie"])
+        .select(*(c for c in near.columns if c not in ("_part", "_context")), F.col("_to").alias("_part"), F.lit(True).alias("_context"))
+        .dropDuplicates(["_part", "page_id", "_tie"])
+    )
+    fields = f"page_id {dict(near.dtypes)['page_id']}, url string, text string, n_chars bigint"
+    dealt = near.unionByName(extra).repartitionById(max(len(rows), 1), F.col("_part"))
+    return dealt.sortWithinPartitions("_part", F.col("_context").desc(), *keys).mapInPandas(partial(_texts, around), fields)

@@ -1,5 +1,7 @@
 """HTML extraction: what differencing decides, what markup may skip, and neighbours."""
 
+import random
+
 import pytest
 
 from tessera.llm import pages
@@ -33,3 +35,42 @@ def test_differencing_decides_lines_outside_the_main_element(spark):
 )
 def test_what_markup_skips(page, text):
     assert pages.main_text(pages.page_lines(page), None) == text
+
+
+@pytest.fixture
+def parts(spark):
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, n)
+    spark.conf.set(name, was)
+
+
+def test_copies_and_crawls_keep_their_text(spark, parts):
+    page = "<p>Site name</p><p>{}</p><p>All rights reserved</p>"
+    rows = [("a", "story"), ("a", "story"), ("b", "story"), ("c", "other"), ("c", "other, again"), ("d", "other"), ("e", "last")]
+    df = spark.createDataFrame([(k, f"https://h.example/{u}", page.format(t)) for k, (u, t) in enumerate(rows)], "page_id bigint, url string, html string")
+    for n in (1, 2, 7):
+        parts(n)
+        assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: t for k, (_, t) in enumerate(rows)}
+
+
+def test_neighbours_equal_brute_force_for_any_parts(spark, parts):
+    rng, rows = random.Random(5), []
+    for k in range(240):
+        host, path = rng.choice(["a", "b", "b", "b", "b", ""]), rng.choice("pqrstuvwxy") * rng.choice([1, 1, 2])
+        html = "".join(f"<p>{x}" for x in rng.sample("uvwxyz", rng.choice([0, 1, 1, 2, 3])))
+        rows.append((k, f"http://{host}/{path}" if host else None, html))
+    rows += [(240 + k, f"http://c/{k:03d}", "<p>one<p>page") for k in range(40)] + [(280, "http://c/999", "<p>one<p>end")]
+    rows += [(300 + k, "http://d/same", f"<p>t<p>{k}") for k in range(40)] + [(340, "http://d/z", "<p>t<p>3")]
+    order = sorted((r for r in rows if r[1]), key=lambda r: (r[1][7:], r[0]))
+    lines = {k: pages.page_lines(h) for k, _, h in rows}
+    expected = {k: pages.main_text(lines[k], None) for k, _, _ in rows}
+    for i, (k, url, _) in enumerate(order):
+        for k2, url2, _ in [*order[:i][::-1], *order[i + 1 :]]:
+            if url2[7] == url[7] and url2 != url and lines[k2][0] and lines[k2][0] != lines[k][0]:
+                expected[k] = pages.main_text(lines[k], lines[k2])
+                break
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for n in (1, 3, 16, 64):
+        parts(n)
+        assert {r.page_id: r.text for r in pages.extract(df).collect()} == expected
