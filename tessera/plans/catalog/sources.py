@@ -156,10 +156,11 @@ def s14(spark, sf):
                                ({"run": "second", "scenario": "no_quotes"}, b.select("asset", "date", "close"))])
 
 
-@query("q24_landing_progress", "country planned_files:i n_rows:i done:b")
+@query("q24_landing_progress", "country planned_files:i files:i n_rows:i done:b")
 def q24(spark, sf):
     path = _folder(spark)
     b = v.bars(spark, sf, "sup")
-    writers.write_by_country(b, path)
-    expected = b.groupBy("country").agg(F.lit(1).alias("planned_files"))
-    return inventory.landing_progress(spark.read.parquet(path), expected)
+    writers.write_by_month(b, path)
+    expected = b.select("country", F.date_format("date", "yyyy-MM").alias("month")).distinct().withColumn("planned_files", F.lit(1))
+    landed = spark.read.schema("country string, month string, asset bigint").parquet(path)
+    return inventory.landing_progress(landed, expected)

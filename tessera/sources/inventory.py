@@ -26,12 +26,14 @@ def check_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.join(a, "path", "left").select("path", status.alias("status"))
 
 
-def landing_progress(landed: DataFrame, expected: DataFrame) -> DataFrame:
-    """Files and rows per country against the number of files planned.
+def landing_progress(landed: DataFrame, expected: DataFrame, unit: str = "month") -> DataFrame:
+    """Files and rows per country against the plan, which gives the number of files per country and ``unit``.
 
-    ``landed`` is a file scan; the file name comes from its metadata column.
+    ``landed`` is a file scan; the file name comes from its metadata column.  A country is done when
+    every unit has its files: more files of one unit don't make up for another.
     """
-    n = landed.select("country", F.col("_metadata.file_path").alias("f")).groupBy("country").agg(
+    n = landed.select("country", unit, F.col("_metadata.file_path").alias("f")).groupBy("country", unit).agg(
         F.count_distinct("f").alias("files"), F.count(F.lit(1)).alias("n_rows"))
-    return expected.join(n, "country", "left").fillna({"files": 0, "n_rows": 0}).withColumn(
-        "done", F.col("files") >= F.col("planned_files"))
+    return expected.join(n, ["country", unit], "left").fillna({"files": 0, "n_rows": 0}).groupBy("country").agg(
+        F.sum("planned_files").alias("planned_files"), F.sum("files").alias("files"), F.sum("n_rows").alias("n_rows"),
+        F.bool_and(F.col("files") >= F.col("planned_files")).alias("done"))
