@@ -9,8 +9,9 @@ field learns how far each level can be trusted.  The field has two states;
 its features are the lexicon levels of a token's word and beginnings and the
 token's shape.  Gradients are summed over the parts of the sample.
 
-Scoring tags whole texts, in chain segments of ``SEGMENT`` tokens: marginals from
-the forward-backward recursion are summed to document features, a logistic
+Each text is one chain, in training and in scoring.  It is laid out in rows of
+``SEGMENT`` tokens, and messages are carried over the borders of its rows.  Marginals
+from the forward-backward recursion are summed to document features, a logistic
 curve turns those into a score, and runs of likely tokens are offending spans.
 
 Labels come from at most ``SAMPLE`` rows; the held-out fold is never read.
@@ -113,10 +114,46 @@ def segments(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(codes)), counts)
 
 
-def marginals(unary: np.ndarray, live: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def continued(owner: np.ndarray) -> np.ndarray:
+    """Whether each row goes on with the chain of the row before."""
+    return np.concatenate([np.zeros(min(len(owner), 1), bool), owner[1:] == owner[:-1]])
+
+
+def _borders(e: np.ndarray, b: np.ndarray, live: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages over the borders of rows of one chain: into each row from the rows before, and from those after.
+
+    Rows are multiplied up to transfer matrices, all at once; then the chains are walked row by row.
+    """
+    m, t = live.shape
+    into, out = np.ones((m, 2)), np.ones((m, 2))
+    followed = np.concatenate([goes_on[1:], np.zeros(1, bool)])
+    at = np.flatnonzero(goes_on | followed)
+    moves = np.broadcast_to(np.eye(2), (len(at), 2, 2))
+    for k in range(t):
+        x = moves @ b if k else np.where(goes_on[at, None, None], b, moves)
+        x = x * e[at, k][:, None, :]
+        moves = np.where(live[at, k][:, None, None], x / x.sum(axis=(1, 2))[:, None, None], moves)
+    place = np.zeros(m, dtype=np.int64)
+    place[at] = np.arange(len(at))
+    starts = np.flatnonzero(~goes_on)
+    depth = np.arange(m) - np.repeat(starts, np.diff(np.append(starts, m)))
+    later = np.flatnonzero(goes_on)
+    later = later[np.argsort(depth[later], kind="stable")]
+    steps = np.split(later, np.flatnonzero(np.diff(depth[later])) + 1) if len(later) else []
+    for r in steps:
+        x = (into[r - 1][:, None, :] @ moves[place[r - 1]])[:, 0]
+        into[r] = x / x.sum(axis=1)[:, None]
+    for r in reversed(steps):
+        x = (moves[place[r]] @ out[r][:, :, None])[:, :, 0]
+        out[r - 1] = x / x.sum(axis=1)[:, None]
+    return into, out
+
+
+def marginals(unary: np.ndarray, live: np.ndarray, between: np.ndarray, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over rows: P(state 1) per token, expected transitions (2, 2), log partition per row.
 
-    ``unary`` is the score of state 1 against state 0; messages are kept normalised.
+    ``unary`` is the score of state 1 against state 0; messages are kept normalised.  Rows that
+    ``goes_on`` marks continue the chain of the row before, which is full; their log partitions add up.
     """
     m, t = unary.shape
     u = np.stack([np.zeros_like(unary), unary], axis=2)
@@ -124,22 +161,24 @@ def marginals(unary: np.ndarray, live: np.ndarray, between: np.ndarray) -> tuple
     e = np.exp(u - top[:, :, None])
     e[~live] = 1.0
     b = np.exp(between)
+    goes_on = np.zeros(m, bool) if goes_on is None else goes_on
+    into, out = _borders(e, b, live, goes_on)
     ahead, back, scale = np.empty((t, m, 2)), np.empty((t, m, 2)), np.empty((t, m))
     for k in range(t):
-        a = e[:, k] if k == 0 else np.where(live[:, k, None], (ahead[k - 1] @ b) * e[:, k], ahead[k - 1])
+        a = np.where(goes_on[:, None], into @ b, 1.0) * e[:, 0] if k == 0 else np.where(live[:, k, None], (ahead[k - 1] @ b) * e[:, k], ahead[k - 1])
         scale[k] = a.sum(axis=1)
         ahead[k] = a / scale[k][:, None]
-    back[t - 1] = 1.0
+    back[t - 1] = out
     for k in range(t - 2, -1, -1):
         x = np.where(live[:, k + 1, None], (back[k + 1] * e[:, k + 1]) @ b.T, back[k + 1])
         back[k] = x / x.sum(axis=1)[:, None]
     joint = ahead * back
     p = np.where(live, (joint[:, :, 1] / joint.sum(axis=2)).T, 0.0)
     pairs = np.zeros((2, 2))
-    for k in range(1, t):
-        on = live[:, k]
+    for k in range(t):
+        on = live[:, k] if k else goes_on
         if on.any():
-            x = ahead[k - 1][on][:, :, None] * b * (back[k][on] * e[on, k])[:, None, :]
+            x = (ahead[k - 1] if k else into)[on][:, :, None] * b * (back[k][on] * e[on, k])[:, None, :]
             pairs += (x / x.sum(axis=(1, 2))[:, None, None]).sum(axis=0)
     first = live.sum(axis=1) > 0
     return p, pairs, np.where(first, np.log(scale).sum(axis=0) + (top * live).sum(axis=1), 0.0)
@@ -152,13 +191,15 @@ def _objective(batches: Iterator[pd.DataFrame], unary: np.ndarray, between: np.n
     for b in batches:
         if not len(b):
             continue
-        codes, _ = segments([np.asarray(x) for x in b["codes"]])
+        codes, owner = segments([np.asarray(x) for x in b["codes"]])
         tags, _ = segments([np.asarray(x) for x in b["tags"]])
         live, tags = codes >= 0, np.maximum(tags, 0)
         scores = np.where(live, unary[np.maximum(codes, 0)], 0.0)
-        p, pairs, logz = marginals(scores, live, between)
-        step = live[:, 1:]
+        goes_on = continued(owner)
+        p, pairs, logz = marginals(scores, live, between, goes_on)
+        step, border = live[:, 1:], np.flatnonzero(goes_on)
         seen = np.bincount((2 * tags[:, :-1] + tags[:, 1:])[step], minlength=4).astype(float)
+        seen += np.bincount(2 * tags[border - 1, -1] + tags[border, 0], minlength=4)
         total[0] += (scores * tags).sum() + (seen * between.ravel()).sum() - logz.sum()
         total[1 : 1 + c] += np.bincount(codes[live], weights=(tags - p)[live], minlength=c)
         total[1 + c :] += seen - pairs.ravel()
@@ -303,7 +344,7 @@ def model_features(model: Field, codes: list[np.ndarray]) -> tuple[np.ndarray, n
     """Document features, marginals per segment and owner of each segment."""
     rows, owner = segments(codes)
     live = rows >= 0
-    p = marginals(np.where(live, model.unary[np.maximum(rows, 0)], 0.0), live, model.between)[0] if len(rows) else np.zeros((0, SEGMENT))
+    p = marginals(np.where(live, model.unary[np.maximum(rows, 0)], 0.0), live, model.between, continued(owner))[0] if len(rows) else np.zeros((0, SEGMENT))
     return document_features(p, owner, np.array([len(c) for c in codes])), p, owner
 
 
