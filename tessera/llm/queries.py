@@ -178,3 +178,47 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.lattice import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS row, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q AS p
+  FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v ORDER BY h, q LIMIT 16)),
+""" + ",\n".join(f"""d{k} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(q) AS q, min_by(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.*, c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q, p)]) AS d FROM v, c{k}) GROUP BY row)""" + (f""",
+m{k} AS (SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM d{k}, range(1, 65) r(i) GROUP BY 1, 2),
+c{k + 1} AS (SELECT c, coalesce(any_value(l), any_value(p)) AS p FROM c{k} LEFT JOIN (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS l FROM m{k} GROUP BY c) USING (c) GROUP BY c)""" if k < 3 else "") for k in range(4)) + """
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM d3 JOIN c3 USING (c)
+"""
+
+
+@query("op11_hadamard_clustering", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of 16 centroids over all vectors, by progressive search."""
+    from tessera.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words and forms of all words of the documents."""
+    from tessera.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_sentence_pieces")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by a public piece vocabulary, and their text again, as digests."""
+    import public_tokenizers
+
+    from tessera.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
