@@ -4,13 +4,12 @@ Pages are dealt and sorted by (host, path, query), so every page lies next to th
 pages of its host with the nearest urls; a host of any size spreads over parts.
 A page's neighbour is the nearest page before it with another url and other lines,
 or without one the nearest such page after it; copies never face each other.
-Each page's lines (its blocks) are aligned with its neighbour's by longest
-common subsequence and shared lines are deleted as template text.  Lines inside
-an explicit main element are not deleted by that: neighbours that carry copies of
-one article would lose it, and nothing of an article may be dropped.  Lines outside
-it stay unless they are shared, so a teaser card does not cost a page its body.  Elements
-that markup itself declares as menu, header, footer, sidebar, notice, advert,
-form or comment never contribute.
+All lines of a page (its blocks, menus and footers too) are aligned with its
+neighbour's by longest common subsequence, and shared lines are deleted as template
+text.  Shared lines of a main element stay: neighbours may carry near copies of one
+article or repeat a sentence, and a list of links beside one article names another's title.
+From what is left, lines go that markup itself declares as menu, header, footer,
+sidebar, notice, advert, form or comment, as these may differ from page to page.
 
 Defined results: null html gives an empty text; pages without a usable url have
 no neighbour; pages of one url lie in order of page_id and are not each other's
@@ -35,6 +34,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.session import materialise, ship_package
 
@@ -58,6 +58,9 @@ SKIPPED_NAME = re.compile(
     rf"(?:{_WORD})(?:[-_](?:{_WORD}|left|right|top|bottom|primary|secondary|bar|box|block|list|items?|container|wrapper|wrap|section|area|panel|slot|unit|links?|buttons?|icons?|posts|articles|stories|inner|body|toggle|\d+))*\Z",
     re.I,
 )
+#: Words that say it behind any word before them but these, and names in one word.
+LOUD = r"ads?|advert(?:s|isements?|ising)?|sponsored|promos?|cookies?|sidebar|nav|navigation|menu|breadcrumbs?|comments?|disqus|replies|share|sharing|social|related|recommended|newsletter"
+LOUD_NAME = re.compile(rf"(?!(?:[a-z0-9]+[-_])*(?:has|with|without|no|not|layout|cols?|columns?)[-_])[a-z0-9]+(?:[-_][a-z0-9]+)*?[-_](?:{LOUD})\Z|comment(?:list|s?area|form)|adsby[a-z]+|ad(?:box|slot|unit|block)\Z", re.I)
 #: Elements whose end authors may leave out: the start tags that end them, and the elements such a tag does not reach across.
 SELF_CLOSING = frozenset("p li dt dd option tr td th thead tbody tfoot".split())
 _CELLS, _PARTS, _TERMS = (("td", "th"), ("tr", "table")), (("thead", "tbody", "tfoot"), ("table",)), (("dt", "dd"), ("dl",))
@@ -83,7 +86,7 @@ def _attributes(tag: str) -> dict[str, str]:
 def _named(name: str, attributes: dict[str, str]) -> bool:
     """Whether a whole class, id or role token, or the whole label, names an element that is never main text."""
     tokens = [t for k in ("class", "id", "role") for t in attributes.get(k, "").split()]
-    return any(SKIPPED_NAME.match(t) for t in [*tokens, "-".join(attributes.get("aria-label", "").split())])
+    return any(SKIPPED_NAME.match(t) or LOUD_NAME.match(t) for t in [*tokens, "-".join(attributes.get("aria-label", "").split())])
 
 
 class _Element:
@@ -139,11 +142,8 @@ class _Open:
             self.cut(at, step, True)
 
 
-def page_lines(page: str) -> tuple[list[str], list[bool]]:
-    """Blocks of a page in order, and whether each lies in a main element.
-
-    Blocks of skipped elements are left out.
-    """
+def page_lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """Blocks of a page in order, whether each lies in a main element, and whether markup declares it no main text."""
     texts: list[str] = []
     breaks: list[bool] = []
     started: dict[int, _Element] = {}
@@ -169,7 +169,7 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
     texts.append(tail[: tail.rfind("<")] if re.search(r"<[!/a-zA-Z][^<>]*\Z", tail) else tail)
 
     mains = [s for s, e in started.items() if e.name in ("article", "main") and not (e.named and e.in_main)]
-    lines, inside, buffer = [], [], []
+    lines, inside, declared, buffer = [], [], [], []
     #: End, skipped and in a main element, of the elements around this step that decide it.
     around = [(len(texts), False, False)]
 
@@ -178,14 +178,14 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
             if line := " ".join(entities.unescape("".join(buffer)).split()):
                 lines.append(line)
                 inside.append(around[-1][2])
+                declared.append(around[-1][1])
             buffer.clear()
 
     for step, text in enumerate(texts):
-        if not around[-1][1]:
-            buffer.append(text)
+        buffer.append(text)
         if step == len(breaks):
             break
-        if breaks[step]:
+        if breaks[step] or (around[-1][0] <= step and around[-1][1]):
             close()
         while around[-1][0] <= step:
             around.pop()
@@ -205,28 +205,27 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
             close()
             around.append((end, True, in_main))
     close()
-    return lines, inside
+    return lines, inside, declared
 
 
-def shared(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of ``a`` belong to a longest common subsequence with ``b``.
+def aligned(a: list[str], b: list[str]) -> list[int]:
+    """Per line of ``a`` its line of ``b`` in a longest common subsequence, or -1.
 
     Bit-parallel rows over the lines that occur in both: bit i of a row is 0 where
     line i of ``a`` raises the length reached so far.
     """
     both = set(a) & set(b)
-    out = [False] * len(a)
-    places = [i for i, x in enumerate(a) if x in both]
-    other = [x for x in b if x in both]
+    out = [-1] * len(a)
+    places, others = ([i for i, x in enumerate(c) if x in both] for c in (a, b))
     masks: dict[str, int] = {}
     for bit, i in enumerate(places):
         masks[a[i]] = masks.get(a[i], 0) | 1 << bit
     full, row, rows = (1 << len(places)) - 1, (1 << len(places)) - 1, []
-    for x in other:
-        hit = row & masks[x]
+    for k in others:
+        hit = row & masks[b[k]]
         row = ((row + hit) | (row - hit)) & full
         rows.append(row)
-    i, j = len(places), len(other)
+    i, j = len(places), len(others)
     while i and j:
         if rows[j - 1] >> (i - 1) & 1:
             i -= 1
@@ -234,18 +233,30 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
             j -= 1
             if not (j and not rows[j - 1] >> (i - 1) & 1):
                 i -= 1
-                out[places[i]] = True
+                out[places[i]] = others[j]
     return out
 
 
+def shared(page: tuple, neighbour: tuple) -> list[bool]:
+    """Which lines of a page its neighbour shows to be template text."""
+    lines, inside, declared = page
+    return [p >= 0 and (d or not m) for p, m, d in zip(aligned(lines, neighbour[0]), inside, declared)]
+
+
+def decisions(page: tuple, neighbour: tuple | None) -> list[str]:
+    """Per line: ``shared`` (deleted by differencing), then ``markup`` (declared no main text), or ``main``."""
+    common = shared(page, neighbour) if neighbour else [False] * len(page[0])
+    return ["shared" if c else "markup" if d else "main" for c, d in zip(common, page[2])]
+
+
 def main_text(page: tuple, neighbour: tuple | None) -> str:
-    """Lines of main elements, and those elsewhere that the neighbour does not share."""
-    lines, inside = page
-    common = shared(lines, neighbour[0]) if neighbour else [False] * len(lines)
-    return " ".join(x for x, m, c in zip(lines, inside, common) if m or not c)
+    """Lines that neither differencing nor markup takes away."""
+    return " ".join(x for x, why in zip(page[0], decisions(page, neighbour)) if why == "main")
 
 
-def digest(lines: list[str]) -> str | None:
+def digest(page: tuple) -> str | None:
+    """Digest of the lines that markup leaves; None without any."""
+    lines = [x for x, d in zip(page[0], page[2]) if not d]
     return hashlib.blake2b("\n".join(lines).encode("utf-8", "replace"), digest_size=16).hexdigest() if lines else None
 
 
@@ -353,7 +364,7 @@ def _texts(around: dict[int, tuple[tuple, tuple]], batches: Iterator[pd.DataFram
                 close()
                 part, edge, before = its_part, {}, None
             lines = page_lines(page or "")
-            its_digest = digest(lines[0])
+            its_digest = digest(lines)
             if context:
                 edge[its_digest] = lines
                 continue
@@ -405,7 +416,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [digest(page_lines(page or "")[0]) for page in b["html"]]
+            texts = [digest(page_lines(page or "")) for page in b["html"]]
             yield b.drop(columns="html").assign(_digest=pd.Series(texts, index=b.index, dtype=object))
 
     small = near.select("_host", "_path", "_query", F.col("page_id").cast("string").alias("_id"), "_tie", "html")
@@ -415,12 +426,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = [json.loads(r.kept) for r in sorted(parts.mapInPandas(_edges, "part int, kept string").collect(), key=lambda r: r.part)]
     around = dict(enumerate(_around(rows)))
 
-    def key(host, path, query, page, tie):
-        return F.struct(F.lit(host), F.lit(path), F.lit(query), F.lit(page).cast(id_type), F.lit(tie).cast("bigint"))
+    whole = isinstance(id_type, IntegralType)
+
+    def place_of(host: str, path: str, query: str, page: object, tie: object) -> tuple:
+        """A key in Spark's order, nulls first; strings lie in code-point order in both."""
+        page = None if page is None or page != page else int(page) if whole else str(page)
+        return host, path, query, page is not None, page if page is not None else 0 if whole else "", tie is not None, 0 if tie is None else int(tie)
+
+    firsts = [place_of(*x[0]) for x in rows[1:]]
+
+    @F.pandas_udf("int")
+    def part_of(host: pd.Series, path: pd.Series, query: pd.Series, page: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect(firsts, place_of(*k)) for k in zip(host, path, query, page, tie)], dtype="int32")
 
-    part = F.lit(0)
-    if len(rows) > 1:
-        part = F.size(F.filter(F.array(*(key(*x[0]) for x in rows[1:])), lambda first: first <= F.struct(*keys)))
+    part = part_of("_host", "_path", "_query", F.col("page_id").cast("string"), "_tie")
     near = near.withColumn("_part", part).withColumn("_context", F.lit(False))
     sent = {(ref[1], ref[2], k) for k, sides in around.items() for x in sides for pages_ in x[2:] for ref in pages_}
     wanted = spark.createDataFrame(sorted(sent, key=str), "_id string, _tie bigint, _to int")

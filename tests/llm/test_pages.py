@@ -74,3 +74,50 @@ def test_neighbours_equal_brute_force_for_any_parts(spark, parts):
     for n in (1, 3, 16, 64):
         parts(n)
         assert {r.page_id: r.text for r in pages.extract(df).collect()} == expected
+
+
+def test_differencing_comes_before_markup():
+    """Shared menus and footers go by differencing, what differs per page by markup; without differencing unmarked template text stays."""
+    page = "<nav><a>Home</a><p>Posts</nav><p>Site name<article><p>story {0}<p>A sentence both have.</article><p>Imprint<aside>advert {0}</aside><footer>since 2001</footer>"
+    a, b = (pages.page_lines(page.format(k)) for k in (1, 2))
+    assert dict(zip(a[0], pages.decisions(a, b))) == {
+        "Home": "shared", "Posts": "shared", "Site name": "shared", "story 1": "main", "A sentence both have.": "main",
+        "Imprint": "shared", "advert 1": "markup", "since 2001": "shared",
+    }
+    assert pages.main_text(a, b) == "story 1 A sentence both have."
+    assert pages.main_text(a, None) == "Site name story 1 A sentence both have. Imprint"
+
+
+@pytest.mark.parametrize("tag", ["section class='user-comments'", "ol class='commentlist'", "div class='js-ad'", "div class='adsbygoogle'", "div class='wp-block-social'", "div id='story-related'"])
+def test_declared_names_with_any_word_before(tag):
+    assert pages.main_text(pages.page_lines(f"<main>body<{tag}>gone</{tag.split()[0]}>more</main>"), None) == "body more"
+
+
+@pytest.mark.parametrize("name", ["content-header", "card-form", "layout-no-sidebar", "with-nav", "two-col-sidebar-right", "map-side", "header-image", "download", "nomad", "shared-story"])
+def test_other_names_stay(name):
+    assert pages.main_text(pages.page_lines(f"<main>body<div class='{name}'>kept</div></main>"), None) == "body kept"
+
+
+def test_both_steps_remove_lines_of_the_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("url", "page_id").collect()
+    seen, before = {"shared": 0, "markup": 0}, None
+    for r in rows:
+        page = pages.page_lines(r.html or "")
+        if before and before[0] == r.url.split("/")[2] and pages.digest(before[1]) != pages.digest(page):
+            for why in pages.decisions(page, before[1]):
+                seen[why] = seen.get(why, 0) + 1
+        before = (r.url.split("/")[2], page)
+    assert seen["shared"] > 0 and seen["markup"] > 0
+
+
+def test_long_pages_ties_and_null_ids(spark, parts):
+    """One very long page, rows that tie in everything, ids that are null: each gives its own row and the same text for any parts."""
+    long = "<p>Site<article>" + "".join(f"<p>line {k} of it" for k in range(20_000)) + "</article><p>End"
+    rows = [(1, "http://h/a", long), (2, "http://h/b", "<p>Site<p>two<p>End"), (2, "http://h/b", "<p>Site<p>two<p>End"), (None, "http://h/c", "<p>Site<p>none<p>End"), (None, "http://h/c", None), (None, None, None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, html string, text string, _host string")
+    for n in (1, 5):
+        parts(n)
+        out = pages.extract(df).collect()
+        assert sorted((str(r.page_id), str(r.url), r.text) for r in out) == sorted(
+            [("1", "http://h/a", " ".join(f"line {k} of it" for k in range(20_000))), ("2", "http://h/b", "two"), ("2", "http://h/b", "two"), ("None", "http://h/c", "none"), ("None", "http://h/c", ""), ("None", "None", "")]
+        )
