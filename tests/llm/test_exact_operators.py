@@ -88,6 +88,15 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs, tmp_path):
     assert bpe.encode(no_docs, VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def join_sides(plan):
+    """The two subtrees below the first sort-merge join of a plan's text."""
+    lines = plan.split("\n")
+    at = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    column = lines[at].index("SortMergeJoin")
+    starts = [i for i in range(at + 1, len(lines)) if lines[i][column : column + 3] in (":- ", "+- ")][:2]
+    return ["\n".join(lines[starts[0] : starts[1]]), "\n".join(lines[starts[1] :])]
+
+
 def test_index_takes_batches(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     batch = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -98,8 +107,30 @@ def test_index_takes_batches(spark, tmp_path):
     second = {r.doc_id: r for r in index.ingest(batch([(4, "b"), (5, "c"), (6, "c"), (7, "d")])).collect()}
     assert {i: r.kept for i, r in second.items()} == {4: False, 5: False, 6: True, 7: True} and second[4].keep_id == 3
     assert index.rows().count() == 4 and index.ingest(batch([])).count() == 0
-    plan = index.rows().hint("merge").join(index.rows().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SelectedBucketsCount: 4 out of 4" in plan and "Exchange" not in plan
+    third = exact_dedup._digested(batch([(8, "b"), (9, "c"), (10, "new"), (11, "new")]), "doc_id", "text", ()).groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies"))
+    for df in (index.fresh(third), index.held(third)):
+        sides = join_sides(df._jdf.queryExecution().executedPlan().toString())
+        (unmoved,) = [side for side in sides if "SelectedBucketsCount: 4 out of 4" in side]
+        assert "Exchange" not in unmoved
+    assert [r.top.doc_id for r in index.fresh(third).collect()] == [11]
+
+
+def test_later_batches_lose_to_the_index(spark, monkeypatch):
+    """The second batch of a table meets the digests of the first: its anti-join drops rows, and results do not depend on the batches."""
+    offered, taken = [], []
+    plain = exact_dedup.DigestIndex.fresh
+
+    def counted(self, groups):
+        out = plain(self, groups)
+        offered.append(groups.count()), taken.append(out.count())
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "fresh", counted)
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(200)] + [(None, "text 3"), (None, "alone")], "doc_id bigint, text string")
+    out = [sorted(map(tuple, exact_dedup.dedup(docs, batches=n).collect()), key=str) for n in (1, 2, 5)]
+    assert out[0] == out[1] == out[2]
+    assert offered[1] == offered[2] - 1 == 40 and taken[:3] == [41, 40, 1] and all(t == 0 for t in taken[4:-1])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index") and spark.table(t.name).count() == 42]
 
 
 def test_targets_share_the_excess():
