@@ -1,50 +1,67 @@
-"""Exact ordering statistics that survive very large groups.
-
-A window over a group sorts the whole group in one task.  Cross-sections can
-hold an arbitrary number of rows, so the helpers here cut large groups into
-ordered buckets by a deterministic hash sample of their own order keys, rank
-inside each bucket, and add the bucket offsets.  Results equal the plain window
-for every input.
-
-Cut points are sampled at one fixed rate, so a group has as many buckets as its
-size asks for, however many such groups there are, and no side table is forced
-into a broadcast.  Whether any group is that large is asked once, by an aggregate
-job that combines map-side and returns one number (:func:`is_bounded`); if none
-is, every group is one bucket and the plan is the plain window.  A caller whose
-groups are limited by construction passes ``bounded=True`` and skips the question.
+"""Exact ordering statistics over groups of any size.
+
+A window over a group sorts the whole group in one task.  Cross-sections can hold
+an arbitrary number of rows, so rows are dealt by (group, range) instead, where
+ranges are cut from the order of (group, order key) of the whole table.  Cut
+points are the keys of one row in ``RANGE_ROWS``, chosen by hash, and of these at most
+``CUTS``, so the number of ranges follows the size of the table, a small table has
+one, and what rows are compared with is bounded.  Rows are exchanged
+once.  A window inside each (group, range) gives running sums; a group that lies in
+several ranges has its earlier ranges' sums carried on to the later ones.  Only a
+group that holds a cut point does, so the carried table has a few rows per
+cut point, which bounds its broadcast.  Cut points and carried sums are
+branches of the same lazy plan: nothing runs before the action, and every input
+takes the same way.
+
+Group keys may be null; order keys must be a total order where positions matter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import col
 
-HOT_ROWS = 2_000_000
-#: One in this many order keys is a cut point, the mean size of a bucket.
-BUCKET_ROWS = 500_000
+#: One in this many order keys is a cut point, the mean size of a range.
+RANGE_ROWS = 500_000
+#: Most cut points; beyond, ranges grow with the table.
+CUTS = 4096
 #: Cut points per step of the two-step search.
 STEP = 128
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The groups too large for one task."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.where(F.col("_n") > hot_rows)
+def _cut_points(d: DataFrame, at: Column, range_rows: int) -> Column:
+    """Sorted cut points ``all`` and every STEP-th of them, ``firsts``, as one scalar of the plan."""
+    h = F.xxhash64("at")
+    sample = d.select(at.alias("at")).where(F.pmod(h, F.lit(range_rows)) == 0).distinct().orderBy(h).limit(CUTS)
+    cuts = sample.agg(F.sort_array(F.collect_list("at")).alias("all"))
+    last = F.floor((F.size("all") - 1) / STEP).cast("int")
+    firsts = F.transform(F.sequence(F.lit(0), last), lambda k: F.element_at("all", k * STEP + 1))
+    firsts = F.when(F.size("all") > 0, firsts).otherwise(F.col("all"))
+    return cuts.select(F.struct("all", firsts.alias("firsts")).alias("cuts")).scalar()
 
 
-def is_bounded(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Action: no group exceeds ``hot_rows``."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (sizes.agg(F.max("_n")).first()[0] or 0) <= hot_rows
+def _same(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda x, y: x & y, [x.eqNullSafe(y) for x, y in zip(a, b)], F.lit(True))
 
 
-def _divide(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups and rows of hot groups."""
-    hot = hot_groups(df, keys, hot_rows).select(*keys)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+def _in_ranges(d: DataFrame, keys: list[str], at: Column, cuts: Column) -> DataFrame:
+    """Rows with their range, whether a cut point next to it is of their group (else the group lies in one range), and of their first order key too."""
+    d = d.withColumn("_cuts", cuts).withColumn("_at", F.when(F.size("_cuts.all") > 0, at))
+    points, firsts, none = F.col("_cuts.all"), F.col("_cuts.firsts"), F.col("_at").isNull()
+    # cut points below the row: whole steps before the last first one, then those of its step
+    d = d.withColumn("_s", F.when(none, 0).otherwise(F.size(F.filter(firsts, lambda c: c < F.col("_at")))))
+    inside = F.size(F.filter(F.slice(points, (F.col("_s") - 1) * STEP + 1, F.lit(STEP)), lambda c: c < F.col("_at")))
+    d = d.withColumn("_range", F.when(F.col("_s") == 0, F.lit(0)).otherwise((F.col("_s") - 1) * STEP + inside))
+    next_to = [F.get(points, place) for place in (F.col("_range") - 1, F.col("_range"))]
+    of_group = [F.coalesce(c["k"].eqNullSafe(F.col("_at.k")), F.lit(False)) for c in next_to]
+    of_value = [g & c["o"]["o0"].eqNullSafe(F.col("_o0")) for g, c in zip(of_group, next_to)]
+    either = lambda x: F.when(none, False).otherwise(x[0] | x[1])
+    return d.withColumn("_cut", either(of_group)).withColumn("_tied", either(of_value)).drop("_cuts", "_at", "_s")
 
 
 def prefix_sum(
@@ -53,46 +70,64 @@ def prefix_sum(
     order: list[str | Column],
     weight: str | Column,
     out: str,
-    hot_rows: int = HOT_ROWS,
-    bucket_rows: int = BUCKET_ROWS,
-    bounded: bool | None = None,
+    total: str | None = None,
+    rank: str | None = None,
+    range_rows: int = RANGE_ROWS,
+    source: tuple[DataFrame, Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``weight`` per ``keys`` in ascending ``order``.
+    """Inclusive running sum of ``weight`` per ``keys`` in ascending ``order``, and the group's sum as ``total``.
 
-    ``order`` must be a total order within the group (negate a number for
-    descending).  Keys must not be null.
+    ``order`` must be a total order within the group (negate a number for descending).
+    With weights of 1, ``rank`` is the mean position of the rows that share the first order
+    key; a key that a cut point divides has its counts carried too.  ``source`` is a table of
+    the same rows, or one that ``df`` sums up by keys and order, and its weight: cut points and
+    carried sums are taken from there, so that what made ``df`` is not done again for them.
     """
-    if bounded is None:
-        bounded = is_bounded(df, keys, hot_rows)
-    if bounded:
-        w = W.partitionBy(*keys).orderBy(*[col(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(col(weight)).over(w))
-    d = df.select("*", F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"),
-                  col(weight).alias("_w"))
-    hot = hot_groups(d, keys, hot_rows).select(*keys)
-    sample = d.where(F.pmod(F.xxhash64(*keys, "_o"), F.lit(bucket_rows)) == 0).select(*keys, "_o").join(hot, keys, "left_semi")
-    cuts = sample.groupBy(*keys).agg(F.sort_array(F.collect_set("_o")).alias("_cuts"))
-    firsts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / STEP).cast("int")), lambda k: F.element_at("_cuts", k * STEP + 1))
-    d = d.join(cuts.withColumn("_firsts", firsts), keys, "left")
-    # cut points below the row: whole steps before the last first one, then those of its step
-    steps = F.size(F.filter("_firsts", lambda c: c < F.col("_o")))
-    rest = F.size(F.filter(F.slice("_cuts", (steps - 1) * STEP + 1, F.lit(STEP)), lambda c: c < F.col("_o")))
-    d = d.withColumn("_b", F.when(F.col("_cuts").isNull() | (steps == 0), F.lit(0)).otherwise((steps - 1) * STEP + rest))
-    below = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        d.where(F.col("_cuts").isNotNull())
-        .groupBy(*keys, "_b")
-        .agg(F.sum("_w").alias("_t"))
-        .select(*keys, "_b", F.sum("_t").over(below).alias("_off"))
+    names = [f"_o{i}" for i in range(len(order))]
+    at = F.struct(
+        F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("k")).alias("k"),
+        F.struct(*[F.col(n).alias(n[1:]) for n in names]).alias("o"))
+    ordered = lambda x, w: x.select("*", *[col(c).alias(n) for c, n in zip(order, names)], w.alias("_w"))
+    raw = ordered(*source) if source else ordered(df, col(weight))
+    cuts = _cut_points(raw, at, range_rows)
+    d = _in_ranges(ordered(df, col(weight)), keys, at, cuts)
+    here, group = [F.col(k) for k in keys], W.partitionBy(*keys)
+    kept = [f"_k{i}" for i in range(len(keys))]
+    # without cut points nothing is carried, and the scan is all that these branches do
+    near_cuts = _in_ranges(raw.where(F.size(cuts["all"]) > 0), keys, at, cuts).where("_cut")
+    parts = near_cuts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, kept)], F.col("_range").alias("_r")).agg(F.sum("_w").alias("_t"))
+    group = W.partitionBy(*kept)
+    carried = parts.select(
+        *kept, "_r", "_t",
+        F.coalesce(F.sum("_t").over(group.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_t").over(group).alias("_whole"),
     )
-    d = d.drop("_cuts", "_firsts").join(offsets, [*keys, "_b"], "left").repartition(*keys, "_b")
-    inside = W.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
-    return d.withColumn(out, F.sum("_w").over(inside) + F.coalesce(F.col("_off"), F.lit(0))).drop("_o", "_w", "_b", "_off")
-
+    d = d.join(F.broadcast(carried.drop("_t")), _same([*here, F.col("_range")], [*[F.col(n) for n in kept], F.col("_r")]), "left").drop(*kept, "_r")
+    part = W.partitionBy(*keys, "_range")
+    d = d.withColumn(out, F.sum("_w").over(part.orderBy(*names).rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0)))
+    if rank:
+        # a divided key ends the first range that it lies in, so what is before it there is all that is not it
+        tied = near_cuts.where("_tied").groupBy(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], F.col("_o0").alias("_v"), "_range").agg(F.sum("_w").alias("_c"))
+        held = [F.col(f"_v{i}") for i in range(len(keys))]
+        tied = tied.join(F.broadcast(carried), _same([*held, F.col("_range")], [*[F.col(n) for n in kept], F.col("_r")]))
+        tied = tied.groupBy(*held, "_v").agg(F.min_by(F.col("_before") + F.col("_t") - F.col("_c"), "_range").alias("_below"), F.sum("_c").alias("_ties"))
+        d = d.join(F.broadcast(tied), _same([*here, F.col("_o0"), F.col("_tied")], [*held, F.col("_v"), F.lit(True)]), "left")
+        inside = F.avg(out).over(W.partitionBy(*keys, "_range", "_o0"))
+        d = d.withColumn(rank, F.coalesce(F.col("_below") + (F.col("_ties") + 1) / 2, inside)).drop(*[f"_v{i}" for i in range(len(keys))], "_v", "_below", "_ties")
+    if total:
+        d = d.withColumn(total, F.coalesce("_whole", F.sum("_w").over(part)))
+    return d.drop(*names, "_w", "_range", "_cut", "_tied", "_before", "_whole")
+
+
+def ordinal(
+    df: DataFrame, keys: list[str], order: list[str | Column], out: str, total: str | None = None, rank: str | None = None, source: DataFrame | None = None, **kw
+) -> DataFrame:
+    """1-based position per ``keys`` in ascending total ``order``, the group's size as ``total``, the average rank of the first order key as ``rank``.
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str | Column], out: str, **kw) -> DataFrame:
-    """1-based position per ``keys`` in ascending total ``order``."""
-    return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), out, **kw)
+    ``source``: a table of the same rows, if making ``df`` again for the cut points is dear.
+    """
+    one = F.lit(1).cast("bigint")
+    return prefix_sum(df, keys, order, one, out, total, rank, source=None if source is None else (source, one), **kw)
 
 
 def ntile_of(position: str | Column, n: str | Column, k: int) -> Column:
@@ -109,66 +144,33 @@ def ntile_of(position: str | Column, n: str | Column, k: int) -> Column:
     )
 
 
-def average_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, hot_rows: int = HOT_ROWS, bounded: bool | None = None, **kw
-) -> DataFrame:
-    """Ascending rank with ties sharing their mean rank; rows with a null value are dropped.
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str, **kw) -> DataFrame:
+    """Rows with the ascending rank of their value, ties sharing their mean rank; rows with a null value are dropped.
 
-    Hot groups are first reduced to (value, count), so even one value shared by
-    most of the table costs a single row there.
+    Ties lie in order of a hash of the row, so ranges divide a value that most rows share.
     """
     known = df.where(F.col(value).isNotNull())
-    w = W.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
-
-    def by_window(d: DataFrame) -> DataFrame:
-        return d.withColumn(out, F.rank().over(w) + (ties - 1) / 2)
-
-    if bounded is None:
-        bounded = is_bounded(known, keys, hot_rows)
-    if bounded:
-        return by_window(known)
-    cold, hot = _divide(known, keys, hot_rows)
-    counts = hot.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = prefix_sum(counts, keys, [value], "_c", "_cum", hot_rows=hot_rows, bounded=False, **kw).select(
-        *keys, value, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
-    return by_window(cold).unionByName(hot.join(ranked, [*keys, value]))
+    return ordinal(known, keys, [value, F.xxhash64(*known.columns)], "_p", rank=out, **kw).drop("_p")
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    picks: dict[str, tuple[str, float]],
-    weight: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    bounded: bool | None = None,
-    **kw,
+    df: DataFrame, keys: list[str], picks: dict[str, tuple[str, float]], weight: str | None = None, **kw
 ) -> DataFrame:
     """Exact linear-interpolated percentiles, ``picks`` mapping output to (column, share).
 
-    Ordinary groups use the built-in aggregate.  Hot groups are reduced to
-    (value, count) and positions taken from the distributed running count.
-    ``weight`` repeats a row that many times.
+    Columns are reduced to (value, count) and positions taken from the running
+    count.  ``weight`` repeats a row that many times.  A group without a value has
+    nulls; without keys there is one row.
     """
-    gk = keys or ["_all"]
-    d = df if keys else df.withColumn("_all", F.lit(0))
     one = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    freq = () if weight is None else (one,)
-    builtin = [F.percentile(F.col(c), F.lit(float(p)), *freq).alias(out) for out, (c, p) in picks.items()]
-    if bounded is None:
-        bounded = is_bounded(d, gk, hot_rows)
-    if bounded:
-        return df.groupBy(*keys).agg(*builtin)
-    cold, hot = _divide(d, gk, hot_rows)
-    near = cold.groupBy(*gk).agg(*builtin)
-
     columns = sorted({c for c, _ in picks.values()})
     cells = [F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v"), one.alias("_one")) for c in columns]
-    long = hot.select(*gk, F.inline(F.array(*cells))).where(F.col("_v").isNotNull() & (F.col("_one") > 0))
-    lk = [*gk, "_m"]
-    counts = long.groupBy(*lk, "_v").agg(F.sum("_one").alias("_c"))
-    cum = prefix_sum(counts, lk, ["_v"], "_c", "_cum", hot_rows=hot_rows, bounded=False, **kw)
-    wanted = cum.join(long.groupBy(*lk).agg(F.sum("_one").alias("_total")), lk)
+    long = df.select(*keys, F.inline(F.array(*cells)))
+    # a row without a value keeps its group, by a count of zero before all values
+    counted = F.col("_v").isNotNull() & (F.col("_one") > 0)
+    counts = long.select(*keys, "_m", F.when(counted, F.col("_v")).alias("_v"), F.when(counted, F.col("_one")).otherwise(0).alias("_one"))
+    summed = counts.groupBy(*keys, "_m", "_v").agg(F.sum("_one").alias("_c"))
+    cum = prefix_sum(summed, [*keys, "_m"], ["_v"], "_c", "_cum", "_total", source=(counts, F.col("_one")), **kw)
     first = F.col("_cum") - F.col("_c")
 
     def pick(c: str, p: float) -> Column:
@@ -181,6 +183,4 @@ def exact_quantiles(
         lo, hi = at(F.floor(pos)), at(F.ceil(pos))
         return lo + (hi - lo) * F.max(F.when(mine, pos - F.floor(pos)))
 
-    far = wanted.groupBy(*gk).agg(*[pick(c, p).alias(out) for out, (c, p) in picks.items()])
-    both = near.unionByName(far)
-    return both if keys else both.drop("_all")
+    return cum.groupBy(*keys).agg(*[pick(c, p).alias(out) for out, (c, p) in picks.items()])

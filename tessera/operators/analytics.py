@@ -60,10 +60,11 @@ def turnover_stats(daily: DataFrame, trades: DataFrame, keys: list[str], periods
 def reliability(daily: DataFrame, trades: DataFrame, risk: DataFrame, keys: list[str]) -> DataFrame:
     """Coverage, universe size, fallback rate and missing valuations per held asset-day.
 
+    Coverage counts the sessions that had a return (``evaluated`` of the daily ledger).
     ``risk``: (country, signal_date, valid_assets, fallback).
     """
     d = daily.groupBy(*keys).agg(
-        (F.count("net_return") / F.count(F.lit(1))).alias("coverage"), F.sum("positions").alias("held_asset_days"),
+        (F.count_if("evaluated") / F.count(F.lit(1))).alias("coverage"), F.sum("positions").alias("held_asset_days"),
         F.sum("missing_valuations").alias("missing_events"))
     t = trades.join(risk, ["country", "signal_date"], "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rebalances"), F.avg("positions").alias("mean_assets"),

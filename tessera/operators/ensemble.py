@@ -19,10 +19,9 @@ CROSS = ["country", "date"]
 
 
 def rank_normal(scores: DataFrame, keys: list[str], value: str = "score", out: str = "z",
-                ties: tuple[str, ...] = ("asset",), bounded: bool | None = None) -> DataFrame:
-    """Normal score of the ascending position; a single asset scores zero."""
-    r = rk.ordinal(scores, keys, [value, *ties], "_i", bounded=bounded)
-    r = attach_stats(r, keys, F.count(F.lit(1)).alias("_n"))
+                ties: tuple[str | Column, ...] = ("asset",)) -> DataFrame:
+    """Normal score of the ascending position; equal scores lie in order of ``ties``, a single asset scores zero."""
+    r = rk.ordinal(scores, keys, [value, *ties], "_i", "_n")
     p = F.least(F.greatest((F.col("_i") - 0.5) / F.col("_n"), F.lit(CLIP[0])), F.lit(CLIP[1]))
     return r.withColumn(out, F.when(F.col("_n") >= 2, normal_quantile(p)).otherwise(0.0)).drop("_i", "_n")
 
@@ -86,7 +85,7 @@ def choose(candidate_metrics: DataFrame, base: str, margin: float = 0.005, max_w
     return m.withColumn("selected", chosen).drop("_r", "_any")
 
 
-def seed_agreement(scores: DataFrame, bounded: bool | None = None) -> DataFrame:
+def seed_agreement(scores: DataFrame) -> DataFrame:
     """Rank correlation of every two seeds per date over the assets both cover.
 
     Seeds are few and fixed by the run, so an asset's seeds form a small map and
@@ -99,9 +98,9 @@ def seed_agreement(scores: DataFrame, bounded: bool | None = None) -> DataFrame:
         lambda b: F.struct(a.seed.alias("seed_left"), b.seed.alias("seed_right"), a.score.alias("x"), b.score.alias("y")))))
     long = per_asset.select(*CROSS, "asset", F.inline(pair))
     keys = [*CROSS, "seed_left", "seed_right"]
-    if bounded is None:
-        bounded = rk.is_bounded(long, keys)
-    r = rk.average_rank(rk.average_rank(long, keys, "x", "rx", bounded=bounded), keys, "y", "ry", bounded=bounded)
+    long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    r = rk.ordinal(long, keys, ["x", "asset"], "_x", rank="rx")
+    r = rk.ordinal(r, keys, ["y", "asset"], "_y", rank="ry", source=long)
     return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_assets"),
         F.when(F.count(F.lit(1)) >= 3, moment_corr("rx", "ry")).alias("rank_corr"))
@@ -146,5 +145,5 @@ def gated_choice(runs: DataFrame, param: str, max_fallback: float = 0.10, min_co
     ok = (F.coalesce("fallback_rate", F.lit(1.0)) <= max_fallback) & (F.coalesce("coverage", F.lit(0.0)) >= min_coverage)
     t = runs.groupBy(param).agg(
         F.count_if(ok).alias("eligible_countries"), F.avg(F.when(ok, F.col("sharpe"))).alias("mean_sharpe"))
-    w = W.partitionBy(F.lit(1)).orderBy(F.desc("eligible_countries"), F.desc_nulls_last("mean_sharpe"), F.asc(param))
+    w = W.partitionBy(F.lit(1)).orderBy(F.desc("eligible_countries"), F.desc_nulls_last(F.round("mean_sharpe", 9)), F.asc(param))
     return t.withColumn("selected", (F.row_number().over(w) == 1) & (F.col("eligible_countries") >= min_countries))

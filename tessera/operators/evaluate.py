@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ranking as rk
-from tessera.functions.expr import attach_stats, moment_corr, safe_div
+from tessera.functions.expr import moment_corr, safe_div
+from tessera.session import materialise
 
 CONSTANT = 1e-12
 TAIL_SHARE = 0.2
@@ -23,24 +24,22 @@ def usable(forecasts: DataFrame) -> DataFrame:
     return forecasts.where(ok)
 
 
-def ranked(forecasts: DataFrame, keys: list[str], bounded: bool | None = None) -> DataFrame:
-    """Average-tie ranks of prediction and target, position by prediction and group size."""
-    rows = usable(forecasts)
-    if bounded is None:
-        bounded = rk.is_bounded(rows, keys)
-    rows = rk.average_rank(rows, keys, "prediction", "rank_p", bounded=bounded)
-    rows = rk.average_rank(rows, keys, "target", "rank_y", bounded=bounded)
-    rows = rk.ordinal(rows, keys, ["prediction", "asset"], "pos", bounded=bounded)
-    return attach_stats(rows, keys, F.count(F.lit(1)).alias("n_assets"))
+def ranked(forecasts: DataFrame, keys: list[str]) -> DataFrame:
+    """Average-tie ranks of prediction and target, position by prediction and group size.
+
+    Action: the first ranking is a stage table, so that the second does not plan it anew.
+    """
+    placed = materialise(rk.ordinal(usable(forecasts), keys, ["prediction", "asset"], "pos", "n_assets", rank="rank_p"))
+    return rk.ordinal(placed, keys, ["target", "asset"], "_y", rank="rank_y").drop("_y")
 
 
-def date_metrics(forecasts: DataFrame, keys: list[str], bounded: bool | None = None) -> DataFrame:
+def date_metrics(forecasts: DataFrame, keys: list[str]) -> DataFrame:
     """Per-group information coefficients, spread, errors and dispersion.
 
     Groups under three assets have no metrics; a constant forecast has errors but
     no rank metrics.
     """
-    rows = ranked(forecasts, keys, bounded)
+    rows = ranked(forecasts, keys)
     err = F.col("prediction") - F.col("target")
     k = F.greatest(F.lit(1), F.floor(F.col("n_assets") * TAIL_SHARE))
     top = F.avg(F.when(F.col("pos") > F.col("n_assets") - k, F.col("target")))
@@ -99,11 +98,10 @@ def calibration(forecasts: DataFrame, keys: list[str]) -> DataFrame:
         F.when(vp > CONSTANT, safe_div(F.covar_pop("prediction", "target"), vp)).alias("calibration_slope"))
 
 
-def bucket_returns(forecasts: DataFrame, keys: list[str], buckets: int = 10, bounded: bool | None = None) -> DataFrame:
+def bucket_returns(forecasts: DataFrame, keys: list[str], buckets: int = 10) -> DataFrame:
     """Mean target per ordered bucket; groups with fewer rows than buckets are left out."""
     rows = usable(forecasts)
-    rows = rk.ordinal(rows, keys, ["prediction", "asset"], "pos", bounded=bounded)
-    rows = attach_stats(rows, keys, F.count(F.lit(1)).alias("n")).where(F.col("n") >= buckets)
+    rows = rk.ordinal(rows, keys, ["prediction", "asset"], "pos", "n").where(F.col("n") >= buckets)
     return rows.withColumn("bucket", rk.ntile_of("pos", "n", buckets)).groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("n_assets"), F.avg("target").alias("mean_target"))
 

@@ -1,101 +1,141 @@
-"""Path-dependent rebalancing: the one operator that needs state between executions.
-
-The state of a book is its current weights, so executions of one book are
-sequential; books (strategy, country, scenario) run in parallel.  A book's input
-is its target names per execution, bounded by the top-n universe times the
-number of executions.
+"""Path-dependent rebalancing: the operator that needs state between executions.
+
+A book (strategy, country, scenario) is one row: its executions in order, each
+with its names.  ``F.aggregate`` folds them on the JVM with a map state, name to
+weight; books run in parallel.  Names per execution are bounded by the top-n
+universe and executions by the calendar, which bounds the row.
+
+At an execution a name is valid (it has a target weight), frozen (it is in the
+universe but cannot be traded, say for want of a covariance history) or gone.  A
+frozen name keeps its weight from before the trade, valid names share what frozen
+ones leave, and a held name that is gone is sold.  Without a valid name only
+frozen ones stay.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import safe_div
-from tessera.session import ship_package
+from tessera.operators.ledger import book_of, rebalances
 
 BOOK = ["strategy", "country", "scenario"]
-SCHEMA = (
-    "strategy string, country string, scenario string, execution_session bigint, asset string, "
-    "pre_weight double, target_weight double, turnover double, blend double, capped boolean"
-)
-
-
-def _step(pre: dict, want: dict, cap: float, first: bool) -> tuple[dict, float, bool]:
-    """Blend from the carried weights toward the wanted ones within a turnover cap."""
-    kept = {a: pre.get(a, 0.0) for a in want}
-    total = sum(kept.values())
-    if first or total <= 0:
-        return want, 1.0, False
-    left = sum(w for a, w in pre.items() if a not in want)
-    start = {a: w / total for a, w in kept.items()}
-    distance = sum(abs(want[a] - start[a]) for a in want)
-    blend = 1.0 if distance <= 1e-15 else min(max((cap - 2 * left) / distance, 0.0), 1.0)
-    return {a: start[a] + blend * (want[a] - start[a]) for a in want}, blend, blend < 1.0
-
-
-def _carry(pre: dict, want: dict) -> tuple[dict, float, bool]:
-    """Keep drifted weights; the weight of names that left is shared equally by the valid names."""
-    kept = {a: pre.get(a, 0.0) for a in want}
-    left = sum(w for a, w in pre.items() if a not in want)
-    return {a: w + left / len(want) for a, w in kept.items()}, 1.0, False
-
-
-def _fold(cap_column: str, hold: bool):
-    def run(book: pd.DataFrame) -> pd.DataFrame:
-        cap, head = float(book[cap_column].iloc[0]), [book[k].iloc[0] for k in BOOK]
-        pre: dict = {}
-        rows, first = [], True
-        for session, g in book.sort_values(["execution_session", "asset"]).groupby("execution_session"):
-            assets, targets = g["asset"].tolist(), g["target_weight"].tolist()
-            want = {a: w for a, w in zip(assets, targets) if w == w}
-            if not want:
-                continue
-            total = sum(want.values())
-            want = {a: w / total for a, w in want.items()}
-            if pre:
-                growth = dict(zip(assets, g["growth"].tolist()))
-                grown = {a: w * (1 + growth.get(a, 0.0)) for a, w in pre.items()}
-                value = sum(grown.values())
-                pre = {a: w / value for a, w in grown.items()}
-            new, blend, capped = _carry(pre, want) if hold and pre else _step(pre, want, cap, first)
-            names = sorted(set(new) | set(pre))
-            turnover = sum(abs(new.get(a, 0.0) - pre.get(a, 0.0)) for a in names)
-            rows += [(*head, session, str(a), pre.get(a, 0.0), new.get(a, 0.0), turnover, blend, capped) for a in names]
-            pre, first = {a: w for a, w in new.items() if w > 0}, False
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return run
-
-
-def _spread(targets: DataFrame) -> DataFrame:
-    """One task per few books: the fold is compute-bound, so small input must not be coalesced."""
-    ship_package(targets.sparkSession)
-    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return targets.repartition(n, *BOOK).groupBy(*BOOK)
-
-
-def with_growth(targets: DataFrame, held: DataFrame) -> DataFrame:
-    """Targets plus the growth of every name held since the previous execution.
-
-    A held name without a target at the next execution appears with a null target.
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sum(array: Column, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, x: s + of(x))
+
+
+def names_between(names: DataFrame, weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """Names of each execution with the growth since the one before.
+
+    ``names``: (strategy, country, execution_session, asset, target_weight, frozen), a
+    target for valid names and none for frozen ones.  A name of the previous execution
+    that is in neither state appears with neither.  Returns are compounded over each
+    holding period; an unknown one carries the value.
     """
-    g = held.where(F.col("session_id") == F.col("next_session")).select(
-        "strategy", "country", F.col("next_session").alias("execution_session"), "asset",
-        (safe_div("value", "target_weight") - 1).alias("growth"))
-    keys = ["strategy", "country", "execution_session", "asset"]
-    return targets.select(*keys, "target_weight").join(g, keys, "full").fillna({"growth": 0.0})
+    book = book_of(weights)
+    keys = [*book, "execution_session", "asset"]
+    spans = rebalances(weights).where(F.col("next_session").isNotNull()).select(*book, "execution_session", "next_session")
+    days = spans.select("*", F.explode(F.sequence(F.col("execution_session") + 1, F.col("next_session"))).alias("session_id"))
+    before = names.select(*keys).join(F.broadcast(spans), [*book, "execution_session"])
+    moves = returns.where(F.col("ret").isNotNull()).join(F.broadcast(days), ["country", "session_id"])
+    growth = moves.groupBy(*keys).agg((F.product(1 + F.col("ret")) - 1).alias("growth"))
+    carried = before.join(growth, keys, "left").select(*book, F.col("next_session").alias("execution_session"), "asset", "growth")
+    out = names.select(*keys, "target_weight", "frozen").join(carried, keys, "full")
+    return out.fillna({"growth": 0.0, "frozen": False})
+
+
+def _before(weights: Column, e: Column) -> Column:
+    """Rows (asset, pre, want, frozen) of an execution: carried weights grown and normalised."""
+    grown = F.transform(e.names, lambda x: F.struct(
+        x.asset.alias("asset"), (F.coalesce(F.try_element_at(weights, x.asset), F.lit(0.0)) * (1 + x.growth)).alias("pre"),
+        x.target_weight.alias("want"), x.frozen.alias("frozen")))
+    return _let(grown, lambda g: _let(_sum(g, lambda x: x.pre), lambda total: F.transform(g, lambda x: F.struct(
+        x.asset.alias("asset"), F.when(total > 0, x.pre / total).otherwise(0.0).alias("pre"), x.want.alias("want"), x.frozen.alias("frozen")))))
+
+
+def _totals(rows: Column) -> Column:
+    part = lambda of: _sum(rows, of)
+    valid = lambda x: x.want.isNotNull()
+    return F.struct(
+        part(lambda x: F.when(x.frozen, x.pre).otherwise(0.0)).alias("fixed"),
+        part(lambda x: F.when(valid(x), x.pre).otherwise(0.0)).alias("kept"),
+        part(lambda x: F.when(~valid(x) & ~x.frozen, x.pre).otherwise(0.0)).alias("left"),
+        part(lambda x: F.coalesce(x.want, F.lit(0.0))).alias("want"),
+        F.size(F.filter(rows, valid)).alias("n"))
+
+
+def _blended(cap: Column, first: Column) -> Callable[[Column, Column], tuple[Column, Callable[[Column], Column]]]:
+    """Blend from the carried weights toward the wanted ones within a turnover cap, as (blend, weight of a valid row)."""
+    def rule(rows: Column, t: Column):
+        room = 1 - t.fixed
+        want = lambda x: F.try_divide(x.want, t.want) * room
+        start = lambda x: F.try_divide(x.pre, t.kept) * room
+        distance = _sum(rows, lambda x: F.coalesce(F.abs(want(x) - start(x)), F.lit(0.0)))
+        free = first | (t.kept <= 0)
+        blend = F.when(free, 1.0).otherwise(_let(distance, lambda d: F.when(d <= 1e-15, 1.0).otherwise(
+            F.least(F.greatest((cap - 2 * t.left) / d, F.lit(0.0)), F.lit(1.0)))))
+        return blend, lambda x, b: F.when(free, want(x)).otherwise(start(x) + b * (want(x) - start(x)))
+
+    return rule
+
+
+def _held(cap: Column, first: Column):
+    """Keep drifted weights after an equal start; the weight of names that are gone is shared equally by the valid ones."""
+    def rule(rows: Column, t: Column):
+        room = 1 - t.fixed
+        return F.lit(1.0), lambda x, b: F.when(first, F.try_divide(x.want, t.want) * room).otherwise(x.pre + t.left / t.n)
+
+    return rule
+
+
+def _fold(targets: DataFrame, cap: str, make_rule) -> DataFrame:
+    kind = "array<struct<execution_session:bigint,asset:string,pre_weight:double,target_weight:double,turnover:double,blend:double,capped:boolean>>"
+    start = F.struct(F.expr("CAST(map() AS map<string,double>)").alias("weights"), F.lit(True).alias("first"), F.expr(f"CAST(array() AS {kind})").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        def decided(rows: Column, t: Column) -> Column:
+            blend, weight = make_rule(e.cap, acc.first)(rows, t)
+            new = lambda b: F.transform(rows, lambda x: F.struct(
+                x.asset.alias("asset"), x.pre.alias("pre"),
+                F.when(x.frozen, x.pre).when(x.want.isNotNull(), weight(x, b)).otherwise(0.0).alias("new")))
+            return _let(blend, lambda b: _let(new(b), lambda rows2: _let(_sum(rows2, lambda x: F.abs(x.new - x.pre)), lambda turnover: after(rows2, b, turnover))))
+
+        def after(rows: Column, blend: Column, turnover: Column) -> Column:
+            seen = F.filter(rows, lambda x: (x.new > 0) | (x.pre > 0))
+            lines = F.transform(seen, lambda x: F.struct(
+                e.execution_session.alias("execution_session"), x.asset.alias("asset"), x.pre.alias("pre_weight"), x.new.alias("target_weight"),
+                turnover.alias("turnover"), blend.alias("blend"), (blend < 1).alias("capped")))
+            held = F.filter(rows, lambda x: x.new > 0)
+            weights = F.map_from_arrays(F.transform(held, lambda x: x.asset), F.transform(held, lambda x: x.new))
+            return F.struct(weights.alias("weights"), (acc.first & (F.size(held) == 0)).alias("first"), F.concat(acc.out, lines).alias("out"))
+
+        return _let(_before(acc.weights, e), lambda rows: _let(_totals(rows), lambda t: decided(rows, t)))
+
+    names = F.sort_array(F.collect_list(F.struct(F.col("asset").cast("string").alias("asset"), "target_weight", "frozen", "growth")))
+    each = targets.groupBy(*BOOK, "execution_session").agg(names.alias("names"), F.first(F.col(cap).cast("double")).alias("cap"))
+    books = each.groupBy(*BOOK).agg(F.sort_array(F.collect_list(F.struct(F.col("execution_session").cast("bigint").alias("execution_session"), "names", "cap"))).alias("path"))
+    folded = F.aggregate("path", start, step, lambda acc: acc.out)
+    return books.select(*BOOK, F.inline(folded))
 
 
 def rebalance(targets: DataFrame, cap: str = "turnover_cap") -> DataFrame:
-    """Turnover-capped path. ``targets``: book keys, execution_session, asset, target_weight, growth, cap.
+    """Turnover-capped path. ``targets``: book keys, execution_session, asset, target_weight, frozen, growth, cap.
 
-    ``growth`` is the asset's return since the previous execution.
+    ``growth`` is the asset's return since the previous execution.  The weight of a name
+    that is gone is sold first and counts twice, as what replaces it is bought.
     """
-    return _spread(targets).applyInPandas(_fold(cap, hold=False), SCHEMA)
+    return _fold(targets, cap, _blended)
 
 
 def buy_and_hold(targets: DataFrame, cap: str = "turnover_cap") -> DataFrame:
-    """Equal start, then drift; the weight of names that leave is shared equally by the valid names."""
-    return _spread(targets).applyInPandas(_fold(cap, hold=True), SCHEMA)
+    """Targets once, then drift; the weight of names that leave is shared equally by the valid names."""
+    return _fold(targets, cap, _held)

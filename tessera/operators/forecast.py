@@ -21,12 +21,13 @@ def expanding_mean(df: DataFrame, realised_after: int, train: Column, out: str =
     """Mean of the asset's own past targets that were already realised.
 
     A label spanning ``realised_after`` sessions is known that many sessions
-    later, hence the range frame.  Assets without history take the mean of the
-    training targets (one number).
+    later, hence the range frame.  Without history a row outside the training set
+    takes the mean of the training targets (one number); a training row, whose
+    own and later targets are in that mean, takes zero.
     """
     w = W.partitionBy("country", "asset").orderBy("session_id").rangeBetween(W.unboundedPreceding, -realised_after)
     overall = df.where(train).agg(F.avg("target")).scalar()
-    return df.withColumn(out, F.coalesce(F.avg("target").over(w), overall, F.lit(0.0)))
+    return df.withColumn(out, F.coalesce(F.avg("target").over(w), F.when(~train, overall), F.lit(0.0)))
 
 
 def long_table(df: DataFrame, models: dict[str, str], keep: list[str]) -> DataFrame:
@@ -89,8 +90,9 @@ def replay(universe: DataFrame, scores: DataFrame, unit: str, min_assets: int =
 
 
 def intake(scores: DataFrame, keep_types: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """Outside model scores under the forecast contract."""
+    """Outside model scores under the forecast contract.  Action: one score per model, seed, date and asset is asserted."""
     schema.require_columns(scores, ["model", "country", "date", "asset", "prediction"])
+    schema.assert_unique(scores, [c for c in ("model", "seed", "country", "date", "asset") if c in scores.columns])
     return schema.enforce_schema(scores, schema.FORECASTS, keep_types)
 
 
@@ -108,11 +110,19 @@ def hybrid_loss(forecasts: DataFrame, keys: list[str], point: float = 0.25, orde
     gap = F.abs(F.col("p") - F.col("y"))
     huber = rows.groupBy(*keys).agg(
         F.avg(F.when(gap <= 1, gap * gap / 2).otherwise(gap - 0.5)).alias("huber"), F.count(F.lit(1)).alias("n_rows"))
-    side = tiles.tiles(rows, group, "asset", ["p", "y"], size)
-    lower = F.filter("members", lambda m: m.y < F.col("y"))
-    fold = F.aggregate(lower, F.lit(0.0), lambda a, m: a + F.log1p(F.exp(m.p - F.col("p"))))
-    met = rows.join(side, group).select(*group, fold.alias("s"), F.size(lower).alias("n"))
-    dates = met.groupBy(*group).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where(F.col("n") > 0)
+    block = tiles.blocks(rows, group, "asset", ["p", "y"], size)
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
+
+    across = F.col("i") < F.col("j")
+
+    def term(acc, a, b):
+        """The pair, once: the member with the larger target should have the larger prediction."""
+        first, second = a.y > b.y, across & (b.y > a.y)
+        loss = F.when(first, F.log1p(F.exp(b.p - a.p))).when(second, F.log1p(F.exp(a.p - b.p))).otherwise(0.0)
+        return F.struct((acc.s + loss).alias("s"), (acc.n + (first | second).cast("bigint")).alias("n"))
+
+    fold = F.aggregate("left", none, lambda acc, a: F.aggregate("right", acc, lambda acc2, b: term(acc2, a, b)))
+    dates = block.select(*group, fold.alias("f")).groupBy(*group).agg(F.sum("f.s").alias("s"), F.sum("f.n").alias("n")).where(F.col("n") > 0)
     ranked = dates.groupBy(*keys).agg(F.avg(F.col("s") / F.col("n")).alias("rank_loss"), F.sum("n").alias("n_pairs"))
     return huber.join(ranked, keys, "left").withColumn(
         "hybrid", point * F.col("huber") + order * F.coalesce("rank_loss", F.lit(0.0)))

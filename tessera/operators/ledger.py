@@ -107,7 +107,9 @@ def turnover(ledger: DataFrame, weights: DataFrame, cap: float) -> DataFrame:
 def daily_pnl(held: DataFrame, trades: DataFrame, calendar: DataFrame) -> DataFrame:
     """Gross return, cost, net return, turnover, positions and missing valuations per session.
 
-    A new book earns from the session after its execution.
+    A new book earns from the session after its execution.  ``evaluated`` tells, before
+    nulls become 0, whether the session had a return: some held name was valued, or the
+    book was only being deployed.
     """
     book = book_of(held)
     v = held.groupBy(*book, "execution_session", "session_id").agg(
@@ -116,8 +118,9 @@ def daily_pnl(held: DataFrame, trades: DataFrame, calendar: DataFrame) -> DataFr
     v = v.withColumn("gross_return", safe_div("v", F.lag("v", 1, 1.0).over(w)) - 1)
     first = trades.groupBy(*book).agg(F.min("execution_session").alias("_first"))
     days = F.broadcast(first).join(F.broadcast(calendar.select("country", "session_id", "date")), "country").where(
-        F.col("session_id") >= F.col("_first")).drop("_first")
+        F.col("session_id") >= F.col("_first"))
     t = trades.select(*book, F.col("execution_session").alias("session_id"), "turnover", "cost", "positions")
+    days = days.withColumn("_deployed", F.col("session_id") == F.col("_first")).drop("_first")
     d = days.join(v.drop("execution_session", "v"), [*book, "session_id"], "left").join(t, [*book, "session_id"], "left")
     zero = F.lit(0.0)
     return d.select(
@@ -126,7 +129,8 @@ def daily_pnl(held: DataFrame, trades: DataFrame, calendar: DataFrame) -> DataFr
         (F.coalesce("gross_return", zero) - F.coalesce("cost", zero)).alias("net_return"),
         F.coalesce("turnover", zero).alias("turnover"),
         F.coalesce("positions", "n_held", F.lit(0)).cast("bigint").alias("positions"),
-        F.coalesce("missing_valuations", F.lit(0)).cast("bigint").alias("missing_valuations"))
+        F.coalesce("missing_valuations", F.lit(0)).cast("bigint").alias("missing_valuations"),
+        F.coalesce(F.col("n_held") > F.col("missing_valuations"), F.col("_deployed")).alias("evaluated"))
 
 
 def missing_valuations(held: DataFrame) -> DataFrame:
@@ -162,7 +166,8 @@ def target_turnover(weights: DataFrame) -> DataFrame:
 def event_log(trades: DataFrame, risk: DataFrame, skipped: DataFrame) -> DataFrame:
     """Rebalance types, risk fallbacks and skipped signals in one log.
 
-    ``risk``: (country, signal_date, fallback); ``skipped``: (country, signal_date, status).
+    ``risk``: (country, signal_date, fallback), where the covariance fell back to its
+    diagonal; ``skipped``: (country, signal_date, status).
     """
     cols = ["country", "signal_date", "event", "detail"]
     a = trades.select("country", "signal_date", F.lit("rebalance").alias("event"), F.concat_ws(

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 # Ridge penalty and boosting settings.
 ALPHA = 10.0
-BOOSTING = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.8, "seed": 7}
+BOOSTING = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 7}
+#: Side of a block of the moment matrix, rows behind one partial sum, and partial sums added at a time.
+BLOCK = 64
+PARTIAL_ROWS = 100_000
+TREE = 64
+KEY = ["country", "origin"]
 
 
 def ridge(train: DataFrame, rows: DataFrame, alpha: float = ALPHA, label: str = "target") -> DataFrame:
@@ -40,61 +44,119 @@ def boosted_trees(train: DataFrame, rows: DataFrame, label: str = "target", **se
     return model.fit(train.where(F.col(label).isNotNull())).transform(rows)
 
 
-def _solve(width: int, alpha: float):
+def _tiles(width: int) -> list[tuple[int, int]]:
+    """Block ids (i, j), i <= j, of the matrix of cross products; (i, -1) holds sums of x and of x times y."""
+    k = -(-width // BLOCK)
+    return [(i, j) for i in range(k) for j in [-1, *range(i, k)]]
+
+
+def _partials(width: int):
+    """Moments of each (country, origin, part) of a sorted partition, as dense blocks; one matrix is held at a time."""
+    def blocks(key, n, sy, x_sum, xy, xx):
+        for i, j in _tiles(width):
+            rows = slice(i * BLOCK, min((i + 1) * BLOCK, width))
+            sums = np.concatenate([x_sum[rows], xy[rows]]) if j < 0 else xx[rows, j * BLOCK : min((j + 1) * BLOCK, width)].ravel()
+            yield (*key, i, j, n, sy, sums)
+
     def run(batches):
+        names = [*KEY, "part", "i", "j", "n", "sy", "sums"]
+        key, state = None, None
         for b in batches:
-            out = []
-            for _, r in b.iterrows():
-                n, sx, sy = r["n"], np.array(r["sx"], float), r["sy"]
-                a = np.zeros((width, width))
-                a[np.triu_indices(width)] = r["sxx"]
-                a = a + np.triu(a, 1).T - np.outer(sx, sx) / n + alpha * np.eye(width)
-                beta = np.linalg.solve(a, np.array(r["sxy"], float) - sx * sy / n)
-                out.append((r["country"], r["origin"], int(n), float(sy / n - beta @ sx / n), beta.tolist()))
-            yield pd.DataFrame(out, columns=["country", "origin", "rows_used", "intercept", "beta"])
+            for at, g in b.groupby([*KEY, "part"], sort=False):
+                if at != key:
+                    if key is not None:
+                        yield pd.DataFrame(blocks(key, *state), columns=names)
+                    key, state = at, [0, 0.0, np.zeros(width), np.zeros(width), np.zeros((width, width))]
+                x, y = np.array(g["features"].tolist(), dtype=float), g["target"].to_numpy(dtype=float)
+                state[0] += len(x)
+                state[1] += float(y.sum())
+                state[2] += x.sum(axis=0)
+                state[3] += y @ x
+                state[4] += x.T @ x
+        if key is not None:
+            yield pd.DataFrame(blocks(key, *state), columns=names)
+
+    return run
+
+
+def _added(columns: list[str]):
+    """Sum of the arrays of one group."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        head = [g[c].iloc[0] for c in columns]
+        return pd.DataFrame([(*head, int(g["n"].sum()), float(g["sy"].sum()), np.sum(g["sums"].tolist(), axis=0))], columns=[*columns, "n", "sy", "sums"])
 
     return run
 
 
-def walk_forward(rows: DataFrame, origins: DataFrame, features: list[str], alpha: float = ALPHA) -> DataFrame:
-    """Expanding refit: coefficients per origin from labels realised by then.
+def _running(g: pd.DataFrame) -> pd.DataFrame:
+    """Sums up to each origin of one country and block; an origin without new rows repeats the one before."""
+    g = g.sort_values("origin")
+    arrays = [a for a in g["sums"] if a is not None]
+    width = len(arrays[0]) if arrays else 0
+    sums = np.cumsum([np.zeros(width) if a is None else a for a in g["sums"]], axis=0)
+    return g.assign(n=g["n"].fillna(0).cumsum().astype("int64"), sy=g["sy"].fillna(0.0).cumsum(), sums=list(sums))
+
+
+def _solved(width: int, alpha: float):
+    """Ridge coefficients from the blocks of one origin."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        n, sy = int(g["n"].iloc[0]), float(g["sy"].iloc[0])
+        names = [*KEY, "rows_used", "intercept", "beta"]
+        if n < 2:
+            return pd.DataFrame([], columns=names)
+        sx, sxy, a = np.zeros(width), np.zeros(width), np.zeros((width, width))
+        for i, j, sums in zip(g["i"], g["j"], g["sums"]):
+            rows = slice(i * BLOCK, min((i + 1) * BLOCK, width))
+            if j < 0:
+                sx[rows], sxy[rows] = np.split(np.asarray(sums), 2)
+            else:
+                columns = slice(j * BLOCK, min((j + 1) * BLOCK, width))
+                block = np.asarray(sums).reshape(rows.stop - rows.start, -1)
+                a[rows, columns], a[columns, rows] = block, block.T
+        beta = np.linalg.solve(a - np.outer(sx, sx) / n + alpha * np.eye(width), sxy - sx * sy / n)
+        return pd.DataFrame([(g["country"].iloc[0], g["origin"].iloc[0], n, float(sy / n - beta @ sx / n), beta.tolist())], columns=names)
 
-    Each label enters the moments of the first origin that may use it; prefix
-    sums over origins give every refit in one pass over the data.  Only the
-    small moment rows reach Python.
+    return run
 
-    ``rows``: country, label_end_date, target, features. ``origins``: country, date.
+
+def walk_forward(rows: DataFrame, origins: DataFrame, width: int, alpha: float = ALPHA) -> DataFrame:
+    """Expanding refit: ridge coefficients per origin from labels realised by then.
+
+    Each label enters the moments of the first origin that may use it.  Cross
+    products are summed as dense blocks per task, added up by block in two steps and
+    summed along the origins of a block; every refit so comes from one pass over
+    the data, and no plan has a column per moment.
+
+    ``rows``: country, label_end_date, target, features (an array of ``width`` numbers
+    without nulls). ``origins``: country, date.
     """
+    ship_package(rows.sparkSession)
     o = origins.select("country", F.col("date").alias("origin")).distinct()
     cuts = F.broadcast(o.groupBy("country").agg(F.sort_array(F.collect_list("origin")).alias("_o")))
-    known = rows.where(F.col("target").isNotNull() & F.col("label_end_date").isNotNull())
-    for f in features:
-        known = known.where(F.col(f).isNotNull())
+    known = rows.where(F.col("target").isNotNull() & F.col("label_end_date").isNotNull() & (F.size("features") == width))
     known = known.join(cuts, "country").withColumn(
         "origin", F.try_element_at("_o", F.size(F.filter("_o", lambda c: c < F.col("label_end_date"))) + 1)).where(
-        F.col("origin").isNotNull())
-    pairs: list[Column] = [F.col(a) * F.col(b) for i, a in enumerate(features) for b in features[i:]]
-    cells = [F.lit(1.0), F.col("target"), *[F.col(f) for f in features], *pairs, *[F.col(f) * F.col("target") for f in features]]
-    names = [f"m{i}" for i in range(len(cells))]
-    m = known.groupBy("country", "origin").agg(*[F.sum(c).alias(n) for c, n in zip(cells, names)])
-    m = o.join(m, ["country", "origin"], "left").fillna(0.0, names)
-    w = W.partitionBy("country").orderBy("origin").rowsBetween(W.unboundedPreceding, 0)
-    m = m.select("country", "origin", *[F.sum(n).over(w).alias(n) for n in names])
-    d, q = len(features), len(pairs)
-    arr = lambda a, b: F.array(*[F.col(n) for n in names[a:b]])
-    packed = m.where(F.col("m0") > d).select(
-        "country", "origin", F.col("m0").alias("n"), F.col("m1").alias("sy"), arr(2, 2 + d).alias("sx"),
-        arr(2 + d, 2 + d + q).alias("sxx"), arr(2 + d + q, 2 + 2 * d + q).alias("sxy"))
-    ship_package(rows.sparkSession)
-    return packed.mapInPandas(_solve(d, alpha), "country string, origin date, rows_used bigint, intercept double, beta array<double>")
-
-
-def predict_walk_forward(rows: DataFrame, fits: DataFrame, features: list[str]) -> DataFrame:
-    """Score each row with the latest fit at or before its date (fits per country are few)."""
+        F.col("origin").isNotNull()).select(*KEY, F.col("target").cast("double").alias("target"), "features")
+    # origins are few, so the counts are too; a large one is dealt into parts
+    parts = known.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / PARTIAL_ROWS).alias("parts"))
+    known = known.join(F.broadcast(parts), KEY).withColumn("part", F.pmod(F.xxhash64("features", "target"), "parts").cast("int")).drop("parts")
+    dealt = known.repartition(*KEY, "part").sortWithinPartitions(*KEY, "part")
+    moments = "n bigint, sy double, sums array<double>"
+    head = "country string, origin date, "
+    sums = dealt.mapInPandas(_partials(width), f"{head}part int, i int, j int, {moments}")
+    for keys, fields in (([*KEY, "i", "j", "part"], "i int, j int, part int, "), ([*KEY, "i", "j"], "i int, j int, ")):
+        sums = sums.withColumn("part", F.floor(F.col("part") / TREE).cast("int")) if "part" in keys else sums
+        sums = sums.groupBy(*keys).applyInPandas(_added(keys), f"{head}{fields}{moments}")
+    ids = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _tiles(width)])
+    every = o.select(*KEY, F.inline(ids)).join(sums, [*KEY, "i", "j"], "left")
+    upto = every.groupBy("country", "i", "j").applyInPandas(_running, f"{head}i int, j int, {moments}")
+    return upto.groupBy(*KEY).applyInPandas(_solved(width, alpha), f"{head}rows_used bigint, intercept double, beta array<double>")
+
+
+def predict_walk_forward(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Score each row's ``features`` with the latest fit at or before its date (fits per country are few)."""
     f = F.broadcast(fits.groupBy("country").agg(F.sort_array(F.collect_list(F.struct("origin", "intercept", "beta"))).alias("_f")))
     last = F.element_at(F.filter("_f", lambda x: x.origin <= F.col("date")), -1)
     d = rows.join(f, "country").where(F.exists("_f", lambda x: x.origin <= F.col("date"))).withColumn("_l", last)
-    p = F.col("_l.intercept")
-    for i, name in enumerate(features):
-        p = p + F.col("_l.beta")[i] * F.col(name)
-    return d.withColumn("prediction", p).withColumn("training_cutoff", F.col("_l.origin")).drop("_f", "_l")
+    dot = F.aggregate(F.zip_with("_l.beta", "features", lambda b, x: b * x), F.lit(0.0), lambda s, v: s + v)
+    return d.withColumn("prediction", F.col("_l.intercept") + dot).withColumn("training_cutoff", F.col("_l.origin")).drop("_f", "_l")

@@ -1,7 +1,7 @@
 """Trailing covariance per (country, signal date).
 
-An asset's window is an array column built by one asset window; covariance rows
-are folds of that array over hash tiles of the cross-section, so pairs exist only
+An asset's window is an array column built by one asset window; covariance entries
+are folds over two hash tiles of the cross-section at a time, so pairs exist only
 as the requested matrix entries.  Shrinkage constants and portfolio variances
 use factor forms that never build the matrix.
 """
@@ -56,35 +56,39 @@ def covariance(rows: DataFrame, weights: list[float] | None = None, size: int =
     """Upper triangle (asset_i <= asset_j): sample covariance, or weighted when ``weights`` given."""
     d = rows.where("valid").select(*GROUP, "asset", _centred("x", weights).alias("x"))
     if weights is None:
-        left, scale = F.col("x"), F.size("x") - 1
+        d = d.withColumn("wx", F.col("x"))
+        scale = lambda x: F.size(x) - 1
     else:
-        left = F.zip_with("x", F.array(*[F.lit(w) for w in weights]), lambda v, w: v * w)
-        scale = F.lit(1)
-    side = tiles.tiles(d, GROUP, "asset", ["asset", "x"], size)
-    met = d.join(side, GROUP).withColumn("left", left)
-    entries = F.transform(F.filter("members", lambda m: m.asset >= F.col("asset")), lambda m: F.struct(
-        m.asset.alias("asset_j"), (_dot("left", m.x) / scale).alias("value")))
-    return met.select(*GROUP, F.col("asset").alias("asset_i"), F.inline(entries))
+        d = d.withColumn("wx", F.zip_with("x", F.array(*[F.lit(w) for w in weights]), lambda v, w: v * w))
+        scale = lambda x: F.lit(1)
+    block = tiles.blocks(d, GROUP, "asset", ["asset", "x", "wx"], size)
+
+    def entry(a, b):
+        return F.struct(F.least(a.asset, b.asset).alias("asset_i"), F.greatest(a.asset, b.asset).alias("asset_j"), (_dot(a.wx, b.x) / scale(b.x)).alias("value"))
+
+    within = lambda a: F.filter("right", lambda b: (F.col("i") < F.col("j")) | (b.asset >= a.asset))
+    entries = F.flatten(F.transform("left", lambda a: F.transform(within(a), lambda b: entry(a, b))))
+    return block.select(*GROUP, F.inline(entries))
 
 
 def shrinkage(rows: DataFrame, size: int = tiles.SIZE) -> DataFrame:
     """Ledoit-Wolf constants per group: assets, scale ``mu``, and intensity ``rho`` (0 for one asset).
 
-    The sums over all asset pairs are folds of each row over the tiles.
+    The sums over all asset pairs are folds over every two tiles.
     """
     d = rows.where("valid").select(*GROUP, "asset", _centred("x").alias("x"))
     d = d.withColumn("x2", F.transform("x", lambda v: v * v))
-    side = tiles.tiles(d, GROUP, "asset", ["x", "x2"], size)
-    met = d.join(side, GROUP)
+    block = tiles.blocks(d, GROUP, "asset", ["x", "x2"], size)
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m"))
 
-    def fold(a, m):
-        dot = _dot("x", m.x)
-        four = _dot("x2", m.x2)
-        return F.struct((a.s + dot * dot).alias("s"), (a.m + four).alias("m"))
+    def fold(acc, a, b):
+        dot = _dot(a.x, b.x)
+        return F.struct((acc.s + dot * dot).alias("s"), (acc.m + _dot(a.x2, b.x2)).alias("m"))
 
-    sums = met.select(*GROUP, F.aggregate("members", zero, fold).alias("f")).groupBy(*GROUP).agg(
-        F.sum("f.s").alias("s2"), F.sum("f.m").alias("m4"))
+    pairs = F.aggregate("left", zero, lambda acc, a: F.aggregate("right", acc, lambda acc2, b: fold(acc2, a, b)))
+    times = F.when(F.col("i") < F.col("j"), 2).otherwise(1)  # a block of two tiles stands for both orders
+    sums = block.select(*GROUP, times.alias("times"), pairs.alias("f")).groupBy(*GROUP).agg(
+        F.sum(F.col("times") * F.col("f.s")).alias("s2"), F.sum(F.col("times") * F.col("f.m")).alias("m4"))
     diag = d.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("p"), F.first(F.size("x")).alias("n"), F.sum(_dot("x", "x")).alias("t"))
     p, n = F.col("p"), F.col("n")
@@ -116,6 +120,16 @@ def with_fallback(rows: DataFrame, matrix: DataFrame, min_assets: int) -> DataFr
     return kept.unionByName(flat)
 
 
+def status(rows: DataFrame, dates: DataFrame, min_assets: int) -> DataFrame:
+    """Per (country, date) of ``dates``: valid assets of the window and whether the covariance falls back.
+
+    A date without window rows has no valid asset, so it falls back too.
+    """
+    n = rows.groupBy(*GROUP).agg(F.count_if("valid").alias("n"))
+    valid = F.coalesce("n", F.lit(0)).cast("bigint")
+    return dates.select(*GROUP).distinct().join(n, GROUP, "left").select(*GROUP, valid.alias("valid_assets"), (valid < min_assets).alias("fallback"))
+
+
 def portfolio_variance(rows: DataFrame, weights: DataFrame, constants: DataFrame) -> DataFrame:
     """Variance of weights over valid assets under the shrunk covariance, without the matrix.
 

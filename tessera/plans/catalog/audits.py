@@ -60,14 +60,16 @@ def q05(spark, sf):
     return quality.field_rates(v.panel(spark, sf, "sup"), ["bid", "ret"])
 
 
-JUMPS = v.panel_sql("sup") + """,
+# Fixed value: a one-session return of this size needs review.
+JUMP = 0.15
+JUMPS = v.panel_sql("sup") + f""",
 jumps AS (SELECT * FROM (SELECT country, asset, date, session_id, ret, session_id - lag(session_id) OVER w AS gap,
   volume / lag(volume) OVER w AS volume_ratio FROM panel WINDOW w AS (PARTITION BY country, asset ORDER BY session_id))
-  WHERE gap = 1 AND abs(ret) >= 0.06)"""
+  WHERE gap = 1 AND abs(ret) >= {JUMP})"""
 
 
 def _jumps(spark, sf):
-    return quality.jumps(v.panel(spark, sf, "sup"), 0.06)
+    return quality.jumps(v.panel(spark, sf, "sup"), JUMP)
 
 
 @query("q06_price_jumps", "country asset:i date:d ret:f volume_ratio:f", JUMPS, "SELECT * FROM jumps")

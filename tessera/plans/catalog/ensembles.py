@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import expr
 from tessera.functions.expr import hash_index
-from tessera.operators import ensemble, evaluate
+from tessera.operators import analytics, ensemble, evaluate, portfolio
+from tessera.plans.catalog.cleaning import FOLDS
 from tessera.plans.catalog.forecasts import BASE, SUMMARY_SQL, base, corr_sql, metrics_sql, ranked_sql
+from tessera.plans.catalog.portfolios import BK, LEDGER_SQL, RATES, RISK_STATUS, SIG, Books, capped_sql, risk_status
 from tessera.plans.registry import query
 from tessera.session import materialise
 
@@ -264,20 +266,32 @@ def n12_seeds(spark, sf):
     return evaluate.date_metrics(rows, ["seed", "country", "date"])
 
 
-RUNS = SEED_SQL + """,
-runs AS (SELECT seed AS risk_aversion, country, avg(CASE WHEN target IS NULL THEN 1.0 ELSE 0.0 END) / 8 AS fallback_rate,
-  1 - avg(CASE WHEN target IS NULL THEN 1.0 ELSE 0.0 END) / 20 AS coverage, avg(target) / stddev_samp(target) AS sharpe
-  FROM seeds WHERE score > 0 GROUP BY 1, 2),
-gated AS (SELECT risk_aversion, count_if(fallback_rate <= 0.1 AND coverage >= 0.95) AS eligible_countries,
+# The grid of risk aversions, and the dates they are chosen on.
+AVERSIONS = [2, 5, 10, 20, 50]
+_VALIDATION = "date BETWEEN '{}' AND '{}'".format(*next(f[1:] for f in FOLDS if f[0] == "validation"))
+_SCORE = "mom - {} / 2.0 * var"
+RUNS = ",".join([SIG, RATES] + [capped_sql(f"ra{a}_", f"(SELECT * FROM sig WHERE {_VALIDATION})", _SCORE.format(a)) for a in AVERSIONS]) + """,
+bk AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS strategy, country, asset, session_id, target_weight FROM ra{a}_" for a in AVERSIONS) + ")" + LEDGER_SQL + RISK_STATUS + """,
+runs AS (SELECT * FROM (SELECT strategy, country, avg(CAST(evaluated AS INT)) AS coverage,
+    avg(net_return) * 252 / (stddev_samp(net_return) * sqrt(252)) AS sharpe FROM pnl GROUP BY 1, 2)
+  JOIN (SELECT strategy, tr.country, avg(CAST(coalesce(fallback, FALSE) AS INT)) AS fallback_rate
+    FROM tr LEFT JOIN rk USING (country, signal_date) GROUP BY 1, 2) USING (strategy, country)),
+gated AS (SELECT CAST(strategy AS INT) AS risk_aversion, count_if(fallback_rate <= 0.1 AND coverage >= 0.95) AS eligible_countries,
   avg(CASE WHEN fallback_rate <= 0.1 AND coverage >= 0.95 THEN sharpe END) AS mean_sharpe FROM runs GROUP BY 1)"""
 
 
 @query("n13_gated_choice", "risk_aversion:i eligible_countries:i mean_sharpe:f selected:b", RUNS,
-       """SELECT *, row_number() OVER (ORDER BY eligible_countries DESC, mean_sharpe DESC NULLS LAST, risk_aversion) = 1
+       """SELECT *, row_number() OVER (ORDER BY eligible_countries DESC, round(mean_sharpe, 9) DESC NULLS LAST, risk_aversion) = 1
   AND eligible_countries >= 3 AS selected FROM gated""")
 def n13(spark, sf):
-    miss = F.avg(F.when(F.col("target").isNull(), 1.0).otherwise(0.0))
-    runs = seed_scores(spark, sf).where("score > 0").groupBy(F.col("seed").alias("risk_aversion"), "country").agg(
-        (miss / 8).alias("fallback_rate"), (1 - miss / 20).alias("coverage"),
-        (F.avg("target") / F.stddev_samp("target")).alias("sharpe"))
+    """One ledger per risk aversion over the validation dates; its summary and reliability feed the gates."""
+    def books(s):
+        seen = s.where(_VALIDATION)
+        return [(str(a), portfolio.risk_scaled(seen.withColumn("certain", F.expr(_SCORE.format(a))), "certain", "var")) for a in AVERSIONS]
+
+    b = Books(spark, sf, books=books)
+    daily, trades = b.pnl()
+    perf = analytics.summary(daily, BK, "net_return", analytics.DAILY)
+    rel = analytics.reliability(daily, trades, risk_status(spark, sf, b.signals), BK)
+    runs = perf.join(rel, BK).select(F.col("strategy").cast("int").alias("risk_aversion"), "country", "fallback_rate", "coverage", "sharpe")
     return ensemble.gated_choice(runs, "risk_aversion")

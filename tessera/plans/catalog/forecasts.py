@@ -17,7 +17,7 @@ BASE = v.panel_sql("sup", rf=True) + "," + forward_sql(1, SESSIONS) + f""",
 base0 AS (SELECT *, {full('product(1 + ret)', 'ret', 3)} - 1 AS r3, {SPLIT_SQL.format(d='date')} AS split FROM fwd),
 base AS (SELECT *, r3 * 1000 AS mom, -r3 * 1000 AS rev, coalesce(avg(target) OVER (PARTITION BY country, asset
     ORDER BY session_id RANGE BETWEEN UNBOUNDED PRECEDING AND {SESSIONS} PRECEDING),
-  (SELECT avg(target) FROM base0 WHERE split = 'train' AND r3 IS NOT NULL), 0) AS hist_mean
+  CASE WHEN split <> 'train' THEN (SELECT avg(target) FROM base0 WHERE split = 'train' AND r3 IS NOT NULL) END, 0) AS hist_mean
   FROM base0 WHERE r3 IS NOT NULL),
 fc AS (SELECT country, date, asset, split, session_id, execution_date, label_end_date, target, model, prediction FROM (
   SELECT *, 'zero' AS model, 0.0 AS prediction FROM base UNION ALL SELECT *, 'mom', mom FROM base

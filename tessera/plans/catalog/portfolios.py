@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import by_asset, compounded, full_frame
-from tessera.operators import analytics, calendar as cal, fold, labels, ledger, portfolio, universe
+from tessera.operators import analytics, calendar as cal, fold, labels, ledger, portfolio, risk, universe
 from tessera.plans import views as v
 from tessera.plans.catalog.featureset import forward_sql, full
+from tessera.plans.catalog.risks import MIN_ASSETS, WINDOWS_SQL, window_rows
 from tessera.plans.catalog.universes import UNI, uni_sup
 from tessera.plans.registry import query
 from tessera.session import materialise
@@ -50,17 +51,24 @@ ew AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY country, date) AS target_weig
 TK = f"""
 tk AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY country, date) AS target_weight FROM (SELECT *,
   row_number() OVER (PARTITION BY country, date ORDER BY mom DESC, asset) AS pick FROM sig) WHERE pick <= {K})"""
-CP = """
-cp0 AS (SELECT *, coalesce(greatest(mom, 0) / nullif(var, 0), 0) AS s FROM sig),
-cp1 AS (SELECT *, count(*) OVER g AS n, count_if(s > 0) OVER g AS p,
+_CAPPED = """
+{n}0 AS (SELECT *, coalesce(greatest({score}, 0) / nullif(var, 0), 0) AS s FROM {source}),
+{n}1 AS (SELECT *, count(*) OVER g AS n, count_if(s > 0) OVER g AS p,
   row_number() OVER (PARTITION BY country, date ORDER BY s DESC, asset) AS k,
   sum(s) OVER (PARTITION BY country, date ORDER BY s DESC, asset ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
-  greatest(0.05::DOUBLE, 1::DOUBLE / count(*) OVER g) AS c FROM cp0 WINDOW g AS (PARTITION BY country, date)),
-cp2 AS (SELECT *, CASE WHEN rest > 0 AND (1 - (k - 1) * c) / rest * s <= c + 1e-15 THEN (1 - (k - 1) * c) / rest END AS l FROM cp1),
-cp3 AS (SELECT *, min(CASE WHEN l IS NOT NULL THEN k END) OVER (PARTITION BY country, date) AS f FROM cp2),
-cp4 AS (SELECT *, max(CASE WHEN k = f THEN l END) OVER (PARTITION BY country, date) AS lam FROM cp3),
-cp AS (SELECT *, CASE WHEN p = 0 THEN 1.0 / n WHEN p * c < 1 THEN CASE WHEN s > 0 THEN c ELSE (1 - p * c) / (n - p) END
-  ELSE least(c, lam * s) END AS target_weight FROM cp4)"""
+  greatest(0.05::DOUBLE, 1::DOUBLE / count(*) OVER g) AS c FROM {n}0 WINDOW g AS (PARTITION BY country, date)),
+{n}2 AS (SELECT *, CASE WHEN rest > 0 AND (1 - (k - 1) * c) / rest * s <= c + 1e-15 THEN (1 - (k - 1) * c) / rest END AS l FROM {n}1),
+{n}3 AS (SELECT *, min(CASE WHEN l IS NOT NULL THEN k END) OVER (PARTITION BY country, date) AS f FROM {n}2),
+{n}4 AS (SELECT *, max(CASE WHEN k = f THEN l END) OVER (PARTITION BY country, date) AS lam FROM {n}3),
+{n} AS (SELECT *, CASE WHEN p = 0 THEN 1.0 / n WHEN p * c < 1 THEN CASE WHEN s > 0 THEN c ELSE (1 - p * c) / (n - p) END
+  ELSE least(c, lam * s) END AS target_weight FROM {n}4)"""
+
+
+def capped_sql(n, source, score):
+    return _CAPPED.format(n=n, source=source, score=score)
+
+
+CP = capped_sql("cp", "sig", "mom")
 
 
 @query("p01_equal_weight", "country date:d asset:i target_weight:f", SIG + "," + EW, "SELECT * FROM ew")
@@ -112,10 +120,11 @@ def p06(spark, sf):
     return rates(panel, signals(spark, sf, panel))
 
 
-BOOKS = ",".join([SIG, EW, TK, CP, RATES]) + """,
+BOOK_WEIGHTS = """,
 bk AS (SELECT 'equal' AS strategy, country, asset, session_id, target_weight FROM ew UNION ALL
   SELECT 'topk', country, asset, session_id, target_weight FROM tk UNION ALL
-  SELECT 'capped', country, asset, session_id, target_weight FROM cp),
+  SELECT 'capped', country, asset, session_id, target_weight FROM cp)"""
+LEDGER_SQL = """,
 w AS (SELECT strategy, r.country, r.date AS signal_date, execution_session, r.asset, target_weight, c2 AS rate
   FROM bk JOIN rates r USING (country, asset, session_id) WHERE execution_session IS NOT NULL),
 reb AS (SELECT *, lead(execution_session) OVER b AS next_session, row_number() OVER b = 1 AS initial
@@ -126,7 +135,7 @@ held AS (SELECT h.*, target_weight * product(1 + coalesce(ret, 0)) OVER (PARTITI
   FROM (SELECT w.strategy, w.country, w.execution_session, r.next_session, w.asset, w.target_weight, w.rate, c.session_id, p.ret
     FROM w JOIN reb r ON r.strategy = w.strategy AND r.country = w.country AND r.execution_session = w.execution_session
     JOIN calendar c ON c.country = w.country AND c.session_id > w.execution_session
-      AND c.session_id <= coalesce(r.next_session, 1000000)
+      AND c.session_id <= coalesce(r.next_session, c.session_id)
     LEFT JOIN panel p ON p.country = w.country AND p.asset = w.asset AND p.session_id = c.session_id
     WHERE w.target_weight > 0) h),
 drift AS (SELECT strategy, country, next_session AS execution_session, asset, rate AS last_rate,
@@ -148,11 +157,12 @@ hv AS (SELECT strategy, country, execution_session, session_id, sum(value) AS v,
 hg AS (SELECT *, v / lag(v, 1, 1) OVER (PARTITION BY strategy, country, execution_session ORDER BY session_id) - 1 AS g FROM hv),
 pnl AS (SELECT d.strategy, d.country, d.session_id, d.date, coalesce(g, 0) AS gross_return, coalesce(cost, 0) AS cost,
   coalesce(g, 0) - coalesce(cost, 0) AS net_return, coalesce(turnover, 0) AS turnover, coalesce(positions, n_held, 0) AS positions,
-  coalesce(mv, 0) AS missing_valuations
-  FROM (SELECT f.strategy, c.* FROM (SELECT strategy, country, min(execution_session) AS s0 FROM tr GROUP BY 1, 2) f
+  coalesce(mv, 0) AS missing_valuations, coalesce(n_held > mv, d.session_id = s0) AS evaluated
+  FROM (SELECT f.strategy, s0, c.* FROM (SELECT strategy, country, min(execution_session) AS s0 FROM tr GROUP BY 1, 2) f
     JOIN calendar c ON c.country = f.country AND c.session_id >= s0) d
   LEFT JOIN hg ON hg.strategy = d.strategy AND hg.country = d.country AND hg.session_id = d.session_id
   LEFT JOIN tr ON tr.strategy = d.strategy AND tr.country = d.country AND tr.execution_session = d.session_id)"""
+BOOKS = ",".join([SIG, EW, TK, CP, RATES]) + BOOK_WEIGHTS + LEDGER_SQL
 
 
 # In the twin a book's scenario is a suffix of its strategy, so every statement above applies as it is.
@@ -164,12 +174,13 @@ SPLIT = "split_part({0}, ':', 1) AS {1}"
 SCENARIO = "split_part({0}, ':', 2)"
 
 
-def _weights(s, r, costed=False):
+def _weights(s, r, costed=False, books=None):
     keep = ["country", "asset", "session_id", "execution_session", F.col("date").alias("signal_date")]
     rate = portfolio.long_scenarios(r, keep) if costed else r.select(*keep, F.col("c2").alias("rate"))
     keep = ["country", "asset", "session_id", "target_weight"]
-    books = [("equal", portfolio.equal_weight(s, F.col("spread_bps").isNotNull())),
-             ("topk", portfolio.top_k_equal(s, "mom", K)), ("capped", portfolio.risk_scaled(s, "mom", "var"))]
+    books = books(s) if books else [
+        ("equal", portfolio.equal_weight(s, F.col("spread_bps").isNotNull())),
+        ("topk", portfolio.top_k_equal(s, "mom", K)), ("capped", portfolio.risk_scaled(s, "mom", "var"))]
     out = None
     for name, b in books:
         b = b.select(F.lit(name).alias("strategy"), *keep)
@@ -180,12 +191,12 @@ def _weights(s, r, costed=False):
 class Books:
     """Stage tables of one ledger run: costs of own quotes, or every cost scenario if ``costed``."""
 
-    def __init__(self, spark, sf, costed=False):
+    def __init__(self, spark, sf, costed=False, books=None):
         panel = staged_panel(spark, sf)
         self.calendar = materialise(v.calendar(spark, sf, "sup"))
         self.signals = signals(spark, sf, panel)
         self.rates = materialise(rates(panel, self.signals))
-        self.weights = materialise(_weights(self.signals, self.rates, costed))
+        self.weights = materialise(_weights(self.signals, self.rates, costed, books))
         self.returns = panel.select("country", "asset", "session_id", "ret")
 
     def held(self):
@@ -276,23 +287,79 @@ def p14(spark, sf):
     return period(spark, sf)
 
 
+SCENARIOS = (("tight", 0.4), ("loose", 1.0))
+PATHS = BOOKS + "," + WINDOWS_SQL + """,
+nm AS (SELECT r.strategy, r.country, r.execution_session, s.asset, CASE WHEN coalesce(v.valid, FALSE) THEN target_weight END AS want,
+    NOT coalesce(v.valid, FALSE) AS frozen
+  FROM reb r JOIN sig s ON s.country = r.country AND s.date = r.signal_date
+  LEFT JOIN win v ON v.country = s.country AND v.date = s.date AND v.asset = s.asset
+  LEFT JOIN w ON w.strategy = r.strategy AND w.country = r.country AND w.execution_session = r.execution_session AND w.asset = s.asset),
+cu AS (SELECT * FROM nm WHERE want IS NOT NULL OR frozen),
+gr AS (SELECT r.strategy, r.country, r.execution_session, p.asset, product(1 + ret) - 1 AS growth FROM reb r JOIN panel p
+  ON p.country = r.country AND p.session_id > r.execution_session AND p.session_id <= r.next_session AND ret IS NOT NULL GROUP BY 1, 2, 3, 4),
+pv AS (SELECT strategy, country, next_session AS execution_session, asset, growth FROM cu JOIN reb USING (strategy, country, execution_session)
+  LEFT JOIN gr USING (strategy, country, execution_session, asset) WHERE next_session IS NOT NULL),
+el AS (SELECT strategy, country, execution_session, row_number() OVER (PARTITION BY strategy, country ORDER BY execution_session) AS step, names FROM (
+  SELECT strategy, country, execution_session,
+    list({'a': CAST(asset AS VARCHAR), 'w': want, 'f': coalesce(frozen, FALSE), 'g': coalesce(growth, 0)} ORDER BY CAST(asset AS VARCHAR)) AS names
+  FROM cu FULL JOIN pv USING (strategy, country, execution_session, asset) GROUP BY 1, 2, 3)),
+path AS (SELECT strategy, country, scenario, CAST(cap AS DOUBLE) AS cap, 0 AS step, CAST(NULL AS BIGINT) AS execution_session, TRUE AS first,
+    CAST([] AS STRUCT(a VARCHAR, p DOUBLE, n DOUBLE)[]) AS rows, CAST(0 AS DOUBLE) AS blend
+  FROM (SELECT DISTINCT strategy, country FROM el) CROSS JOIN (VALUES """ + ", ".join(f"('{n}', {c})" for n, c in SCENARIOS) + """) AS sc(scenario, cap)
+  UNION ALL
+  SELECT strategy, country, scenario, cap, step, execution_session, first AND len([x FOR x IN rows IF x.n > 0]) = 0, rows, blend FROM (
+  SELECT *, list_transform(b, lambda x: {'a': x.a, 'p': x.p, 'n': CAST(CASE WHEN x.f THEN x.p WHEN x.w IS NULL THEN 0 ELSE {RULE} END AS DOUBLE)}) AS rows FROM (
+  SELECT *, {BLEND} AS blend FROM (
+  SELECT *, coalesce(list_sum([abs(x.w / wt * room - x.p / kept * room) FOR x IN b IF x.w IS NOT NULL]), 0) AS dist FROM (
+  SELECT *, 1 - coalesce(list_sum([x.p FOR x IN b IF x.f]), 0) AS room, coalesce(list_sum([x.p FOR x IN b IF x.w IS NOT NULL]), 0) AS kept,
+    coalesce(list_sum([x.p FOR x IN b IF x.w IS NULL AND NOT x.f]), 0) AS gone, list_sum([x.w FOR x IN b IF x.w IS NOT NULL]) AS wt,
+    len([x FOR x IN b IF x.w IS NOT NULL]) AS n FROM (
+  SELECT *, [{'a': x.a, 'p': CASE WHEN total > 0 THEN x.p / total ELSE 0 END, 'w': x.w, 'f': x.f} FOR x IN g] AS b FROM (
+  SELECT *, list_sum([x.p FOR x IN g]) AS total FROM (
+  SELECT p.strategy, p.country, scenario, cap, e.step, e.execution_session, first,
+    list_transform(names, lambda x: {'a': x.a, 'p': coalesce(list_extract([o.n FOR o IN p.rows IF o.a = x.a], 1), 0) * (1 + x.g), 'w': x.w, 'f': x.f}) AS g
+  FROM path p JOIN el e ON e.strategy = p.strategy AND e.country = p.country AND e.step = p.step + 1)))))))),
+pr AS (SELECT *, list_sum([abs(x.n - x.p) FOR x IN rows]) AS turnover FROM path WHERE step > 0)"""
+_PATH_ROWS = """SELECT strategy, country, scenario, execution_session, x.a AS asset, x.p AS pre_weight, x.n AS target_weight, turnover, blend, blend < 1 AS capped
+  FROM (SELECT *, unnest(rows) AS x FROM pr) WHERE x.p > 0 OR x.n > 0"""
+
+
+def _path_sql(rule, blend):
+    return "RECURSIVE " + PATHS.replace("{RULE}", rule).replace("{BLEND}", blend)
+
+
+CAPPED_PATH = _path_sql(
+    "CASE WHEN first OR kept <= 0 THEN x.w / wt * room ELSE x.p / kept * room + blend * (x.w / wt * room - x.p / kept * room) END",
+    "CASE WHEN first OR kept <= 0 OR dist <= 1e-15 THEN 1.0 ELSE least(greatest((cap - 2 * gone) / dist, 0), 1) END")
+HELD_PATH = _path_sql("CASE WHEN first THEN x.w / wt * room ELSE x.p + gone / n END", "1.0")
+
+
 def _fold_input(spark, sf):
+    """Names of every book: targets of names with a complete risk window, names without one frozen."""
     b = Books(spark, sf)
-    t = fold.with_growth(b.weights, b.held())
-    caps = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("turnover_cap")) for n, c in (("tight", 0.4), ("loose", 1.0))])
+    valid = window_rows(spark, sf).select("country", F.col("date").alias("signal_date"), "asset", "valid")
+    universe_ = b.signals.select("country", F.col("date").alias("signal_date"), "asset").join(valid, ["country", "signal_date", "asset"], "left")
+    books = ledger.rebalances(b.weights).select("strategy", "country", "signal_date", "execution_session")
+    names = books.join(universe_, ["country", "signal_date"]).join(
+        b.weights.select("strategy", "country", "execution_session", "asset", "target_weight"), ["strategy", "country", "execution_session", "asset"], "left")
+    ok = F.coalesce("valid", F.lit(False))
+    names = names.withColumn("target_weight", F.when(ok, F.col("target_weight"))).withColumn("frozen", ~ok)
+    names = materialise(names.where("target_weight IS NOT NULL OR frozen"))
+    t = fold.names_between(names, b.weights, b.returns)
+    caps = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("turnover_cap")) for n, c in SCENARIOS])
     return t.select("*", F.inline(caps))
 
 
 _FOLD = "strategy country scenario execution_session:i asset pre_weight:f target_weight:f turnover:f blend:f capped:b"
 
 
-@query("p15_turnover_capped_path", _FOLD)
+@query("p15_turnover_capped_path", _FOLD, CAPPED_PATH, _PATH_ROWS)
 def p15(spark, sf):
     """Sequential by nature: each step starts from the weights the last one left."""
     return fold.rebalance(_fold_input(spark, sf))
 
 
-@query("p02_buy_and_hold", _FOLD)
+@query("p02_buy_and_hold", _FOLD, HELD_PATH, _PATH_ROWS)
 def p02(spark, sf):
     return fold.buy_and_hold(_fold_input(spark, sf))
 
@@ -332,16 +399,18 @@ def p17(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("forward_excess") - F.col("cost_bps") / 10000).alias("mean_net"))
 
 
-RISKLOG = BOOKS + """,
-rk AS (SELECT country, date AS signal_date, count(spread_bps) AS valid_assets, count(spread_bps) < 10 AS fallback FROM sig GROUP BY 1, 2),
+RISK_STATUS = "," + WINDOWS_SQL + f""",
+rk AS (SELECT s.country, s.date AS signal_date, coalesce(n, 0) AS valid_assets, coalesce(n, 0) < {MIN_ASSETS} AS fallback
+  FROM (SELECT DISTINCT country, date FROM sig) s LEFT JOIN (SELECT country, date, count_if(valid) AS n FROM win GROUP BY 1, 2) USING (country, date))"""
+RISKLOG = BOOKS + RISK_STATUS + """,
 pl AS (SELECT m.country, m.date AS signal_date, x.date AS execution_date FROM monthly m JOIN calendar c ON c.country = m.country
   AND c.date = m.date LEFT JOIN calendar x ON x.country = c.country AND x.session_id = c.session_id + 1),
 en AS (SELECT country, date AS signal_date, count(*) AS entries FROM sig WHERE spread_bps IS NOT NULL GROUP BY 1, 2)"""
 
 
-def _risk(s):
-    return s.groupBy("country", F.col("date").alias("signal_date")).agg(
-        F.count("spread_bps").alias("valid_assets"), (F.count("spread_bps") < 10).alias("fallback"))
+def risk_status(spark, sf, s):
+    """Valid assets of the covariance window of each signal date, and whether it falls back to the diagonal."""
+    return risk.status(window_rows(spark, sf), s, MIN_ASSETS).withColumnRenamed("date", "signal_date")
 
 
 @query("p18_event_log", "country signal_date:d event detail", RISKLOG,
@@ -353,7 +422,7 @@ def _risk(s):
 def p18(spark, sf):
     b = Books(spark, sf)
     plan = _plan(spark, sf, b.signals).withColumnRenamed("date", "signal_date")
-    return ledger.event_log(b.trades(b.held())[1], _risk(b.signals), plan)
+    return ledger.event_log(b.trades(b.held())[1], risk_status(spark, sf, b.signals), plan)
 
 
 @query("p19_observed_cost_rerun", "strategy country n_rebalances:i cost_observed:f9 cost_assumed:f9", BOOKS + """,
@@ -407,7 +476,7 @@ def a03(spark, sf):
 
 @query("a04_reliability",
        "strategy country coverage:f rebalances:i mean_assets:f mean_valid_risk_assets:f fallback_rate:f held_asset_days:i missing_events:i missing_rate:f",
-       RISKLOG, """SELECT *, missing_events / nullif(held_asset_days, 0) AS missing_rate FROM (SELECT strategy, country, 1.0 AS coverage,
+       RISKLOG, """SELECT *, missing_events / nullif(held_asset_days, 0) AS missing_rate FROM (SELECT strategy, country, avg(CAST(evaluated AS INT)) AS coverage,
   sum(positions) AS held_asset_days, sum(missing_valuations) AS missing_events FROM pnl GROUP BY 1, 2) JOIN (
   SELECT strategy, tr.country, count(*) AS rebalances, avg(positions) AS mean_assets, avg(valid_assets) AS mean_valid_risk_assets,
   avg(CAST(coalesce(fallback, FALSE) AS INT)) AS fallback_rate FROM tr LEFT JOIN rk USING (country, signal_date) GROUP BY 1, 2)
@@ -415,7 +484,7 @@ def a03(spark, sf):
 def a04(spark, sf):
     b = Books(spark, sf)
     d, t = b.pnl()
-    return analytics.reliability(d, t, _risk(b.signals), BK)
+    return analytics.reliability(d, t, risk_status(spark, sf, b.signals), BK)
 
 
 @query("a05_period_summary", "strategy country n_periods:i annual_return:f annual_volatility:f sharpe:f", PERIOD,

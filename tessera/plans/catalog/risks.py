@@ -10,11 +10,12 @@ from tessera.session import materialise
 
 N, MIN_ASSETS, HALF_LIFE, UNIVERSE = 4, 3, 60, 100
 _FR = f"(PARTITION BY country, asset ORDER BY session_id ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW)"
-WIN = v.panel_sql("sup") + "," + v.CAPS_SUP_SQL + "," + UNI + f""",
+WINDOWS_SQL = f"""
 win AS (SELECT w.* FROM (SELECT *, count(ret) OVER {_FR} = {N} AND coalesce(session_id - lag(session_id, {N - 1})
   OVER (PARTITION BY country, asset ORDER BY session_id) = {N - 1}, FALSE) AS valid FROM panel) w
   JOIN uni u ON u.country = w.country AND u.asset = w.asset AND u.universe_month = date_trunc('month', w.date)
-  WHERE market_cap_rank <= {UNIVERSE}),
+  WHERE market_cap_rank <= {UNIVERSE})"""
+WIN = v.panel_sql("sup") + "," + v.CAPS_SUP_SQL + "," + UNI + "," + WINDOWS_SQL + f""",
 xs AS (SELECT w.country, w.date, w.asset, p.session_id - w.session_id + {N - 1} AS t, p.ret AS r,
   p.ret - avg(p.ret) OVER (PARTITION BY w.country, w.date, w.asset) AS x
   FROM win w JOIN panel p ON p.country = w.country AND p.asset = w.asset
@@ -31,7 +32,7 @@ shrunk AS (SELECT cov.country, cov.date, asset_i, asset_j,
   FROM cov JOIN lw ON lw.country = cov.country AND lw.date = cov.date)"""
 
 
-def _rows(spark, sf):
+def window_rows(spark, sf):
     u = uni_sup(spark, sf).where(F.col("market_cap_rank") <= UNIVERSE).select("country", "universe_month", "asset")
     w = risk.windows(v.panel(spark, sf, "sup"), N).withColumn("universe_month", F.trunc("date", "MM"))
     return materialise(w.join(u, ["country", "universe_month", "asset"], "left_semi").select(
@@ -40,13 +41,13 @@ def _rows(spark, sf):
 
 @query("r01_risk_window", "country asset:i date:d valid:b", WIN, "SELECT * FROM win")
 def r01(spark, sf):
-    return _rows(spark, sf)
+    return window_rows(spark, sf)
 
 
 @query("r02_sample_covariance", "country date:d asset_i:i asset_j:i value:f9", WIN,
        f"SELECT *, m2 / {N - 1} AS value FROM cov WHERE asset_i <= asset_j")
 def r02(spark, sf):
-    return risk.covariance(_rows(spark, sf))
+    return risk.covariance(window_rows(spark, sf))
 
 
 _WTS = [f"({k}, {w!r})" for k, w in enumerate(risk.ewma_weights(N, HALF_LIFE))]
@@ -58,18 +59,18 @@ xe AS (SELECT country, date, asset, t, w, r - sum(r * w) OVER (PARTITION BY coun
        """SELECT a.country, a.date, a.asset AS asset_i, b.asset AS asset_j, sum(a.w * a.x * b.x) AS value
   FROM xe a JOIN xe b ON a.country = b.country AND a.date = b.date AND a.t = b.t AND a.asset <= b.asset GROUP BY 1, 2, 3, 4""")
 def r03(spark, sf):
-    return risk.covariance(_rows(spark, sf), risk.ewma_weights(N, HALF_LIFE))
+    return risk.covariance(window_rows(spark, sf), risk.ewma_weights(N, HALF_LIFE))
 
 
 @query("r04_shrinkage_constants", "country date:d p:i mu:f9 delta:f12 rho:f", WIN, "SELECT * FROM lw")
 def r04(spark, sf):
-    return risk.shrinkage(_rows(spark, sf))
+    return risk.shrinkage(window_rows(spark, sf))
 
 
 @query("r04_shrunk_covariance", "country date:d asset_i:i asset_j:i value:f9", WIN,
        "SELECT * FROM shrunk WHERE asset_i <= asset_j")
 def r04_matrix(spark, sf):
-    rows = _rows(spark, sf)
+    rows = window_rows(spark, sf)
     return risk.shrunk_covariance(rows, risk.shrinkage(rows))
 
 
@@ -78,7 +79,7 @@ cnt AS (SELECT *, count_if(valid) OVER (PARTITION BY country, date) AS n_valid F
        f"""SELECT s.* FROM shrunk s JOIN (SELECT DISTINCT country, date FROM cnt WHERE n_valid >= {MIN_ASSETS}) USING (country, date)
   WHERE asset_i <= asset_j UNION ALL SELECT country, date, asset, asset, 1e-4 FROM cnt WHERE n_valid < {MIN_ASSETS} OR NOT valid""")
 def r05(spark, sf):
-    rows = _rows(spark, sf)
+    rows = window_rows(spark, sf)
     matrix = risk.shrunk_covariance(rows, risk.shrinkage(rows))
     return risk.with_fallback(rows, matrix, MIN_ASSETS)
 
@@ -95,7 +96,7 @@ tc AS (SELECT e.country, e.date, sum(w * spread_bps / 20000) AS c FROM ew e JOIN
   coalesce(r, 0) - variance * 5 - coalesce(c, 0) AS objective FROM pv LEFT JOIN er USING (country, date)
   LEFT JOIN tc USING (country, date)""")
 def r06(spark, sf):
-    rows = _rows(spark, sf)
+    rows = window_rows(spark, sf)
     keys = ["country", "date"]
     valid = rows.where("valid")
     n = valid.groupBy(*keys).agg((1.0 / F.count(F.lit(1))).alias("weight"))
@@ -110,6 +111,6 @@ def r06(spark, sf):
        f"""SELECT country, date, count(*) AS universe_assets, count_if(valid) AS valid_assets,
   count_if(valid) < {MIN_ASSETS} AS fallback FROM win GROUP BY 1, 2""")
 def q13(spark, sf):
-    return _rows(spark, sf).groupBy("country", "date").agg(
+    return window_rows(spark, sf).groupBy("country", "date").agg(
         F.count(F.lit(1)).alias("universe_assets"), F.count_if("valid").alias("valid_assets"),
         (F.count_if("valid") < MIN_ASSETS).alias("fallback"))

@@ -123,31 +123,41 @@ def f25(spark, sf):
 
 # --- model fits -------------------------------------------------------------------
 
-CELLS = ["ret", "high_low_proxy", "log_volume"]
-FLAT = [f"x{k}" for k in range(L * len(CELLS))]
-SUMMARY = [f"{m}_{k}" for m in CELLS for k in ("last", "mean", "std", "min", "max")]
+RETURNS, VOLS = (3, 5, 8), (3, 5, 8)
+CELLS = ["ret", *(f"return_{n}" for n in RETURNS), *(f"vol_{n}" for n in VOLS), "log_volume", "log_dollar_volume", "log_price",
+         "high_low_proxy", "amihud", "day_of_week", "is_month_end", "is_quarter_end"]
+SCALED = [f"{m}_scaled" for m in CELLS]
+WIDTH = L * len(CELLS)
+SUMMARY = [f"{m}_{k}" for m in SCALED for k in ("last", "mean", "std", "min", "max")]
 
 
 def _training(spark, sf):
-    """Eligible signals after the purge with their flat sequence and its summaries."""
-    p = materialise(features.log_levels(features.bar_shape(purged(spark, sf))))
+    """Eligible signals after the purge with their flat sequence and its summaries.
+
+    Cells are scaled with the median and range of the training windows; a missing
+    value or session is the median, so zero.
+    """
+    p = features.model_features(purged(spark, sf), RETURNS, VOLS, 8)
+    p = materialise(p.select("country", "asset", "session_id", "date", "split", "target", "label_end_date", "model_eligible", *[F.col(c).cast("double").alias(c) for c in CELLS]))
     keys = ["country", "asset", "session_id"]
+    fitted = (F.col("split") == "train") & F.col("model_eligible")
+    stats = materialise(sequence.robust_fit(sequence.window_counts(p, fitted, L), CELLS, "freq"))
     rows = p.where("model_eligible").select(*keys, "date", "split", "target", "label_end_date")
-    a = sequence.assemble(rows.select(*keys), p, CELLS, L)
-    cells = sequence.flat_cells(CELLS)
-    seq = a.select(*keys, cells.alias("flat")).select(*keys, *[F.col("flat")[k].alias(c) for k, c in enumerate(FLAT)])
-    return materialise(rows.join(seq, keys).join(sequence.summarise(a, CELLS), keys))
+    a = sequence.assemble(rows.select(*keys), sequence.robust_apply(p, stats, CELLS), SCALED, L)
+    seq = a.select(*keys, sequence.flat_cells(SCALED).alias("features"))
+    return materialise(rows.join(seq, keys).join(sequence.summarise(a, SCALED), keys))
 
 
-def _vectors(rows, columns):
+def _vectors(rows, columns=None):
     from pyspark.ml.functions import array_to_vector
 
-    return rows.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
+    cells = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]) if columns else F.col("features")
+    return rows.withColumn("features", array_to_vector(cells))
 
 
 @query("m03_ridge", "country asset:i date:d prediction:f4 target:f4")
 def m03(spark, sf):
-    r = _vectors(_training(spark, sf), FLAT)
+    r = _vectors(_training(spark, sf))
     return models.ridge(r.where("split = 'train'"), r.where("split <> 'train'"))
 
 
@@ -160,7 +170,7 @@ def m04(spark, sf):
 def _walk(spark, sf):
     r = _training(spark, sf)
     o = forecast.quarter_origins(r.where("split <> 'train'").select("country", "date").distinct())
-    return r, models.walk_forward(r, o, FLAT)
+    return r, models.walk_forward(r, o, WIDTH)
 
 
 @query("m05_walk_forward_fits", "country origin:d rows_used:i intercept:f4")
@@ -171,4 +181,4 @@ def m05(spark, sf):
 @query("m05_walk_forward_forecasts", "country asset:i date:d training_cutoff:d prediction:f4 target:f4")
 def m05_predict(spark, sf):
     r, fits = _walk(spark, sf)
-    return models.predict_walk_forward(r, materialise(fits), FLAT)
+    return models.predict_walk_forward(r, materialise(fits))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import attach_stats, by_asset, compounded
-from tessera.functions.ranking import ntile_of, ordinal
+from tessera.functions.expr import by_asset, compounded
+from tessera.functions.ranking import ntile_of
 from tessera.operators import labels, universe
 from tessera.plans import views
 
@@ -25,8 +26,9 @@ def liquidity_momentum(
     picked = universe.liquid_universe(p, liquidity, top_k).where(
         F.col("momentum").isNotNull() & F.col("target").isNotNull())
     keys = ["country", "date"]
-    ranked = ordinal(attach_stats(picked, keys, F.count(F.lit(1)).alias("n")), keys, ["momentum", "asset"], "pos",
-                     bounded=True)
+    # a date holds at most top_k names, so plain windows do
+    ranked = picked.select("*", F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("n"),
+                           F.row_number().over(W.partitionBy(*keys).orderBy("momentum", "asset")).alias("pos"))
     ranked = ranked.where(F.col("n") >= buckets).withColumn("bucket", ntile_of("pos", "n", buckets))
     return ranked.groupBy("bucket").agg(
         F.count_distinct("date").alias("n_dates"), F.count(F.lit(1)).alias("n_rows"),

@@ -1,9 +1,9 @@
 """Registry of runnable queries and their SQL twins.
 
 ``cols`` declares the result: ``name:type`` with type ``f`` (double, rounded to
-six decimals, ``f2`` to two), ``i`` (bigint), ``b`` (boolean), ``d`` (date) or
-nothing (taken as is).  The same casts apply to both engines so results compare
-by value.
+six decimals, ``f2`` to two, and from 1 up to eight significant digits), ``i``
+(bigint), ``b`` (boolean), ``d`` (date) or nothing (taken as is).  The same casts
+apply to both engines so results compare by value; the data is not rounded.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: From here on results are compared by significant digits; a factor moves decimal ties, which engines round unlike, off the tie.
+LARGE, OFF_TIE = 1, 1.000000000003
 
 
 def _parse(cols: str) -> list[tuple[str, str]]:
@@ -25,6 +27,7 @@ def _spark_col(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind.startswith("f"):
         c = F.round(c.cast("double"), int(kind[1:] or 6))
+        c = F.when(F.abs(c) >= LARGE, F.format_string("%.7e", c * OFF_TIE).cast("double")).otherwise(c)
     elif kind == "i":
         c = c.cast("bigint")
     elif kind == "d":
@@ -34,7 +37,8 @@ def _spark_col(name: str, kind: str) -> Column:
 
 def _sql_col(name: str, kind: str) -> str:
     if kind.startswith("f"):
-        return f"round(CAST({name} AS DOUBLE), {kind[1:] or 6}) + 0.0 AS {name}"
+        r = f"round(CAST({name} AS DOUBLE), {kind[1:] or 6})"
+        return f"CASE WHEN abs({r}) >= {LARGE} THEN CAST(printf('%.7e', {r} * CAST({OFF_TIE} AS DOUBLE)) AS DOUBLE) ELSE {r} END + 0.0 AS {name}"
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "d":

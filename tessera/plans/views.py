@@ -45,8 +45,8 @@ def supplier_country(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ticks(li: DataFrame, asset: str) -> DataFrame:
-    cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100)
-    price = 1000 + cents % 10000 / 100  # unit price folded into 1000.00 .. 1099.99
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    cents = F.floor(price * 100)
     day = F.weekday(F.to_date("l_shipdate")).cast("bigint")
     key = (day * MAX_ORDER + F.col("l_orderkey")) * 8 + F.col("l_linenumber")
     return li.select(
@@ -74,8 +74,8 @@ def _bars(ticks: DataFrame) -> DataFrame:
             F.avg("tax").alias("t"),
             F.count(F.lit(1)).alias("n"),
         )
-        .withColumn("bid", F.when(quoted, F.floor(F.col("close") * (1 - F.col("d") / 13) * 100) / 100))
-        .withColumn("ask", F.when(quoted, F.ceil(F.col("close") * (1 + F.col("t") / 13) * 100) / 100))
+        .withColumn("bid", F.when(quoted, F.col("close") * (1 - F.col("d") / 10)))
+        .withColumn("ask", F.when(quoted, F.col("close") * (1 + F.col("t") / 10)))
         .drop("d", "t", "n")
     )
 
@@ -96,7 +96,7 @@ def bars_brand(spark: SparkSession, sf: str) -> DataFrame:
 
 def bars_user(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per user of the event stream, one market."""
-    e = table(spark, sf, "events").withColumn("value", F.col("value") + 1000)
+    e = table(spark, sf, "events")
     when = F.struct("ts", "event_id")
     several = F.col("volume") > 1
     return (
@@ -203,7 +203,7 @@ def _week(c: str) -> str:
 
 _TICKS = """
 {name}_ticks AS (SELECT {asset} AS asset, {week} AS date,
-  1000 + CAST(floor(l_extendedprice / l_quantity * 100) AS BIGINT) % 10000 / 100 AS price,
+  l_extendedprice / l_quantity AS price,
   (((isodow(l_shipdate) - 1) * 2199023255552 + l_orderkey) * 8 + l_linenumber) * 65536
     + CAST(floor(l_extendedprice / l_quantity * 100) AS BIGINT) % 65536 AS k,
   l_quantity AS qty, l_discount AS discount, l_tax AS tax FROM {source}),
@@ -211,8 +211,8 @@ _TICKS = """
   arg_max(price, k) AS close, sum(qty) AS volume, avg(discount) AS d, avg(tax) AS t, count(*) AS n
   FROM {name}_ticks GROUP BY asset, date)"""
 
-_QUOTE = ("CASE WHEN n > 1 THEN floor(close * (1 - d / 13) * 100) / 100 END AS bid, "
-          "CASE WHEN n > 1 THEN ceil(close * (1 + t / 13) * 100) / 100 END AS ask")
+_QUOTE = ("CASE WHEN n > 1 THEN close * (1 - d / 10) END AS bid, "
+          "CASE WHEN n > 1 THEN close * (1 + t / 10) END AS ask")
 
 SUPPLIER_COUNTRY = """
 supplier_country AS (SELECT s_suppkey AS asset, r_name AS country FROM supplier
@@ -230,7 +230,7 @@ bars AS (SELECT 'ALL' AS country, asset, date, open, high, low, close, volume, {
 user_agg AS (SELECT user_id AS asset, CAST(ts AS DATE) AS date,
   arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, ROW(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
-  FROM (SELECT * REPLACE (value + 1000 AS value) FROM events) GROUP BY 1, 2),
+  FROM events GROUP BY 1, 2),
 bars AS (SELECT 'ALL' AS country, asset, date, open, high, low, close, volume,
   CASE WHEN volume > 1 THEN close * 0.999 END AS bid,
   CASE WHEN volume > 1 THEN close * 1.001 END AS ask FROM user_agg)""",

@@ -11,7 +11,7 @@ from tessera import schema
 from tessera.functions import expr
 from tessera.functions.expanding import expanding_quantile
 from tessera.operators import (
-    calendar as cal, clean, ensemble, evaluate, features, fold, forecast, inference, labels, ledger, models, portfolio,
+    analytics, calendar as cal, clean, ensemble, evaluate, features, fold, forecast, inference, labels, ledger, models, portfolio,
     quality, risk, universe,
 )
 
@@ -216,7 +216,7 @@ def test_turnover_capped_path(spark):
     for e in (1, 2, 3):
         w = rng.random(6)
         rows += [("s", "X", "c", e, a, float(x), float(rng.normal(0, 0.02)), 0.3) for a, x in zip("abcdef", w / w.sum())]
-    df = spark.createDataFrame(rows, "strategy string, country string, scenario string, execution_session bigint, asset string, target_weight double, growth double, turnover_cap double")
+    df = spark.createDataFrame([(*r, False) for r in rows], "strategy string, country string, scenario string, execution_session bigint, asset string, target_weight double, growth double, turnover_cap double, frozen boolean")
     got = fold.rebalance(df).toPandas()
     assert np.allclose(got.groupby("execution_session").target_weight.sum(), 1)
     later = got[got.execution_session > 1]
@@ -230,11 +230,58 @@ def test_leavers_are_shared_equally(spark):
     rows = [("s", "X", "c", 1, a, w, 0.0, 1.0) for a, w in (("a", 0.5), ("b", 0.25), ("c", 0.25))]
     rows += [("s", "X", "c", 2, a, w, 0.0, 1.0) for a, w in (("a", 0.5), ("b", 0.5), ("c", None))]
     rows += [("s", "X", "c", 3, a, w, 0.0, 1.0) for a, w in (("a", None), ("b", 0.5), ("d", 0.5))]
+    rows, kind = [(*r, False) for r in rows], kind + ", frozen boolean"
     got = {(r.execution_session, r.asset): r.target_weight for r in fold.buy_and_hold(spark.createDataFrame(rows, kind)).collect()}
     assert (got[2, "a"], got[2, "b"], got[2, "c"]) == pytest.approx((0.625, 0.375, 0))
     assert (got[3, "a"], got[3, "b"], got[3, "d"]) == pytest.approx((0, 0.375 + 0.3125, 0.3125))
 
 
+def test_coverage_counts_sessions_before_nulls_become_zero(spark):
+    """Two of four sessions after the deployment value no held name, so three of five had a return."""
+    book = {"strategy": "s", "country": "X"}
+    w = spark.createDataFrame([("s", "X", day(0), 1, "a", 1.0, 0.0)], "strategy string, country string, signal_date date, execution_session int, asset string, target_weight double, rate double")
+    c = spark.createDataFrame([("X", k, day(k)) for k in range(6)], "country string, session_id int, date date")
+    r = spark.createDataFrame([("X", "a", 2, 0.1), ("X", "a", 5, 0.1)], "country string, asset string, session_id int, ret double")
+    held = ledger.positions(w, r, c)
+    trades = ledger.turnover(ledger.weight_ledger(w, ledger.drifted(held)), w, 0.4)
+    daily = ledger.daily_pnl(held, trades, c)
+    risk_rows = spark.createDataFrame([("X", day(0), 0, True)], "country string, signal_date date, valid_assets int, fallback boolean")
+    got = analytics.reliability(daily, trades, risk_rows, list(book)).first()
+    assert (got.coverage, got.fallback_rate, got.missing_events, got.held_asset_days) == (pytest.approx(0.6), 1.0, 2, 5)
+
+
+def test_gates_fail_on_low_coverage_and_on_fallback(spark):
+    runs = [(2, c, 0.0, 0.9, 9.0) for c in "abc"] + [(5, c, 0.2, 1.0, 8.0) for c in "abc"] + [(10, c, 0.1, 0.95, 1.0) for c in "abc"] + [(20, c, None, None, 7.0) for c in "abc"]
+    df = spark.createDataFrame(runs, "risk_aversion int, country string, fallback_rate double, coverage double, sharpe double")
+    got = {r.risk_aversion: (r.eligible_countries, r.selected) for r in ensemble.gated_choice(df, "risk_aversion").collect()}
+    assert got == {2: (0, False), 5: (0, False), 10: (3, True), 20: (0, False)}
+    assert not any(r.selected for r in ensemble.gated_choice(df.where("country < 'c'"), "risk_aversion").collect())
+
+
+def test_risk_status_falls_back_with_few_or_no_assets(spark):
+    rows = spark.createDataFrame([("X", day(0), a, v) for a, v in (("a", True), ("b", True), ("c", False))], "country string, date date, asset string, valid boolean")
+    dates = spark.createDataFrame([("X", day(0)), ("X", day(1))], "country string, date date")
+    got = {r.date: (r.valid_assets, r.fallback) for r in risk.status(rows, dates, 2).collect()}
+    assert got == {day(0): (2, False), day(1): (0, True)}
+
+
+def test_frozen_names_keep_their_weight(spark):
+    """Entry, exit and a frozen name by hand: valid names share what the frozen one leaves."""
+    kind = "strategy string, country string, scenario string, execution_session bigint, asset string, target_weight double, growth double, turnover_cap double, frozen boolean"
+    rows = [("s", "X", "c", 1, a, 1 / 3, 0.0, 9.0, False) for a in "abz"]
+    rows += [("s", "X", "c", 2, "a", 0.5, 0.0, 9.0, False), ("s", "X", "c", 2, "b", None, 0.5, 9.0, True), ("s", "X", "c", 2, "z", None, 0.0, 9.0, False), ("s", "X", "c", 2, "d", 0.5, 0.0, 9.0, False)]
+    rows += [("s", "X", "c", 3, "b", None, 0.0, 9.0, True), ("s", "X", "c", 3, "a", None, 0.0, 9.0, False), ("s", "X", "c", 3, "d", None, 0.0, 9.0, False)]
+    df = spark.createDataFrame(rows, kind)
+    out = {(r.execution_session, r.asset): r for r in fold.rebalance(df).collect()}
+    b = 1.5 / 3.5
+    assert out[2, "b"].pre_weight == out[2, "b"].target_weight == pytest.approx(b)
+    assert out[2, "a"].target_weight == out[2, "d"].target_weight == pytest.approx((1 - b) / 2) and out[2, "z"].target_weight == 0
+    assert out[2, "a"].turnover == pytest.approx(2 / 3.5)
+    assert out[3, "b"].target_weight == pytest.approx(b) and out[3, "a"].target_weight == 0
+    held = {(r.execution_session, r.asset): r.target_weight for r in fold.buy_and_hold(df).collect()}
+    assert (held[2, "a"], held[2, "b"], held[2, "d"]) == pytest.approx((1.5 / 3.5, b, 0.5 / 3.5))
+
+
 @pytest.mark.parametrize("size", [3, 256])
 def test_hybrid_loss_matches_pairs(spark, size):
     rng = np.random.default_rng(6)
@@ -291,11 +338,32 @@ def test_ridge_equals_closed_form(spark):
     want = (x - x.mean(0)) @ beta + y.mean()
     got = models.ridge(df, df).select("prediction", "target").toPandas().sort_values("target").prediction.to_numpy()
     assert np.allclose(got, want[np.argsort(y)], atol=1e-6)
-    fit = models.walk_forward(df, spark.createDataFrame([("X", day(3)), ("X", day(2))], "country string, date date"), ["f0", "f1", "f2"])
+    df = df.withColumn("features", F.array("f0", "f1", "f2"))
+    fit = models.walk_forward(df, spark.createDataFrame([("X", day(3)), ("X", day(2))], "country string, date date"), 3)
     rows = fit.collect()
     assert len(rows) == 1 and rows[0].rows_used == 80 and np.allclose(rows[0].beta, beta)
 
 
+def test_walk_forward_on_wide_sequences_equals_closed_form(spark, monkeypatch):
+    """60 steps of 15 measures, two countries, an origin without new labels, parts of a few rows."""
+    monkeypatch.setattr(models, "PARTIAL_ROWS", 40)
+    rng, width = np.random.default_rng(3), 900
+    rows = [("XY"[k % 2], day(1 + k % 3), day(1 + k % 3), float(rng.normal()), rng.normal(size=width).tolist()) for k in range(240)]
+    df = spark.createDataFrame(rows, "country string, date date, label_end_date date, target double, features array<double>").repartition(5)
+    o = spark.createDataFrame([(c, day(k)) for c in "XY" for k in (2, 3, 9)], "country string, date date")
+    fits = {(r.country, r.origin): r for r in models.walk_forward(df, o, width).collect()}
+    assert len(fits) == 6
+    for (c, at), r in fits.items():
+        mine = [x for x in rows if x[0] == c and x[2] <= at]
+        x, y = np.array([m[4] for m in mine]), np.array([m[3] for m in mine])
+        xc, yc = x - x.mean(0), y - y.mean()
+        beta = np.linalg.solve(xc.T @ xc + 10 * np.eye(width), xc.T @ yc)
+        assert r.rows_used == len(mine) and np.allclose(r.beta, beta) and r.intercept == pytest.approx(y.mean() - x.mean(0) @ beta)
+    scored = models.predict_walk_forward(df, models.walk_forward(df, o, width)).where("date = '2024-01-04'").first()
+    fit = fits[scored.country, day(3)]
+    assert scored.training_cutoff == day(3) and scored.prediction == pytest.approx(fit.intercept + np.dot(fit.beta, scored.features))
+
+
 def test_forward_fill_flags(spark):
     c = spark.createDataFrame([("X", day(k), k) for k in range(4)], "country string, date date, session_id bigint")
     r = spark.createDataFrame([("X", day(1), 0.5)], "country string, date date, rf_daily double")
