@@ -7,16 +7,18 @@ next to it, those whose lattice vectors point most along the residual.  Vectors
 that meet in a cell, one of them filed there, are compared by cosine in double
 precision.
 
-Cells are dealt into blocks, so a cell of m vectors costs m * m / BLOCK rows and
-no task holds it whole.  A pair that meets several times is counted where it
-meets first, which both vectors' cells tell, so pairs are counted without being
-emitted: a block returns link counts and one link per vector into each connected
-part.
+Equal vectors of one label are folded to one node with a count before anything is
+decoded, so copies cost what one vector costs.  Cells are cut into blocks, so a
+cell of m nodes costs m * m / BLOCK rows and no task holds it whole, and a cell's
+blocks are dealt to the tasks in turn.  A pair that meets several times is counted
+where it meets first, which both vectors' cells tell, so pairs are counted without
+being emitted: a block returns link counts, each partner with its copies, and one
+link per node into each connected part.
 
 Defined results: labels that are null, and vectors that are null, empty, zero or
 hold null or non-finite components, link with nothing; vectors of unlike length
-are unlike; repeated rows are rows of their own and link with each other; null
-ids rank above all others; an empty table gives no rows; other columns are not
+are unlike; repeated rows are rows of their own, and usable equal vectors link with
+each other whatever the threshold; null ids rank above all others; an empty table gives no rows; other columns are not
 read.
 """
 
@@ -136,11 +138,11 @@ def _first_here(a: np.ndarray, b: np.ndarray, table: int, cell: int) -> np.ndarr
 
 
 def block_links(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Link counts of a block's vectors and the smallest row that each is connected with."""
-    block = block.sort_values("row")
+    """Rows that each node of a block links with, and the smallest node that it is connected with."""
+    block = block.sort_values("node")
     one = block["i"].iat[0] == block["j"].iat[0]
     units, _ = unit_rows(block["vector"].tolist())
-    its_cells, rows, part = np.stack(block["cells"]), block["row"].to_numpy(), block["part"].to_numpy()
+    its_cells, names, part, copies = np.stack(block["cells"]), block["node"].to_numpy(), block["part"].to_numpy(), block["copies"].to_numpy()
     close = units @ units.T >= threshold
     close &= block["label"].to_numpy()[:, None] == block["label"].to_numpy()[None, :]
     a, b = np.nonzero(np.triu(close, 1))
@@ -149,9 +151,9 @@ def block_links(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
         a, b = a[across], b[across]
     first = _first_here(its_cells[a], its_cells[b], int(block["t"].iat[0]), int(block["cell"].iat[0]))
     a, b = a[first], b[first]
-    n = len(rows)
-    degree = np.bincount(np.concatenate([a, b]), minlength=n)
-    root = np.arange(n)
+    degree, root = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
+    np.add.at(degree, a, copies[b])
+    np.add.at(degree, b, copies[a])
     while True:
         low = root.copy()
         np.minimum.at(low, a, root[b])
@@ -161,7 +163,7 @@ def block_links(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         root = low
     kept = degree > 0
-    return pd.DataFrame({"row": rows[kept], "links": degree[kept], "root": rows[root[kept]]})
+    return pd.DataFrame({"node": names[kept], "links": degree[kept], "root": names[root[kept]]})
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -172,23 +174,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def filed(v: pd.Series) -> pd.Series:
         return all_cells(v)
 
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
-    rows = materialise(rows.withColumn("cells", F.when(F.col("label").isNotNull(), filed("vector"))))
+    # shortest decimal forms name a float one to one, so equal digests are equal vectors
+    digest = F.unhex(F.sha2(F.array_join(F.col(vector_col).cast("array<string>"), ",", "null"), 256))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(label_col).alias("label"), digest.alias("digest"), F.col(vector_col).alias("vector"))
+    rows = materialise(rows)
+    nodes = rows.where("label is not null and digest is not null").groupBy("label", "digest", "vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialise(nodes.withColumn("cells", filed("vector")).where("cells is not null"))
     width = 1 + PROBES
-    visits = rows.where("cells is not null").select("row", "label", F.size("vector").alias("dim"), F.posexplode("cells").alias("p", "cell"))
-    visits = visits.select("row", F.floor(F.col("p") / width).cast("int").alias("t"), "cell", "label", "dim", (F.col("p") % width == 0).alias("home"))
-    busy = visits.groupBy("t", "cell", "label", "dim").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
-    met = materialise(visits.hint("merge").join(busy.drop("any_home"), ["t", "cell", "label", "dim"]))
+    visits = nodes.select("node", "label", F.size("vector").alias("dim"), F.posexplode("cells").alias("p", "cell"))
+    visits = visits.select("node", F.floor(F.col("p") / width).cast("int").alias("t"), "cell", "label", "dim", (F.col("p") % width == 0).alias("home"))
+    bucket = ["t", "cell", "label", "dim"]
+    busy = visits.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
+    met = materialise(visits.hint("merge").join(busy.drop("any_home"), bucket))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = met.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    dealt = met.withColumn("_b", F.explode(pairs)).select("t", "cell", "label", "dim", "row", "part", "_b.i", "_b.j")
-    dealt = dealt.join(rows.select("row", "vector", "cells"), "row")
-    found = materialise(dealt.groupBy("t", "cell", "label", "dim", "i", "j").applyInPandas(lambda b: block_links(b, threshold), "row bigint, links bigint, root bigint"))
-
-    counts = found.groupBy("row").agg(F.sum("links").alias("n_links"))
-    joined = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
-    named = rows.select("row", "vec_id").join(joined.withColumnRenamed("node", "row"), "row").join(counts, "row")
+    dealt = met.withColumn("_b", F.explode(pairs)).select(*bucket, "node", "part", "_b.i", "_b.j")
+    # blocks cost alike whatever their bytes: a cell's blocks go to the tasks in turn, from a place that its hash gives
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col("j").cast("bigint") * (F.col("j") + 1) / 2 + F.col("i")
+    dealt = dealt.withColumn("task", F.pmod(F.pmod(F.xxhash64(*bucket), F.lit(tasks)) + number.cast("bigint"), F.lit(tasks)).cast("int"))
+    dealt = dealt.hint("merge").join(nodes.select("node", "vector", "cells", "copies"), "node").repartitionById(tasks, F.col("task"))
+    found = materialise(dealt.groupBy("task", *bucket, "i", "j").applyInPandas(lambda b: block_links(b, threshold), "node bigint, links bigint, root bigint"))
+
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = nodes.select("node", "label", "digest", "copies").join(counts, "node", "left").join(joined, "node", "left").where("copies > 1 or links is not null")
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    linked = linked.select("label", "digest", n_links.alias("n_links"), F.coalesce("component", "node").alias("component"))
+    named = materialise(rows.select("row", "vec_id", "label", "digest").join(linked, ["label", "digest"]).drop("label", "digest"))
     tops = named.groupBy("component").agg(F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "row")).alias("top"))
     named = materialise(named.join(tops, "component").select("row", "n_links", F.col("top.vec_id").alias("component_id"), F.col("top.row").alias("top_row")))
     out = rows.select("row", "vec_id").join(named, "row", "left")

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import lattice, near_dedup, pages, queries, shingles
 from tessera.llm.components import components
@@ -163,6 +164,28 @@ def test_odd_vectors(spark, monkeypatch):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_vector_are_one_node(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    a, c = rng.normal(size=12), rng.normal(size=12)
+    b = a + 0.005 * rng.normal(size=12)
+    made = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 0).when(F.col("id") < 12_000, 1).otherwise(2).alias("which"))
+    pool = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in (a, b, c)])
+    df = made.select(F.col("id").alias("vec_id"), F.element_at(pool, F.col("which") + 1).alias("embedding"), F.when(F.col("id") != 7, 1).alias("label"))
+    visits, keep = [], lattice.materialise
+
+    def watched(table):
+        out = keep(table)
+        visits.extend([out.count()] if "home" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(lattice, "materialise", watched)
+    got = lattice.near_vectors(df).groupBy((F.col("vec_id") % 2 == 0).alias("even"), (F.col("vec_id") < 12_000).alias("low"), "n_links", "component_id").count()
+    got = {tuple(r) for r in got.collect()}
+    # 10,000 rows of a and 5,999 of b link with each other, 4,000 rows of c among themselves, row 7 has no label
+    assert got == {(True, True, 15_998, 0, 6_000), (True, False, 15_998, 0, 4_000), (False, True, 15_998, 0, 5_999), (False, True, 0, 7, 1), (False, False, 3_999, 12_001, 4_000)}
+    assert sum(visits) <= 2 * lattice.TABLES * (1 + lattice.PROBES)
+
+
 def test_lattice_points():
     rng = np.random.default_rng(0)
     y = rng.normal(size=(300, 8)) * 2
