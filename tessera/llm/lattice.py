@@ -179,7 +179,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(label_col).alias("label"), digest.alias("digest"), F.col(vector_col).alias("vector"))
     rows = materialise(rows)
     nodes = rows.where("label is not null and digest is not null").groupBy("label", "digest", "vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes.withColumn("cells", filed("vector")).where("cells is not null"))
+    # filtered after the write: a filter on the decoded cells would decode twice
+    nodes = materialise(nodes.withColumn("cells", filed("vector"))).where("cells is not null")
     width = 1 + PROBES
     visits = nodes.select("node", "label", F.size("vector").alias("dim"), F.posexplode("cells").alias("p", "cell"))
     visits = visits.select("node", F.floor(F.col("p") / width).cast("int").alias("t"), "cell", "label", "dim", (F.col("p") % width == 0).alias("home"))
