@@ -22,6 +22,8 @@ from tessera.functions.expr import hash_index, safe_div
 DRAWS = 2000
 MAX_LAG = 12
 BLOCK_LIMITS = (4, 12)
+#: Tasks that share a key's draws.
+SLICES = 16
 
 
 def paired_rows(forecasts: DataFrame, label: str = "model") -> DataFrame:
@@ -198,18 +200,129 @@ def sharpe_difference(indices: DataFrame, series: DataFrame, keys: list[str], pe
     return interval(s.where(F.col("ds").isNotNull()), keys, "ds", "delta_sharpe")
 
 
-def portfolio_bootstrap(indices: DataFrame, series: DataFrame, keys: list[str], periods: int) -> DataFrame:
-    """Intervals of paired differences in mean, Sharpe, turnover and maximum drawdown.
+def _single(x: Column, values: list[str], paths: list[str]) -> Column:
+    """Summary of one date."""
+    out = [F.lit(1.0).alias("m")]
+    for v in values:
+        known = x[v].isNotNull()
+        out += [F.when(known, 1.0).otherwise(0.0).alias("c_" + v), F.coalesce(x[v], F.lit(0.0)).alias("s_" + v), F.coalesce(x[v] * x[v], F.lit(0.0)).alias("q_" + v)]
+    for v in paths:
+        g = 1 + F.coalesce(x[v], F.lit(0.0))
+        out += [g.alias("g_" + v), g.alias("p_" + v), g.alias("l_" + v), F.lit(1.0).alias("w_" + v)]
+    return F.struct(*out)
+
+
+def _nothing(values: list[str], paths: list[str]) -> Column:
+    """Summary of no date, the identity of ``_then``."""
+    inf = F.lit(float("inf"))
+    out = [F.lit(0.0).alias("m")] + [F.lit(0.0).alias(k + v) for v in values for k in ("c_", "s_", "q_")]
+    for v in paths:
+        out += [F.lit(1.0).alias("g_" + v), F.lit(0.0).alias("p_" + v), inf.alias("l_" + v), inf.alias("w_" + v)]
+    return F.struct(*out)
+
+
+def _then(a: Column, b: Column, values: list[str], paths: list[str]) -> Column:
+    """Summary of the dates of ``a`` followed by those of ``b``.
+
+    Of a path: growth g, highest and lowest wealth p and l on the way, worst ratio w of wealth to its
+    running peak.  Wealth over the larger of two peaks is the smaller of the two ratios.
+    """
+    out = [(a[c] + b[c]).alias(c) for c in ["m"] + [k + v for v in values for k in ("c_", "s_", "q_")]]
+    for v in paths:
+        g, p, low, w = (k + v for k in ("g_", "p_", "l_", "w_"))
+        out += [(a[g] * b[g]).alias(g), F.greatest(a[p], a[g] * b[p]).alias(p), F.least(a[low], a[g] * b[low]).alias(low),
+                F.least(a[w], F.try_divide(a[g] * b[low], a[p]), b[w]).alias(w)]
+    return F.struct(*out)
+
+
+def block_draws(series: DataFrame, keys: list[str], values: list[str], paths: list[str] = [], block: int | None = None,
+                draws: int = DRAWS, seed: int = 7) -> DataFrame:
+    """One summary per (key, draw): ``m`` dates, per value count, sum and sum of squares, per path growth and drawdown.
+
+    Blocks are summarised once per place where one can start; a draw then composes its blocks'
+    summaries, so it costs its blocks and no sampled date becomes a row.  Without ``block`` the
+    blocks are circular and as long as ``circular_block`` says, the last one cut to fill ``n``; with it
+    they are cut from the start and a short one counts its own dates.  Samples are those of
+    ``circular_indices`` and ``fixed_block_indices``.  Path returns are not below -100 %; a missing
+    value is left out of its sums and leaves wealth as it is.  Rows of a key are bounded by the calendar.
+    """
+    names = list(dict.fromkeys([*values, *paths]))
+    merge = lambda a, b: _then(a, b, values, paths)
+    zero = _nothing(values, paths)
+    fold = lambda part: F.aggregate(part, zero, lambda a, x: merge(a, _single(x, values, paths)))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
+    n, length, parts = F.col("n"), F.col("_len"), F.col("_parts")
+
+    table = series.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("i", *[F.col(c).cast("double").alias(c) for c in names]))).alias("_all"))
+    table = table.withColumn("_len", circular_block("n") if block is None else F.lit(block).cast("bigint")).withColumn("_blocks", F.ceil(n / length))
+    if block is None:
+        # a series may be shorter than a block, so it goes round as often as that takes
+        turns = F.flatten(F.array_repeat("_all", (F.ceil(length / n) + 1).cast("int")))
+        lengths = F.array(length, n - (F.col("_blocks") - 1) * length)
+        starts = upto(n)
+    else:
+        turns, lengths, starts = F.col("_all"), upto(length + 1), F.transform(upto(F.col("_blocks")), lambda b: b * length)
+        lengths = F.filter(lengths, lambda k: k > 0)
+    cut = lambda at, k: fold(F.slice("_turns", (at + 1).cast("int"), k.cast("int")))
+    table = table.withColumn("_turns", turns).withColumn("_parts", F.transform(starts, lambda at: F.transform(lengths, lambda k: cut(at, k))))
+    table = table.select(*keys, "n", "_len", "_blocks", "_parts")
+
+    def circular(draw: Column) -> Column:
+        last = F.col("_blocks") - 1
+        kind = lambda b: F.when(b == last, 2).otherwise(1)
+        at = lambda b: hash_index("n", seed, draw, b).cast("int") + 1
+        return F.aggregate(F.transform(upto(F.col("_blocks")), lambda b: F.element_at(F.element_at(parts, at(b)), kind(b))), zero, merge)
+
+    def fixed(draw: Column) -> Column:
+        short = F.when(n % length == 0, length).otherwise(n % length)
+        chosen = F.transform(upto(F.ceil(n / short)), lambda b: hash_index("_blocks", seed, draw, b))
+
+        def add(a: Column, b: Column) -> Column:
+            take = F.least(length, n - b * length, n - a["m"].cast("bigint")).cast("int")
+            part = F.when(take > 0, F.element_at(F.element_at(parts, b.cast("int") + 1), F.greatest(take, F.lit(1)))).otherwise(zero)
+            # as a lambda variable the part is looked up once
+            return F.element_at(F.transform(F.array(part), lambda x: merge(a, x)), 1)
+
+        return F.aggregate(chosen, zero, add)
+
+    one = circular if block is None else fixed
+    dealt = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(min(SLICES, draws) - 1)))).repartition(*keys, "_slice")
+    mine = F.sequence(F.col("_slice"), F.lit(draws - 1), F.lit(SLICES))
+    return dealt.select(*keys, F.explode(F.transform(mine, lambda d: F.struct(d.alias("draw"), one(d).alias("sum")))).alias("_d")).select(*keys, "_d.draw", "_d.sum.*")
+
+
+def _mean_of(v: str) -> Column:
+    return F.try_divide(F.col("s_" + v), F.col("c_" + v))
+
+
+def _sharpe_of(v: str, periods: int) -> Column:
+    """Sharpe ratio from a summary; deviations below rounding of the squares count as none."""
+    c, s, q = (F.col(k + v) for k in ("c_", "s_", "q_"))
+    spread = q - F.try_divide(s * s, c)
+    sd = F.when((c > 1) & (spread > 1e-13 * q), F.sqrt(F.try_divide(spread, c - 1)))
+    return F.try_divide(_mean_of(v), sd) * F.sqrt(F.lit(float(periods)))
+
+
+def block_mean_interval(series: DataFrame, keys: list[str], value: str, block: int | None = None, name: str = "ci") -> DataFrame:
+    """Percentile interval of a mean under circular blocks, or under blocks of ``block`` dates."""
+    return interval(block_draws(series, keys, [value], block=block).withColumn("_m", _mean_of(value)), keys, "_m", name)
+
+
+def block_sharpe_difference(series: DataFrame, keys: list[str], periods: int, block: int | None = None) -> DataFrame:
+    """As ``sharpe_difference``, under blocks."""
+    d = block_draws(series, keys, ["a", "b"], block=block).withColumn("ds", _sharpe_of("a", periods) - _sharpe_of("b", periods))
+    return interval(d.where(F.col("ds").isNotNull()), keys, "ds", "delta_sharpe")
+
+
+def portfolio_bootstrap(series: DataFrame, keys: list[str], periods: int) -> DataFrame:
+    """Intervals of paired differences in mean, Sharpe, turnover and maximum drawdown under circular blocks.
 
     ``series`` has returns ``a``, ``b`` and turnovers ``ta``, ``tb``.
     """
-    s = resample(indices, series, keys, ["a", "b", "ta", "tb"])
-    run = W.partitionBy(*keys, "draw").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumn("wa", F.product(1 + F.col("a")).over(run)).withColumn("wb", F.product(1 + F.col("b")).over(run))
-    s = s.withColumn("da", F.col("wa") / F.max("wa").over(run) - 1).withColumn("db", F.col("wb") / F.max("wb").over(run) - 1)
-    d = s.groupBy(*keys, "draw").agg(
-        F.avg(F.col("a") - F.col("b")).alias("mean"), (_sharpe("a", periods) - _sharpe("b", periods)).alias("sharpe"),
-        F.avg(F.col("ta") - F.col("tb")).alias("turnover"), (F.min("da") - F.min("db")).alias("drawdown"))
+    s = series.withColumn("d", F.col("a") - F.col("b")).withColumn("t", F.col("ta") - F.col("tb"))
+    d = block_draws(s, keys, ["a", "b", "d", "t"], ["a", "b"]).select(
+        *keys, _mean_of("d").alias("mean"), (_sharpe_of("a", periods) - _sharpe_of("b", periods)).alias("sharpe"),
+        _mean_of("t").alias("turnover"), (F.col("w_a") - F.col("w_b")).alias("drawdown"))
     aggs = []
     for c in ("mean", "sharpe", "turnover", "drawdown"):
         aggs += [F.percentile(c, F.lit(0.025)).alias(c + "_low"), F.percentile(c, F.lit(0.975)).alias(c + "_high")]

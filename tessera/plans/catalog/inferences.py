@@ -87,7 +87,7 @@ ix AS (SELECT {keys}, draw, b * len + o AS j, (start + o) % n AS i FROM (SELECT
   SELECT left_, right_, draw, avg(d) AS m FROM ix JOIN ser USING (left_, right_, i) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def i04(spark, sf):
     s = materialise(inf.indexed(_losses(spark, sf), LP))
-    return inf.mean_interval(inf.circular_indices(s, LP), s, LP, "d")
+    return inf.block_mean_interval(s, LP, "d")
 
 
 FLIP = LOSS + f""",
@@ -139,7 +139,7 @@ ds AS (SELECT strategy, draw, avg(a - b) AS mean, avg(a) / stddev_samp(a) * sqrt
            f"quantile_cont({m}, 0.025) AS {m}_low, quantile_cont({m}, 0.975) AS {m}_high" for m in _MEASURES) + " FROM ds GROUP BY 1")
 def i07(spark, sf):
     s = _books(spark, sf)
-    return inf.portfolio_bootstrap(inf.circular_indices(s, ["strategy"]), s, ["strategy"], 252)
+    return inf.portfolio_bootstrap(s, ["strategy"], 252)
 
 
 # Series per strategy, scenario and country against equal weight, and per two strategies of a scenario and country.
@@ -184,7 +184,7 @@ _PC = "left_ right_ scenario country "
   SELECT {_PK}, draw, avg(a - b) AS m FROM ix JOIN ser USING ({_PK}, i) GROUP BY {_PK}, draw) GROUP BY {_PK}""")
 def i08(spark, sf):
     s = _pairs(spark, sf, every=False).withColumn("d", F.col("a") - F.col("b"))
-    return inf.mean_interval(inf.fixed_block_indices(s, BOOK_PAIR, 5), s, BOOK_PAIR, "d")
+    return inf.block_mean_interval(s, BOOK_PAIR, "d", block=5)
 
 
 _DSHARPE = f"""SELECT {_PK}, quantile_cont(ds, 0.025) AS delta_sharpe_low, quantile_cont(ds, 0.975) AS delta_sharpe_high FROM (
@@ -196,7 +196,7 @@ _DSHARPE = f"""SELECT {_PK}, quantile_cont(ds, 0.025) AS delta_sharpe_low, quant
 @query("i09_fixed_block_sharpe", _PC + "delta_sharpe_low:f delta_sharpe_high:f", VS_EQUAL + "," + BLOCKS, _DSHARPE)
 def i09(spark, sf):
     s = _pairs(spark, sf, every=False)
-    return inf.sharpe_difference(inf.fixed_block_indices(s, BOOK_PAIR, 5), s, BOOK_PAIR, 252)
+    return inf.block_sharpe_difference(s, BOOK_PAIR, 252, block=5)
 
 
 IC = METRICS + """,
