@@ -242,8 +242,8 @@ def block_draws(series: DataFrame, keys: list[str], values: list[str], paths: li
     Blocks are summarised once per place where one can start; a draw then composes its blocks'
     summaries, so it costs its blocks and no sampled date becomes a row.  Without ``block`` the
     blocks are circular and as long as ``circular_block`` says, the last one cut to fill ``n``; with it
-    they are cut from the start and a short one counts its own dates.  Samples are those of
-    ``circular_indices`` and ``fixed_block_indices``.  Path returns are not below -100 %; a missing
+    they are cut from the start and a short one counts its own dates; blocks of one date are independent
+    draws.  Samples are those of ``circular_indices``, ``fixed_block_indices`` and ``iid_indices``.  Path returns are not below -100 %; a missing
     value is left out of its sums and leaves wealth as it is.  Rows of a key are bounded by the calendar.
     """
     names = list(dict.fromkeys([*values, *paths]))

@@ -223,7 +223,7 @@ ser AS (SELECT *, row_number() OVER (PARTITION BY model, country ORDER BY date)
   SELECT model, country, draw, avg(ic) AS m FROM ix JOIN ser USING (model, country, i) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def i10(spark, sf):
     s = materialise(inf.indexed(_ics(spark, sf), MC))
-    return inf.mean_interval(inf.iid_indices(s, MC), s, MC, "ic")
+    return inf.block_mean_interval(s, MC, "ic", block=1)
 
 
 @query("i11_paired_ic_interval", _P + "country mean_delta:f ci_low:f ci_high:f", IC + """,
@@ -242,10 +242,10 @@ def i11(spark, sf):
     d = ic.select(*on, F.col("model").alias("left_"), F.col("ic").alias("x")).join(other, on).where("left_ < right_")
     s = materialise(inf.indexed(d.select(*LP, *on, (F.col("x") - F.col("y")).alias("d")), LC))
     mean = s.groupBy(*LC).agg(F.avg("d").alias("mean_delta"))
-    return mean.join(inf.mean_interval(inf.iid_indices(s, LC), s, LC, "d"), LC)
+    return mean.join(inf.block_mean_interval(s, LC, "d", block=1), LC)
 
 
 @query("i12_paired_sharpe_interval", _PC + "delta_sharpe_low:f delta_sharpe_high:f", ALL_PAIRS + "," + iid_sql(_PK), _DSHARPE)
 def i12(spark, sf):
     s = _pairs(spark, sf, every=True)
-    return inf.sharpe_difference(inf.iid_indices(s, BOOK_PAIR), s, BOOK_PAIR, 252)
+    return inf.block_sharpe_difference(s, BOOK_PAIR, 252, block=1)

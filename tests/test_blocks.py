@@ -24,10 +24,10 @@ def explicit(indices, series):
     return {(r.k, r.draw): r.s for r in rows}
 
 
-@pytest.mark.parametrize("block", [None, 5, 7])
+@pytest.mark.parametrize("block", [None, 1, 5, 7])
 def test_draws(spark, series, block):
     draws = 25
-    index = inf.circular_indices(series, ["k"], draws) if block is None else inf.fixed_block_indices(series, ["k"], block, draws)
+    index = inf.circular_indices(series, ["k"], draws) if block is None else inf.iid_indices(series, ["k"], draws) if block == 1 else inf.fixed_block_indices(series, ["k"], block, draws)
     want = explicit(index, series)
     got = {(r.k, r.draw): r for r in inf.block_draws(series, ["k"], ["a", "b"], ["a"], block, draws).collect()}
     assert got.keys() == want.keys() and len(got) == 5 * draws
