@@ -38,14 +38,16 @@ def name_turnover(picks: DataFrame, dates: DataFrame, k: int) -> DataFrame:
     return c.select(*GROUP, ((F.col("entered") + F.col("exited")) / k).alias("name_turnover"))
 
 
-def risk_scaled(df: DataFrame, score: str, variance: str, min_cap: float = MIN_CAP) -> DataFrame:
+def risk_scaled(df: DataFrame, score: str, variance: str, min_cap: float | Column = MIN_CAP, keys: list[str] = GROUP) -> DataFrame:
     """Long-only weights proportional to positive score over variance, capped, fully invested.
 
+    ``min_cap`` is the largest weight of a name (1/n where that is more).
+
     Water filling in closed form: sorted by scaled score, the first row whose
     scaled share fits the cap fixes the multiplier; better rows sit at the cap.
     The universe is a top-n cross-section, so the window is bounded.
     """
-    g = W.partitionBy(*GROUP)
+    g = W.partitionBy(*keys)
     order = g.orderBy(F.desc("_s"), F.asc("asset"))
     d = df.withColumn("_s", F.coalesce(safe_div(F.greatest(F.col(score), F.lit(0.0)), variance), F.lit(0.0)))
     d = d.select(
@@ -120,11 +122,12 @@ def schedule_counts(plan: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "empty_signal").alias("skipped_empty_signal"))
 
 
-def scenario_grid(base: dict[str, float], options: dict[str, list[float]]) -> list[dict[str, float]]:
+def scenario_grid(base: dict[str, float | str], options: dict[str, list[float] | list[str]]) -> list[dict[str, float | str]]:
     """One dimension at a time around a base configuration (a handful of rows)."""
     out = [dict(base, variant="base")]
     for name, values in options.items():
         for value in values:
             if value != base[name]:
-                out.append(dict(base, **{name: value, "variant": f"{name}={value:g}"}))
+                label = value if isinstance(value, str) else f"{value:g}"
+                out.append(dict(base, **{name: value, "variant": f"{name}={label}"}))
     return out

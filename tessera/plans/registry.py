@@ -1,8 +1,9 @@
 """Registry of runnable queries and their SQL twins.
 
 ``cols`` declares the result: ``name:type`` with type ``f`` (double, rounded to
-six decimals, ``f2`` to two, and from 1 up to eight significant digits), ``i``
-(bigint), ``b`` (boolean), ``d`` (date) or nothing (taken as is).  The same casts
+six decimals, ``f2`` to two, and from 1 up to eight significant digits), ``g``
+(double, five decimals and six digits, for tables so large that some value lies
+within the engines' difference of a finer tie), ``i`` (bigint), ``b`` (boolean), ``d`` (date) or nothing (taken as is).  The same casts
 apply to both engines so results compare by value; the data is not rounded.
 """
 
@@ -23,11 +24,16 @@ def _parse(cols: str) -> list[tuple[str, str]]:
     return [(n, t) for n, _, t in (c.partition(":") for c in cols.split())]
 
 
+def _precision(kind: str) -> tuple[int, str]:
+    return (5, "%.5e") if kind == "g" else (int(kind[1:] or 6), "%.7e")
+
+
 def _spark_col(name: str, kind: str) -> Column:
     c = F.col(name)
-    if kind.startswith("f"):
-        c = F.round(c.cast("double"), int(kind[1:] or 6))
-        c = F.when(F.abs(c) >= LARGE, F.format_string("%.7e", c * OFF_TIE).cast("double")).otherwise(c)
+    if kind.startswith(("f", "g")):
+        places, shape = _precision(kind)
+        c = F.round(c.cast("double"), places)
+        c = F.when(F.abs(c) >= LARGE, F.format_string(shape, c * OFF_TIE).cast("double")).otherwise(c)
     elif kind == "i":
         c = c.cast("bigint")
     elif kind == "d":
@@ -36,9 +42,10 @@ def _spark_col(name: str, kind: str) -> Column:
 
 
 def _sql_col(name: str, kind: str) -> str:
-    if kind.startswith("f"):
-        r = f"round(CAST({name} AS DOUBLE), {kind[1:] or 6})"
-        return f"CASE WHEN abs({r}) >= {LARGE} THEN CAST(printf('%.7e', {r} * CAST({OFF_TIE} AS DOUBLE)) AS DOUBLE) ELSE {r} END + 0.0 AS {name}"
+    if kind.startswith(("f", "g")):
+        places, shape = _precision(kind)
+        r = f"round(CAST({name} AS DOUBLE), {places})"
+        return f"CASE WHEN abs({r}) >= {LARGE} THEN CAST(printf('{shape}', {r} * CAST({OFF_TIE} AS DOUBLE)) AS DOUBLE) ELSE {r} END + 0.0 AS {name}"
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "d":

@@ -21,6 +21,7 @@ SAMPLE = [
     "r04_shrunk_covariance", "p05_risk_scaled_capped", "p13_daily_pnl", "a13_by_year", "i04_circular_block_interval",
     "n08_consensus_score", "r04_shrinkage_constants", "f21_flat_vectors", "p02_buy_and_hold", "p13_costed_pnl",
     "a04_reliability", "p15_turnover_capped_path", "a15_turnover_reduction", "i03_student_p_value", "i11_paired_ic_interval", "q20_fingerprint",
+    "r04_shrinkage_grid", "r05_covariance_grid", "q13_coverage_grid",
 ]
 NAMES = sorted(catalog.QUERIES) if os.environ.get("TESSERA_FULL") else SAMPLE
 
