@@ -1,15 +1,14 @@
 """Exact ordering statistics over groups of any size.
 
 A window over a group sorts the whole group in one task.  Cross-sections can hold
-an arbitrary number of rows, so rows are dealt by (group, range) instead, where
-ranges are cut from the order of (group, order key) of the whole table.  Cut
-points are the keys of one row in ``RANGE_ROWS``, chosen by hash, and of these at most
-``CUTS``, so the number of ranges follows the size of the table, a small table has
-one, and what rows are compared with is bounded.  Rows are exchanged
-once.  A window inside each (group, range) gives running sums; a group that lies in
-several ranges has its earlier ranges' sums carried on to the later ones.  Only a
-group that holds a cut point does, so the carried table has a few rows per
-cut point, which bounds its broadcast.  Cut points and carried sums are
+an arbitrary number of rows, so rows of a group above ``RANGE_ROWS`` are dealt by (group, range),
+where ranges are cut from the order of the group.  Rows are counted per group first; only large groups have cut
+points, the keys of one row in ``RANGE_ROWS`` chosen by hash and of these about ``CUTS`` in
+all, so the table that rows look their group up in is bounded.  A row of a small group is compared
+with nothing, one of a large group finds its range by halving.  Rows are exchanged
+once.  A window inside each (group, range) gives running sums; a large group
+has its earlier ranges' sums carried on to the later ones, a few rows per
+cut point, which bounds that broadcast too.  Counts, cut points and carried sums are
 branches of the same lazy plan: nothing runs before the action, and every input
 takes the same way.
 
@@ -26,42 +25,51 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import col
 
-#: One in this many order keys is a cut point, the mean size of a range.
+#: One in this many order keys of a large group is a cut point, the mean size of a range; smaller groups have none.
 RANGE_ROWS = 500_000
-#: Most cut points; beyond, ranges grow with the table.
+#: About as many cut points at most; beyond, ranges grow with the table.
 CUTS = 4096
-#: Cut points per step of the two-step search.
-STEP = 128
-
-
-def _cut_points(d: DataFrame, at: Column, range_rows: int) -> Column:
-    """Sorted cut points ``all`` and every STEP-th of them, ``firsts``, as one scalar of the plan."""
-    h = F.xxhash64("at")
-    sample = d.select(at.alias("at")).where(F.pmod(h, F.lit(range_rows)) == 0).distinct().orderBy(h).limit(CUTS)
-    cuts = sample.agg(F.sort_array(F.collect_list("at")).alias("all"))
-    last = F.floor((F.size("all") - 1) / STEP).cast("int")
-    firsts = F.transform(F.sequence(F.lit(0), last), lambda k: F.element_at("all", k * STEP + 1))
-    firsts = F.when(F.size("all") > 0, firsts).otherwise(F.col("all"))
-    return cuts.select(F.struct("all", firsts.alias("firsts")).alias("cuts")).scalar()
+#: Steps of the search by halving; any cut points beyond their sum are left out.
+STEPS = [2**k for k in range(13, -1, -1)]
 
 
 def _same(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, [x.eqNullSafe(y) for x, y in zip(a, b)], F.lit(True))
 
 
-def _in_ranges(d: DataFrame, keys: list[str], at: Column, cuts: Column) -> DataFrame:
-    """Rows with their range, whether a cut point next to it is of their group (else the group lies in one range), and of their first order key too."""
-    d = d.withColumn("_cuts", cuts).withColumn("_at", F.when(F.size("_cuts.all") > 0, at))
-    points, firsts, none = F.col("_cuts.all"), F.col("_cuts.firsts"), F.col("_at").isNull()
-    # cut points below the row: whole steps before the last first one, then those of its step
-    d = d.withColumn("_s", F.when(none, 0).otherwise(F.size(F.filter(firsts, lambda c: c < F.col("_at")))))
-    inside = F.size(F.filter(F.slice(points, (F.col("_s") - 1) * STEP + 1, F.lit(STEP)), lambda c: c < F.col("_at")))
-    d = d.withColumn("_range", F.when(F.col("_s") == 0, F.lit(0)).otherwise((F.col("_s") - 1) * STEP + inside))
-    next_to = [F.get(points, place) for place in (F.col("_range") - 1, F.col("_range"))]
-    of_group = [F.coalesce(c["k"].eqNullSafe(F.col("_at.k")), F.lit(False)) for c in next_to]
-    of_value = [g & c["o"]["o0"].eqNullSafe(F.col("_o0")) for g, c in zip(of_group, next_to)]
-    either = lambda x: F.when(none, False).otherwise(x[0] | x[1])
-    return d.withColumn("_cut", either(of_group)).withColumn("_tied", either(of_value)).drop("_cuts", "_at", "_s")
+def _cut_points(raw: DataFrame, keys: list[str], kept: list[str], range_rows: int) -> DataFrame:
+    """Groups of more than ``range_rows`` rows, their keys named ``kept``, with their sorted cut points ``_cuts``."""
+    n = F.count(F.lit(1)).alias("_n")
+    large = raw.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, kept)]).agg(n).where(F.col("_n") > range_rows)
+    # one row per large group, so at most one in range_rows of the table
+    every = F.ceil(F.sum("_n").over(W.partitionBy(F.lit(1))) / CUTS)
+    large = large.select(*kept, F.greatest(F.lit(range_rows).cast("bigint"), every).alias("_every"))
+    rows = raw.select(*keys, "_at").join(F.broadcast(large), _same([F.col(k) for k in keys], [F.col(c) for c in kept]))
+    cuts = F.sort_array(F.collect_set("_at"))
+    return rows.where(F.pmod(F.xxhash64("_at"), "_every") == 0).groupBy(*kept).agg(F.slice(cuts, 1, sum(STEPS)).alias("_cuts"))
+
+
+def _in_ranges(d: DataFrame, keys: list[str], kept: list[str], cuts: DataFrame, how: str = "left") -> DataFrame:
+    """Rows with their range, the number of cut points of the group below them, and the group's ``_cuts``, null without any."""
+    d = d.join(F.broadcast(cuts), _same([F.col(k) for k in keys], [F.col(c) for c in kept]), how).drop(*kept)
+    below = lambda k: (k <= F.size("_cuts")) & (F.get(F.col("_cuts"), k - 1) < F.col("_at"))
+    found = F.aggregate(F.array(*[F.lit(k) for k in STEPS]), F.lit(0), lambda n, k: F.when(below(n + k), n + k).otherwise(n))
+    return d.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(found))
+
+
+def _tied() -> Column:
+    """Whether a cut point next to the row has its first order key too."""
+    next_to = [F.get(F.col("_cuts"), place) for place in (F.col("_range") - 1, F.col("_range"))]
+    same = [c.isNotNull() & c["o0"].eqNullSafe(F.col("_o0")) for c in next_to]
+    return F.coalesce(same[0] | same[1], F.lit(False))
+
+
+def _carried(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """Per large group and range, ``_r``: weight of the range ``_t``, of the ranges before, of the group."""
+    parts = rows.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, kept)], F.col("_range").alias("_r")).agg(F.sum("_w").alias("_t"))
+    group = W.partitionBy(*kept)
+    before = F.sum("_t").over(group.orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
+    return parts.select(*kept, "_r", "_t", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_t").over(group).alias("_whole"))
 
 
 def prefix_sum(
@@ -83,31 +91,24 @@ def prefix_sum(
     the same rows, or one that ``df`` sums up by keys and order, and its weight: cut points and
     carried sums are taken from there, so that what made ``df`` is not done again for them.
     """
-    names = [f"_o{i}" for i in range(len(order))]
-    at = F.struct(
-        F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("k")).alias("k"),
-        F.struct(*[F.col(n).alias(n[1:]) for n in names]).alias("o"))
-    ordered = lambda x, w: x.select("*", *[col(c).alias(n) for c, n in zip(order, names)], w.alias("_w"))
+    names, kept = [f"_o{i}" for i in range(len(order))], [f"_k{i}" for i in range(len(keys))]
+    at = F.struct(*[F.col(n).alias(n[1:]) for n in names]).alias("_at")
+    ordered = lambda x, w: x.select("*", *[col(c).alias(n) for c, n in zip(order, names)], w.alias("_w")).select("*", at)
     raw = ordered(*source) if source else ordered(df, col(weight))
-    cuts = _cut_points(raw, at, range_rows)
-    d = _in_ranges(ordered(df, col(weight)), keys, at, cuts)
-    here, group = [F.col(k) for k in keys], W.partitionBy(*keys)
-    kept = [f"_k{i}" for i in range(len(keys))]
-    # without cut points nothing is carried, and the scan is all that these branches do
-    near_cuts = _in_ranges(raw.where(F.size(cuts["all"]) > 0), keys, at, cuts).where("_cut")
-    parts = near_cuts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, kept)], F.col("_range").alias("_r")).agg(F.sum("_w").alias("_t"))
-    group = W.partitionBy(*kept)
-    carried = parts.select(
-        *kept, "_r", "_t",
-        F.coalesce(F.sum("_t").over(group.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_t").over(group).alias("_whole"),
-    )
+    raw = raw.select(*dict.fromkeys(keys), *names, "_w", "_at")
+    cuts = _cut_points(raw, keys, kept, range_rows)
+    d = _in_ranges(ordered(df, col(weight)), keys, kept, cuts)
+    d = d.withColumn("_tied", _tied()).drop("_at", "_cuts")
+    here = [F.col(k) for k in keys]
+    # without large groups nothing is carried, and these branches read nothing
+    large = _in_ranges(raw, keys, kept, cuts, "inner")
+    carried = _carried(large, keys, kept)
     d = d.join(F.broadcast(carried.drop("_t")), _same([*here, F.col("_range")], [*[F.col(n) for n in kept], F.col("_r")]), "left").drop(*kept, "_r")
     part = W.partitionBy(*keys, "_range")
     d = d.withColumn(out, F.sum("_w").over(part.orderBy(*names).rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0)))
     if rank:
         # a divided key ends the first range that it lies in, so what is before it there is all that is not it
-        tied = near_cuts.where("_tied").groupBy(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], F.col("_o0").alias("_v"), "_range").agg(F.sum("_w").alias("_c"))
+        tied = large.where(_tied()).groupBy(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], F.col("_o0").alias("_v"), "_range").agg(F.sum("_w").alias("_c"))
         held = [F.col(f"_v{i}") for i in range(len(keys))]
         tied = tied.join(F.broadcast(carried), _same([*held, F.col("_range")], [*[F.col(n) for n in kept], F.col("_r")]))
         tied = tied.groupBy(*held, "_v").agg(F.min_by(F.col("_before") + F.col("_t") - F.col("_c"), "_range").alias("_below"), F.sum("_c").alias("_ties"))
@@ -116,7 +117,7 @@ def prefix_sum(
         d = d.withColumn(rank, F.coalesce(F.col("_below") + (F.col("_ties") + 1) / 2, inside)).drop(*[f"_v{i}" for i in range(len(keys))], "_v", "_below", "_ties")
     if total:
         d = d.withColumn(total, F.coalesce("_whole", F.sum("_w").over(part)))
-    return d.drop(*names, "_w", "_range", "_cut", "_tied", "_before", "_whole")
+    return d.drop(*names, "_w", "_range", "_tied", "_before", "_whole")
 
 
 def ordinal(
@@ -154,12 +155,13 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str, **kw) ->
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], picks: dict[str, tuple[str, float]], weight: str | None = None, **kw
+    df: DataFrame, keys: list[str], picks: dict[str, tuple[str, float]], weight: str | None = None, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Exact linear-interpolated percentiles, ``picks`` mapping output to (column, share).
 
     Columns are reduced to (value, count) and positions taken from the running
-    count.  ``weight`` repeats a row that many times.  A group without a value has
+    count; of a large group only the ranges that hold a wanted position are exchanged.
+    ``weight`` repeats a row that many times.  A group without a value has
     nulls; without keys there is one row.
     """
     one = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
@@ -168,9 +170,27 @@ def exact_quantiles(
     long = df.select(*keys, F.inline(F.array(*cells)))
     # a row without a value keeps its group, by a count of zero before all values
     counted = F.col("_v").isNotNull() & (F.col("_one") > 0)
-    counts = long.select(*keys, "_m", F.when(counted, F.col("_v")).alias("_v"), F.when(counted, F.col("_one")).otherwise(0).alias("_one"))
-    summed = counts.groupBy(*keys, "_m", "_v").agg(F.sum("_one").alias("_c"))
-    cum = prefix_sum(summed, [*keys, "_m"], ["_v"], "_c", "_cum", "_total", source=(counts, F.col("_one")), **kw)
+    by = [*keys, "_m"]
+    rows = long.select(*by, F.when(counted, F.col("_v")).alias("_v"), F.when(counted, F.col("_one")).otherwise(0).alias("_w"))
+    rows = rows.withColumn("_at", F.struct(F.col("_v").alias("o0")))
+    kept = [f"_k{i}" for i in range(len(by))]
+    cuts = _cut_points(rows, by, kept, range_rows)
+
+    def holds(c: str, p: float) -> Column:
+        pos = (F.col("_whole") - 1) * F.lit(float(p))
+        inside = [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_t")) for k in (F.floor(pos), F.ceil(pos))]
+        return (F.col(kept[-1]) == c) & (inside[0] | inside[1])
+
+    ranges = _carried(_in_ranges(rows, by, kept, cuts, "inner"), by, kept)
+    # a large group without a counted value keeps its row
+    ranges = ranges.where(reduce(lambda x, y: x | y, [holds(c, p) for c, p in picks.values()], F.col("_whole") == 0)).drop("_t")
+    d = _in_ranges(rows, by, kept, cuts)
+    d = d.join(F.broadcast(ranges), _same([*[F.col(k) for k in by], F.col("_range")], [*[F.col(n) for n in kept], F.col("_r")]), "left")
+    d = d.where(F.col("_cuts").isNull() | F.col("_whole").isNotNull())
+    summed = d.groupBy(*by, "_range", "_before", "_whole", "_v").agg(F.sum("_w").alias("_c"))
+    part = W.partitionBy(*by, "_range")
+    running = F.sum("_c").over(part.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))
+    cum = summed.select("*", running.alias("_cum"), F.coalesce("_whole", F.sum("_c").over(part)).alias("_total"))
     first = F.col("_cum") - F.col("_c")
 
     def pick(c: str, p: float) -> Column:

@@ -23,7 +23,9 @@ def rank_normal(scores: DataFrame, keys: list[str], value: str = "score", out: s
     """Normal score of the ascending position; equal scores lie in order of ``ties``, a single asset scores zero."""
     r = rk.ordinal(scores, keys, [value, *ties], "_i", "_n")
     p = F.least(F.greatest((F.col("_i") - 0.5) / F.col("_n"), F.lit(CLIP[0])), F.lit(CLIP[1]))
-    return r.withColumn(out, F.when(F.col("_n") >= 2, normal_quantile(p)).otherwise(0.0)).drop("_i", "_n")
+    # a column of its own, so that the polynomials do not repeat its expression
+    z = F.when(F.col("_n") >= 2, normal_quantile("_p")).otherwise(0.0)
+    return r.withColumn("_p", p).withColumn(out, z).drop("_i", "_n", "_p")
 
 
 def common_universe(scores: DataFrame, seeds: int) -> DataFrame:

@@ -29,7 +29,8 @@ def ranked(forecasts: DataFrame, keys: list[str]) -> DataFrame:
 
     Action: the first ranking is a stage table, so that the second does not plan it anew.
     """
-    placed = materialise(rk.ordinal(usable(forecasts), keys, ["prediction", "asset"], "pos", "n_assets", rank="rank_p"))
+    rows = usable(forecasts).select(*keys, "asset", "prediction", "target")
+    placed = materialise(rk.ordinal(rows, keys, ["prediction", "asset"], "pos", "n_assets", rank="rank_p"))
     return rk.ordinal(placed, keys, ["target", "asset"], "_y", rank="rank_y").drop("_y")
 
 

@@ -109,3 +109,22 @@ def test_one_lazy_plan(spark):
     assert not tracker.getJobIdsForGroup("lazy")
     assert made.count() == 3 and tracker.getJobIdsForGroup("lazy")
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_only_large_groups_are_cut(spark):
+    """A table of many small groups has no cut points, whatever its size; a large group has its own only."""
+    df = spark.range(4000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id") % 60).alias("g"), F.struct(F.col("id").alias("o0")).alias("_at"))
+    cuts = rk._cut_points(df, ["g"], ["_k0"], 100).collect()
+    assert [r["_k0"] for r in cuts] == [-1] and all(c["o0"] < 1000 for c in cuts[0]["_cuts"])
+    assert not rk._cut_points(df.where("g >= 0"), ["g"], ["_k0"], 100).count()
+
+
+def test_quantiles_of_large_groups(spark):
+    """Only the ranges that hold a wanted position are kept, and a large group without a value keeps its row."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"),
+                                    F.lit(None).cast("double").alias("none"))
+    made = rk.exact_quantiles(df, ["g"], {"m": ("v", 0.5), "hi": ("v", 0.9), "no": ("none", 0.5)}, range_rows=100)
+    want = df.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.9)).alias("hi"))
+    got = {r["g"]: r for r in made.collect()}
+    for r in want.collect():
+        assert abs(got[r["g"]]["m"] - r["m"]) < 1e-6 and abs(got[r["g"]]["hi"] - r["hi"]) < 1e-6 and got[r["g"]]["no"] is None
