@@ -17,6 +17,7 @@ from tessera.functions.expr import by_asset, safe_div
 from tessera.operators import calendar as cal
 
 MAX_ORDER = 2**41  # order keys below 2 * 10**12
+UNITS, MAX_WHOLE = 1e9, 2.0**53  # from there on doubles have no rests
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -60,6 +61,16 @@ def _ticks(li: DataFrame, asset: str) -> DataFrame:
     )
 
 
+def _exact_sum(c: str) -> F.Column:
+    """Sum that does not depend on the order of rows: of whole numbers, which doubles add exactly, and of the rests in units of 1e-9."""
+    rest = F.when(F.abs(c) < MAX_WHOLE, F.rint((F.col(c) - F.rint(c)) * UNITS).cast("bigint")).otherwise(0)
+    return F.sum(F.rint(c)) + F.sum(rest) / F.lit(UNITS)
+
+
+def _exact_mean(c: str) -> F.Column:
+    return F.try_divide(_exact_sum(c), F.count(c))
+
+
 def _bars(ticks: DataFrame) -> DataFrame:
     quoted = F.col("n") > 1
     return (
@@ -69,9 +80,9 @@ def _bars(ticks: DataFrame) -> DataFrame:
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", "k").alias("close"),
-            F.sum("qty").alias("volume"),
-            F.avg("discount").alias("d"),
-            F.avg("tax").alias("t"),
+            _exact_sum("qty").alias("volume"),
+            _exact_mean("discount").alias("d"),
+            _exact_mean("tax").alias("t"),
             F.count(F.lit(1)).alias("n"),
         )
         .withColumn("bid", F.when(quoted, F.col("close") * (1 - F.col("d") / 10)))
