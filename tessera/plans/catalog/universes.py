@@ -184,13 +184,19 @@ def u14(spark, sf):
     return rows.withColumn("split", clean.split_by_date("date", FOLDS, "outside"))
 
 
+def void_after_zero(sql: str) -> str:
+    """The panel's statement with the query's rule for a price of zero: the return after it is unknown, not infinite."""
+    lag = "lag(close) OVER (PARTITION BY b.country, asset ORDER BY session_id)"
+    return sql.replace(f"close / {lag}", f"close / nullif({lag}, 0)")
+
+
 @query("flagship_liquidity_momentum", "bucket:i n_dates:i n_rows:i mean_momentum:f mean_target_bps:f4",
-       v.panel_sql("user", rf=True) + "," + forward_sql(1, 5) + f""",
+       void_after_zero(v.panel_sql("user", rf=True)) + "," + forward_sql(1, 5) + f""",
 p AS (SELECT *, {full('product(1 + ret)', 'ret', 3)} - 1 AS momentum,
   {full('quantile_cont(dollar_volume, 0.5)', 'dollar_volume', 3)} AS liquidity FROM fwd),
 picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, date ORDER BY liquidity DESC, asset) AS rn
   FROM p WHERE liquidity IS NOT NULL) WHERE rn <= 100 AND momentum IS NOT NULL AND target IS NOT NULL),
-b AS (SELECT *, ntile(10) OVER (PARTITION BY country, date ORDER BY momentum, asset) AS bucket,
+b AS (SELECT *, ntile(10) OVER (PARTITION BY country, date ORDER BY round(momentum, 9), asset) AS bucket,
   count(*) OVER (PARTITION BY country, date) AS n FROM picked)""",
        """SELECT bucket, count(DISTINCT date) AS n_dates, count(*) AS n_rows, avg(momentum) AS mean_momentum,
   avg(target) AS mean_target_bps FROM b WHERE n >= 10 GROUP BY 1""")

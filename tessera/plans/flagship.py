@@ -18,7 +18,8 @@ def liquidity_momentum(
     """Mean forward 5-session excess return by trailing-return bucket of the ``top_k`` liquid assets.
 
     All asset windows share one exchange on (country, asset); the cross-section
-    is cut to ``top_k`` before it is shuffled by date.
+    is cut to ``top_k`` before it is shuffled by date.  Trailing returns that differ by
+    less than rounding tie, and ties lie in order of the asset.
     """
     p = views.panel(spark, sf, "user", rf=True)
     p = p.withColumn("momentum", compounded("ret", momentum, by_asset()))
@@ -28,7 +29,7 @@ def liquidity_momentum(
     keys = ["country", "date"]
     # a date holds at most top_k names, so plain windows do
     ranked = picked.select("*", F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("n"),
-                           F.row_number().over(W.partitionBy(*keys).orderBy("momentum", "asset")).alias("pos"))
+                           F.row_number().over(W.partitionBy(*keys).orderBy(F.round("momentum", 9), "asset")).alias("pos"))
     ranked = ranked.where(F.col("n") >= buckets).withColumn("bucket", ntile_of("pos", "n", buckets))
     return ranked.groupBy("bucket").agg(
         F.count_distinct("date").alias("n_dates"), F.count(F.lit(1)).alias("n_rows"),

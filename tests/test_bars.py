@@ -1,11 +1,13 @@
-"""Bars on inputs that small tables lack: many ticks of one bar."""
+"""Bars and the flagship on inputs that small tables lack: many ticks of one bar, prices of zero."""
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import quality
-from tessera.plans import views
+from tessera.plans import catalog, views
+from tests.compare import connect, diff, oracle_rows, spark_rows
 
 
 def test_bars_do_not_depend_on_the_order_of_ticks(spark):
@@ -21,3 +23,18 @@ def test_sums_of_values_without_a_decimal(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),), (None,)], "x double")
     row = df.agg(views._exact_sum("x").alias("s"), views._exact_mean("x").alias("m")).first()
     assert row["s"] == row["m"] == float("inf")
+
+
+def test_flagship_after_a_price_of_zero(spark, tmp_path):
+    """The return after a zero price is unknown in the query and in its twin."""
+    rows = []
+    for user in range(14):
+        for d in range(16):
+            value = 0.0 if (user, d) == (3, 6) else 10.0 + (user * 7 + d * 5) % 13
+            rows.append((len(rows), dt.datetime(2024, 1, 1) + dt.timedelta(days=d, seconds=user), user, "view", value, "{}"))
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    pdf["ts"] = pdf.ts.astype("datetime64[us]")
+    pdf.to_parquet(tmp_path / "events.parquet", index=False)
+    name = "flagship_liquidity_momentum"
+    got, want = spark_rows(catalog.QUERIES[name](spark, str(tmp_path))), oracle_rows(connect(str(tmp_path)), catalog.ORACLES[name])
+    assert len(got[1]) == 10 and diff(got, want) is None
