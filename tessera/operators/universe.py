@@ -43,14 +43,22 @@ def size_rank(universe: DataFrame, **kw) -> DataFrame:
     return ordinal(universe, ["country", "universe_month"], [size, "asset"], "market_cap_rank", **kw)
 
 
+def largest(universe: DataFrame, n: int) -> DataFrame:
+    """The rows of ``size_rank`` up to rank ``n``; only ``n`` rows per group and task are moved."""
+    size = -F.coalesce("market_cap", F.lit(float("-inf")))
+    return top_k(universe, ["country", "universe_month"], [size.asc(), F.asc("asset")], n, "market_cap_rank")
+
+
 def flags(ranked: DataFrame, top_n: int) -> DataFrame:
     eligible = F.coalesce(F.col("market_cap") > 0, F.lit(False))
     return ranked.withColumn("eligible", eligible).withColumn(
         "selected", eligible & (F.col("market_cap_rank") <= top_n))
 
 
-def build(caps: DataFrame, keep: str, top_n: int) -> DataFrame:
-    return flags(size_rank(dedupe_snapshots(lag_snapshots(caps), keep)), top_n)
+def build(caps: DataFrame, keep: str, top_n: int, pool: int | None = None) -> DataFrame:
+    """Ranked snapshots with their flags, of the first ``pool`` ranks if given."""
+    known = dedupe_snapshots(lag_snapshots(caps), keep)
+    return flags(size_rank(known) if pool is None else largest(known, pool), top_n)
 
 
 def point_in_time(panel: DataFrame, universe: DataFrame) -> DataFrame:

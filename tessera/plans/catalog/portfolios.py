@@ -30,15 +30,32 @@ def staged_panel(spark, sf):
     return materialise(p.select("country", "asset", "date", "session_id", "ret", "rf_daily", "spread_bps"))
 
 
-def signals(spark, sf, panel=None):
-    """Month-end cross-sections with score, variance, spread and forward return."""
-    c = v.calendar(spark, sf, "sup")
+def staged_pool(spark, sf):
+    """The first ``POOL`` ranks of each month: at most that many rows per country and month."""
+    return materialise(uni_sup(spark, sf, POOL))
+
+
+def pool_rows(panel, pool):
+    """Every row of the assets that are in the pool of some month; whatever a book reads of one asset is among these."""
+    return panel.join(pool.select("country", "asset").distinct(), ["country", "asset"], "left_semi")
+
+
+def days(panel):
+    """The session calendar of a staged panel, which has a row of every session."""
+    return materialise(panel.select("country", "date", "session_id").distinct())
+
+
+def signals(spark, sf, panel=None, pool=None, c=None):
+    """Month-end cross-sections with score, variance, spread and forward return; a run passes the stage tables it has."""
+    panel = staged_panel(spark, sf) if panel is None else panel
+    pool = staged_pool(spark, sf) if pool is None else pool
+    c = days(panel) if c is None else c
     ends = cal.month_end_sessions(c).select("country", "date")
-    p = labels.forward_excess(v.panel(spark, sf, "sup", rf=True) if panel is None else panel)
+    p = labels.forward_excess(pool_rows(panel, pool))
     w = by_asset()
     p = p.withColumn("mom", compounded("ret", 3, w)).withColumn("var", full_frame(F.var_pop, "ret", 3, w))
     p = p.join(F.broadcast(ends), ["country", "date"], "left_semi").where(F.col("mom").isNotNull())
-    p = universe.point_in_time(p, uni_sup(spark, sf)).where(F.col("market_cap_rank") <= POOL)
+    p = universe.point_in_time(p, pool).where(F.col("market_cap_rank") <= POOL)
     nxt = F.broadcast(c.select("country", (F.col("session_id") - 1).alias("session_id"),
                                F.col("session_id").alias("execution_session"), F.col("date").alias("execution_on")))
     return materialise(p.join(nxt, ["country", "session_id"], "left").select(
@@ -192,12 +209,14 @@ class Books:
     """Stage tables of one ledger run: costs of own quotes, or every cost scenario if ``costed``."""
 
     def __init__(self, spark, sf, costed=False, books=None):
-        panel = staged_panel(spark, sf)
-        self.calendar = materialise(v.calendar(spark, sf, "sup"))
-        self.signals = signals(spark, sf, panel)
-        self.rates = materialise(rates(panel, self.signals))
+        self.panel = staged_panel(spark, sf)
+        self.pool = staged_pool(spark, sf)
+        self.calendar = days(self.panel)
+        self.members = materialise(pool_rows(self.panel, self.pool))
+        self.signals = signals(spark, sf, self.members, self.pool, self.calendar)
+        self.rates = materialise(rates(self.panel, self.signals))
         self.weights = materialise(_weights(self.signals, self.rates, costed, books))
-        self.returns = panel.select("country", "asset", "session_id", "ret")
+        self.returns = self.members.select("country", "asset", "session_id", "ret")
 
     def held(self):
         return materialise(ledger.positions(self.weights, self.returns, self.calendar))
@@ -337,7 +356,7 @@ HELD_PATH = _path_sql("CASE WHEN first THEN x.w / wt * room ELSE x.p + gone / n
 def _fold_input(spark, sf):
     """Names of every book: targets of names with a complete risk window, names without one frozen."""
     b = Books(spark, sf)
-    valid = window_rows(spark, sf).select("country", F.col("date").alias("signal_date"), "asset", "valid")
+    valid = window_rows(spark, sf, b.members, b.pool).select("country", F.col("date").alias("signal_date"), "asset", "valid")
     universe_ = b.signals.select("country", F.col("date").alias("signal_date"), "asset").join(valid, ["country", "signal_date", "asset"], "left")
     books = ledger.rebalances(b.weights).select("strategy", "country", "signal_date", "execution_session")
     names = books.join(universe_, ["country", "signal_date"]).join(
@@ -372,11 +391,12 @@ pl AS (SELECT m.country, m.date, x.date AS execution_date, (SELECT count(*) FROM
   count_if(execution_date IS NULL) AS skipped_missing_execution,
   count_if(execution_date IS NOT NULL AND entries = 0) AS skipped_empty_signal FROM pl GROUP BY 1""")
 def p16(spark, sf):
-    return portfolio.schedule_counts(_plan(spark, sf, signals(spark, sf)))
+    panel = staged_panel(spark, sf)
+    c = days(panel)
+    return portfolio.schedule_counts(_plan(c, signals(spark, sf, panel, c=c)))
 
 
-def _plan(spark, sf, s):
-    c = v.calendar(spark, sf, "sup")
+def _plan(c, s):
     m = cal.session_offset(cal.month_end_sessions(c).join(F.broadcast(c), ["country", "date"]), c, 1, 1)
     return portfolio.schedule(m.withColumnRenamed("entry_date", "execution_date"), s.where(F.col("spread_bps").isNotNull()))
 
@@ -408,9 +428,9 @@ pl AS (SELECT m.country, m.date AS signal_date, x.date AS execution_date FROM mo
 en AS (SELECT country, date AS signal_date, count(*) AS entries FROM sig WHERE spread_bps IS NOT NULL GROUP BY 1, 2)"""
 
 
-def risk_status(spark, sf, s):
+def risk_status(spark, sf, b):
     """Valid assets of the covariance window of each signal date, and whether it falls back to the diagonal."""
-    return risk.status(window_rows(spark, sf), s, MIN_ASSETS).withColumnRenamed("date", "signal_date")
+    return risk.status(window_rows(spark, sf, b.members, b.pool), b.signals, MIN_ASSETS).withColumnRenamed("date", "signal_date")
 
 
 @query("p18_event_log", "country signal_date:d event detail", RISKLOG,
@@ -421,8 +441,8 @@ def risk_status(spark, sf, s):
   FROM pl LEFT JOIN en USING (country, signal_date) WHERE execution_date IS NULL OR coalesce(entries, 0) = 0""")
 def p18(spark, sf):
     b = Books(spark, sf)
-    plan = _plan(spark, sf, b.signals).withColumnRenamed("date", "signal_date")
-    return ledger.event_log(b.trades(b.held())[1], risk_status(spark, sf, b.signals), plan)
+    plan = _plan(b.calendar, b.signals).withColumnRenamed("date", "signal_date")
+    return ledger.event_log(b.trades(b.held())[1], risk_status(spark, sf, b), plan)
 
 
 @query("p19_observed_cost_rerun", "strategy country n_rebalances:i cost_observed:f9 cost_assumed:f9", BOOKS + """,
@@ -433,7 +453,7 @@ def p19(spark, sf):
     from tessera.functions.ranking import exact_quantiles
 
     b = Books(spark, sf)
-    obs = exact_quantiles(v.panel(spark, sf, "sup").where(F.col("spread_bps").isNotNull()), ["country"], {"q": ("spread_bps", 0.5)})
+    obs = exact_quantiles(b.panel.where(F.col("spread_bps").isNotNull()), ["country"], {"q": ("spread_bps", 0.5)})
     # a constant rate per country replaces every stored rate
     t = b.trades(b.held())[1].join(F.broadcast(obs), "country")
     return t.groupBy("strategy", "country").agg(
@@ -484,7 +504,7 @@ def a03(spark, sf):
 def a04(spark, sf):
     b = Books(spark, sf)
     d, t = b.pnl()
-    return analytics.reliability(d, t, risk_status(spark, sf, b.signals), BK)
+    return analytics.reliability(d, t, risk_status(spark, sf, b), BK)
 
 
 @query("a05_period_summary", "strategy country n_periods:i annual_return:f annual_volatility:f sharpe:f", PERIOD,

@@ -32,9 +32,13 @@ shrunk AS (SELECT cov.country, cov.date, asset_i, asset_j,
   FROM cov JOIN lw ON lw.country = cov.country AND lw.date = cov.date)"""
 
 
-def window_rows(spark, sf):
-    u = uni_sup(spark, sf).where(F.col("market_cap_rank") <= UNIVERSE).select("country", "universe_month", "asset")
-    w = risk.windows(v.panel(spark, sf, "sup"), N).withColumn("universe_month", F.trunc("date", "MM"))
+def window_rows(spark, sf, panel=None, pool=None):
+    """Risk windows of the members; ``panel`` (with every row of a member) and ``pool`` are stage tables of a run that has them."""
+    pool = materialise(uni_sup(spark, sf, UNIVERSE)) if pool is None else pool.where(F.col("market_cap_rank") <= UNIVERSE)
+    u = pool.select("country", "universe_month", "asset")
+    rows = v.panel(spark, sf, "sup") if panel is None else panel
+    rows = rows.join(u.select("country", "asset").distinct(), ["country", "asset"], "left_semi")
+    w = risk.windows(rows, N).withColumn("universe_month", F.trunc("date", "MM"))
     return materialise(w.join(u, ["country", "universe_month", "asset"], "left_semi").select(
         "country", "date", "session_id", "asset", "valid", "x", "spread_bps"))
 

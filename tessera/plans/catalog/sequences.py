@@ -25,11 +25,13 @@ MEASURES = ["ret", "close"]
 
 def _assembled(spark, sf):
     """Month-end signals of the selected universe, whether or not the asset traded."""
-    c = v.calendar(spark, sf, "sup")
+    c = materialise(v.calendar(spark, sf, "sup"))
     m = cal.month_end_sessions(c).join(F.broadcast(c), ["country", "date"])
-    u = uni_sup(spark, sf).where("selected").select("country", "asset", F.col("universe_month").alias("month"))
-    s = u.join(F.broadcast(m), ["country", "month"])
-    return sequence.assemble(s, v.panel(spark, sf, "sup"), MEASURES, L)
+    u = uni_sup(spark, sf, TOP).where("selected").select("country", "asset", F.col("universe_month").alias("month"))
+    s = materialise(u.join(F.broadcast(m), ["country", "month"]).select("country", "asset", "session_id"))
+    # windows hold rows of their own asset only
+    p = v.panel(spark, sf, "sup").join(s.select("country", "asset").distinct(), ["country", "asset"], "left_semi")
+    return sequence.assemble(s, p, MEASURES, L)
 
 
 @query("f17_sequence_slots", "country asset:i session_id:i mask n_present:i", SIGNALS,

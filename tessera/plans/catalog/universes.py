@@ -47,8 +47,8 @@ uni AS (SELECT *, eligible AND market_cap_rank <= {TOP} AS selected FROM (
 UNI_SUP = v.SUPPLIER_COUNTRY.strip() + "," + v.CAPS_SUP_SQL + "," + UNI
 
 
-def uni_sup(spark, sf):
-    return universe.build(v.caps(spark, sf, "sup"), "latest", TOP)
+def uni_sup(spark, sf, pool=None):
+    return universe.build(v.caps(spark, sf, "sup"), "latest", TOP, pool)
 
 
 @query("u03_size_rank", "country universe_month:d asset:i market_cap_rank:i", UNI_SUP, "SELECT * FROM uni")

@@ -36,11 +36,14 @@ def week_start(c: str) -> F.Column:
     return F.date_sub(d, F.weekday(d))
 
 
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
 def supplier_country(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "supplier")
-        .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(_regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("s_suppkey").alias("asset"), F.col("r_name").alias("country"))
     )
 
@@ -140,8 +143,10 @@ def _sessions(spark: SparkSession, sf: str, view: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     if view == "brand":
         return li.select(F.lit("ALL").alias("country"), week_start("l_shipdate").alias("date")).distinct()
-    seen = li.select(F.col("l_suppkey").alias("asset"), week_start("l_shipdate").alias("date")).distinct()
-    return seen.join(supplier_country(spark, sf), "asset").select("country", "date").distinct()
+    # lines meet the supplier only, so they shrink to one row per nation and week before any exchange
+    home = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    seen = li.join(home, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", week_start("l_shipdate").alias("date")).distinct()
+    return seen.join(_regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("country"), "date").distinct()
 
 
 def calendar(spark: SparkSession, sf: str, view: str) -> DataFrame:
