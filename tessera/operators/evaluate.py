@@ -16,6 +16,8 @@ from tessera.session import materialise
 CONSTANT = 1e-12
 TAIL_SHARE = 0.2
 MIN_ASSETS = 3
+#: Measures of a date that need its rows in order; the others are plain moments.
+ORDERED = ("spearman_ic", "top_minus_bottom")
 
 
 def usable(forecasts: DataFrame) -> DataFrame:
@@ -34,22 +36,28 @@ def ranked(forecasts: DataFrame, keys: list[str]) -> DataFrame:
     return rk.ordinal(placed, keys, ["target", "asset"], "_y", rank="rank_y").drop("_y")
 
 
-def date_metrics(forecasts: DataFrame, keys: list[str]) -> DataFrame:
+def date_metrics(forecasts: DataFrame, keys: list[str], ordered: tuple[str, ...] = ORDERED) -> DataFrame:
     """Per-group information coefficients, spread, errors and dispersion.
 
     Groups under three assets have no metrics; a constant forecast has errors but
-    no rank metrics.
+    no rank metrics.  Of the ``ORDERED`` measures only those in ``ordered`` are made: rows are
+    ranked for the information coefficient, put in order of prediction for the spread, else neither.
     """
-    rows = ranked(forecasts, keys)
+    if "spearman_ic" in ordered:
+        rows = ranked(forecasts, keys)
+    else:
+        rows = usable(forecasts).select(*keys, "asset", "prediction", "target")
+        if ordered:
+            rows = rk.ordinal(rows, keys, ["prediction", "asset"], "pos", "n_assets")
     err = F.col("prediction") - F.col("target")
     k = F.greatest(F.lit(1), F.floor(F.col("n_assets") * TAIL_SHARE))
     top = F.avg(F.when(F.col("pos") > F.col("n_assets") - k, F.col("target")))
     bottom = F.avg(F.when(F.col("pos") <= k, F.col("target")))
+    of_order = {"spearman_ic": moment_corr("rank_p", "rank_y"), "top_minus_bottom": top - bottom}
     m = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_assets"),
-        moment_corr("rank_p", "rank_y").alias("spearman_ic"),
         moment_corr("prediction", "target").alias("pearson_ic"),
-        (top - bottom).alias("top_minus_bottom"),
+        *[of_order[c].alias(c) for c in ordered],
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.when(F.signum("prediction") == F.signum("target"), 1.0).otherwise(0.0)).alias("directional_accuracy"),
@@ -58,7 +66,7 @@ def date_metrics(forecasts: DataFrame, keys: list[str]) -> DataFrame:
     enough = F.col("n_assets") >= MIN_ASSETS
     varied = enough & (F.col("dispersion") > CONSTANT)
     m = m.withColumn("rank_defined", varied)
-    for c in ("spearman_ic", "pearson_ic", "top_minus_bottom", "directional_accuracy"):
+    for c in (*ordered, "pearson_ic", "directional_accuracy"):
         m = m.withColumn(c, F.when(varied, F.col(c)))
     for c in ("mae", "rmse", "dispersion"):
         m = m.withColumn(c, F.when(enough, F.col(c)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.functions import tiles
 from tessera.functions.expr import attach_stats, col
+from tessera.session import materialise
 
 MIN_ASSETS = 3
 
@@ -23,11 +24,13 @@ def expanding_mean(df: DataFrame, realised_after: int, train: Column, out: str =
     A label spanning ``realised_after`` sessions is known that many sessions
     later, hence the range frame.  Without history a row outside the training set
     takes the mean of the training targets (one number); a training row, whose
-    own and later targets are in that mean, takes zero.
+    own and later targets are in that mean, takes zero.  Action: rows with their own mean are a
+    stage table, made in the exchange of the asset's other windows.
     """
     w = W.partitionBy("country", "asset").orderBy("session_id").rangeBetween(W.unboundedPreceding, -realised_after)
-    overall = df.where(train).agg(F.avg("target")).scalar()
-    return df.withColumn(out, F.coalesce(F.avg("target").over(w), F.when(~train, overall), F.lit(0.0)))
+    d = materialise(df.withColumn(out, F.avg("target").over(w)))
+    overall = d.where(train).agg(F.avg("target")).scalar()
+    return d.withColumn(out, F.coalesce(F.col(out), F.when(~train, overall), F.lit(0.0)))
 
 
 def long_table(df: DataFrame, models: dict[str, str], keep: list[str]) -> DataFrame:
