@@ -133,8 +133,8 @@ WIDTH = L * len(CELLS)
 SUMMARY = [f"{m}_{k}" for m in SCALED for k in ("last", "mean", "std", "min", "max")]
 
 
-def _training(spark, sf):
-    """Eligible signals after the purge with their flat sequence and its summaries.
+def _training(spark, sf, summaries=False):
+    """Eligible signals after the purge with their flat sequence, or with its ``summaries`` instead; neither model reads both.
 
     Cells are scaled with the median and range of the training windows; a missing
     value or session is the median, so zero.
@@ -146,8 +146,8 @@ def _training(spark, sf):
     stats = materialise(sequence.robust_fit(sequence.window_counts(p, fitted, L), CELLS, "freq"))
     rows = p.where("model_eligible").select(*keys, "date", "split", "target", "label_end_date")
     a = sequence.assemble(rows.select(*keys), sequence.robust_apply(p, stats, CELLS), SCALED, L)
-    seq = a.select(*keys, sequence.flat_cells(SCALED).alias("features"))
-    return materialise(rows.join(seq, keys).join(sequence.summarise(a, SCALED), keys))
+    cells = sequence.summarise(a, SCALED) if summaries else a.select(*keys, sequence.flat_cells(SCALED).alias("features"))
+    return materialise(rows.join(cells, keys))
 
 
 def _vectors(rows, columns=None):
@@ -165,7 +165,7 @@ def m03(spark, sf):
 
 @query("m04_boosted_trees", "country asset:i date:d prediction:f4 target:f4")
 def m04(spark, sf):
-    r = _vectors(_training(spark, sf), SUMMARY)
+    r = _vectors(_training(spark, sf, summaries=True), SUMMARY)
     return models.boosted_trees(r.where("split = 'train'"), r.where("split <> 'train'"))
 
 
