@@ -29,9 +29,9 @@ def rank_normal(scores: DataFrame, keys: list[str], value: str = "score", out: s
 
 
 def common_universe(scores: DataFrame, seeds: int) -> DataFrame:
-    """Assets scored by every seed on the date."""
-    n = F.count_distinct("seed").alias("_s")
-    return attach_stats(scores, [*CROSS, "asset"], n).where(F.col("_s") == seeds).drop("_s")
+    """Assets scored by every seed on the date; a window of an asset's few scores, so rows are exchanged once."""
+    n = F.size(F.collect_set("seed").over(W.partitionBy(*CROSS, "asset")))
+    return scores.withColumn("_s", n).where(F.col("_s") == seeds).drop("_s")
 
 
 def mean_available(scores: DataFrame) -> DataFrame:
@@ -40,17 +40,27 @@ def mean_available(scores: DataFrame) -> DataFrame:
     return z.groupBy(*CROSS, "asset").agg(F.round(F.avg("z"), DIGITS).alias("ensemble"), F.count(F.lit(1)).alias("n_seeds"))
 
 
-def candidates(z: DataFrame, weights: DataFrame) -> DataFrame:
+def _median(values: Column) -> Column:
+    """Exact median of a short sorted array, null if empty."""
+    last = F.size(values) - 1
+    low, high = F.get(values, F.floor(last / 2).cast("int")), F.get(values, F.ceil(last / 2).cast("int"))
+    return F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+
+
+def candidates(z: DataFrame, weights: DataFrame, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Mean, median and the two weighted combinations of seed normal scores.
 
     ``weights``: one row per seed with ``w_ic`` and ``w_tb``.  Seeds arrive in no
-    fixed order, so sums are rounded to make equal scores tie.
+    fixed order, so sums are rounded to make equal scores tie.  An asset's scores are few, so the
+    median is taken from their sorted array.  ``carry``: columns that all seeds of an asset share.
     """
-    return z.join(F.broadcast(weights), "seed").groupBy(*CROSS, "asset").agg(
+    c = z.join(F.broadcast(weights), "seed").groupBy(*CROSS, "asset").agg(
         F.round(F.avg("z"), DIGITS).alias("mean_rank"),
-        F.round(F.percentile("z", F.lit(0.5)), DIGITS).alias("median_rank"),
+        F.sort_array(F.collect_list("z")).alias("_z"),
         F.round(F.sum(F.col("z") * F.col("w_ic")), DIGITS).alias("ic_weighted"),
-        F.round(F.sum(F.col("z") * F.col("w_tb")), DIGITS).alias("tb_weighted"))
+        F.round(F.sum(F.col("z") * F.col("w_tb")), DIGITS).alias("tb_weighted"),
+        *[F.any_value(name).alias(name) for name in carry])
+    return c.withColumn("median_rank", F.round(_median(F.col("_z")), DIGITS)).drop("_z")
 
 
 def seed_weights(seed_metrics: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate, universe
+from tessera.operators import ensemble, evaluate, forecast, universe
 from tessera.plans import catalog, views
-from tessera.plans.catalog import portfolios, risks
+from tessera.plans.catalog import ensembles, forecasts, portfolios, risks
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,38 @@ def test_metrics_without_order_rank_nothing(spark):
     for part in (plain, spread):
         same = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in part.dtypes]
         assert sorted(part.select(*same).collect()) == sorted(whole.select(*part.columns).select(*same).collect())
+
+
+def _columns_read(monkeypatch, spark, module, make):
+    """Optimised plans of the stage tables that ``make`` writes, as text."""
+    plans, write = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or write(d))
+    make(spark, SF)
+    return "".join(plans)
+
+
+@pytest.mark.parametrize("module, make", [(forecast, forecasts.forecasts), (ensembles, ensembles.seed_scores)])
+def test_stage_tables_hold_no_quotes(spark, monkeypatch, module, make):
+    """The bars' quotes, volumes and extremes are not made for tables whose readers want returns only."""
+    plan = _columns_read(monkeypatch, spark, module, make)
+    aggregates = [line for line in plan.splitlines() if "max_by" in line]
+    assert aggregates and not any("min_by" in line or "sum(" in line for line in aggregates)
+
+
+def test_seed_scores_make_no_expanding_mean(spark, monkeypatch):
+    assert _columns_read(monkeypatch, spark, forecast, ensembles.seed_scores) == ""
+
+
+def test_candidates_of_any_number_of_seeds(spark):
+    rows = [("a", 1, i, s, float((i * 7 + s * 5) % 11), i / 2, "v") for i in range(12) for s in range(1 + i % 5)]
+    z = spark.createDataFrame(rows, "country string, date int, asset int, seed int, z double, target double, split string")
+    w = spark.createDataFrame([(s, 0.1 * s, 0.2) for s in range(5)], "seed int, w_ic double, w_tb double")
+    c = ensemble.candidates(z, w, ["target", "split"])
+    want = z.groupBy("asset").agg(F.round(F.percentile("z", F.lit(0.5)), 12), F.max("target"), F.max("split"))
+    assert sorted(c.select("asset", "median_rank", "target", "split").collect()) == sorted(want.collect())
+
+
+def test_common_universe_counts_distinct_seeds(spark):
+    rows = [("a", 1, 1, 7), ("a", 1, 1, 19), ("a", 1, 2, 7), ("a", 1, 2, 7), ("a", 2, 1, 19)]
+    s = spark.createDataFrame(rows, "country string, date int, asset int, seed int")
+    assert sorted(ensemble.common_universe(s, 2).collect()) == rows[:2]
