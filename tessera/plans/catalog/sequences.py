@@ -91,7 +91,9 @@ q AS (SELECT quantile_cont(ret, 0.5) AS rm, quantile_cont(ret, 0.75) - quantile_
 
 def _rows(spark, sf):
     p = v.panel(spark, sf, "sup").withColumn("split", clean.split_by_date("date", FOLDS, "outside"))
-    return materialise(p.withColumn("vol", full_frame(F.stddev_pop, "ret", 3, by_asset())))
+    p = p.withColumn("vol", full_frame(F.stddev_pop, "ret", 3, by_asset()))
+    # nothing else, as the bars then make no other columns
+    return materialise(p.select("country", "asset", "session_id", "date", "split", "ret", "vol"))
 
 
 def _fit(rows):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ensemble, evaluate, forecast, universe
 from tessera.plans import catalog, views
-from tessera.plans.catalog import ensembles, forecasts, portfolios, risks
+from tessera.plans.catalog import ensembles, forecasts, portfolios, risks, sequences
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,7 +67,7 @@ def _columns_read(monkeypatch, spark, module, make):
     return "".join(plans)
 
 
-@pytest.mark.parametrize("module, make", [(forecast, forecasts.forecasts), (ensembles, ensembles.seed_scores)])
+@pytest.mark.parametrize("module, make", [(forecast, forecasts.forecasts), (ensembles, ensembles.seed_scores), (sequences, sequences._rows)])
 def test_stage_tables_hold_no_quotes(spark, monkeypatch, module, make):
     """The bars' quotes, volumes and extremes are not made for tables whose readers want returns only."""
     plan = _columns_read(monkeypatch, spark, module, make)
