@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,7 +32,8 @@ def all_present(names: Iterable[str]) -> Column:
     return out
 
 
-def by_asset(order: str = "session_id", keys: tuple[str, ...] = ("country", "asset")):
+def by_asset(order: str = "session_id", keys: tuple[str, ...] = ("asset", "country")):
+    """Rows of an asset in order.  The asset comes first, as a sort compares the start of its first key at little cost and few countries differ."""
     return W.partitionBy(*keys).orderBy(order)
 
 
@@ -41,8 +43,21 @@ def full_frame(agg: Callable[[Column], Column], x: str | Column, n: int, window)
     return F.when(F.count(col(x)).over(frame) == n, agg(col(x)).over(frame))
 
 
+#: Up to so many rows a product names its rows one by one, as a sliding frame is folded anew for every row.
+SHORT = 8
+
+
+def growth(x: str | Column, first: int, last: int, window) -> Column:
+    """Product of ``1 + x`` over the rows ``first..last`` from the current one, null unless all hold a value."""
+    n = last - first + 1
+    if n > SHORT:
+        frame = window.rowsBetween(first, last)
+        return F.when(F.count(col(x)).over(frame) == n, F.product(1 + col(x)).over(frame))
+    return reduce(lambda a, b: a * b, [1 + (F.lead(col(x), k).over(window) if k else col(x)) for k in range(first, last + 1)])
+
+
 def compounded(x: str | Column, n: int, window) -> Column:
-    return full_frame(lambda r: F.product(1 + r), x, n, window) - 1
+    return growth(x, -n + 1, 0, window) - 1
 
 
 def contiguous_diffs(n: int, window, session: str = "session_id") -> Column:

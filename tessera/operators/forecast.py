@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.functions import tiles
-from tessera.functions.expr import attach_stats, col
+from tessera.functions.expr import attach_stats, by_asset, col
 from tessera.session import materialise
 
 MIN_ASSETS = 3
@@ -27,7 +27,7 @@ def expanding_mean(df: DataFrame, realised_after: int, train: Column, out: str =
     own and later targets are in that mean, takes zero.  Action: rows with their own mean are a
     stage table, made in the exchange of the asset's other windows.
     """
-    w = W.partitionBy("country", "asset").orderBy("session_id").rangeBetween(W.unboundedPreceding, -realised_after)
+    w = by_asset().rangeBetween(W.unboundedPreceding, -realised_after)
     d = materialise(df.withColumn(out, F.avg("target").over(w)))
     overall = d.where(train).agg(F.avg("target")).scalar()
     return d.withColumn(out, F.coalesce(F.col(out), F.when(~train, overall), F.lit(0.0)))

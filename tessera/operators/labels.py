@@ -6,17 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import by_asset, safe_div
+from tessera.functions.expr import by_asset, growth, safe_div
 from tessera.operators.calendar import date_ahead
 
 
-def _ahead(c: str, first: int, last: int, w) -> Column:
-    """Compounded growth over the asset's rows ``first..last`` ahead, null if any is unknown."""
-    frame = w.rowsBetween(first, last)
-    n = last - first + 1
-    return F.when(F.count(c).over(frame) == n, F.product(1 + F.col(c)).over(frame))
-
-
 def forward_excess(panel: DataFrame, first: int = 1, last: int = 5) -> DataFrame:
     """Excess growth over exactly the next sessions, in decimals and basis points.
 
@@ -25,8 +18,8 @@ def forward_excess(panel: DataFrame, first: int = 1, last: int = 5) -> DataFrame
     """
     w = by_asset()
     exact = F.lead("session_id", last).over(w) == F.col("session_id") + last
-    p = panel.select("*", exact.alias("_x"), _ahead("ret", first, last, w).alias("_g"),
-                     _ahead("rf_daily", first, last, w).alias("_f"))
+    p = panel.select("*", exact.alias("_x"), growth("ret", first, last, w).alias("_g"),
+                     growth("rf_daily", first, last, w).alias("_f"))
     return (
         p.withColumn("forward_raw", F.when(F.col("_x"), F.col("_g") - 1))
         .withColumn("forward_excess", F.when(F.col("_x"), F.col("_g") - F.col("_f")))

@@ -51,7 +51,7 @@ def positions(weights: DataFrame, returns: DataFrame, calendar: DataFrame) -> Da
                 F.explode(F.sequence(F.col("execution_session") + 1, F.col("until"))).alias("session_id"))
     )
     r = returns.select("country", "asset", "session_id", "ret")
-    w = W.partitionBy(*book, "execution_session", "asset").orderBy("session_id")
+    w = W.partitionBy("asset", "execution_session", *book).orderBy("session_id")
     growth = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w.rowsBetween(W.unboundedPreceding, 0))
     return held.join(r, ["country", "asset", "session_id"], "left").select(
         "*", (F.col("target_weight") * growth).alias("value"), F.col("ret").isNull().alias("missing"))

@@ -80,7 +80,7 @@ def last_quote_before(signals: DataFrame, quotes: DataFrame) -> DataFrame:
     q = quotes.where(F.col("spread_bps").isNotNull()).select(*keys, F.lit(1).alias("kind"), "spread_bps")
     q = q.join(signals.select("country", "asset").distinct(), ["country", "asset"], "left_semi")
     s = signals.select(*keys).distinct().select(*keys, F.lit(0).alias("kind"), F.lit(None).cast("double").alias("spread_bps"))
-    w = W.partitionBy("country", "asset").orderBy("session_id", "kind").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("asset", "country").orderBy("session_id", "kind").rowsBetween(W.unboundedPreceding, -1)
     merged = q.unionByName(s).withColumn("own_bps", F.last("spread_bps", ignorenulls=True).over(w))
     return merged.where("kind = 0").select(*keys, "own_bps")
 

@@ -8,9 +8,9 @@ multiplied by the sequence length.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.expr import by_asset
 from tessera.functions.ranking import exact_quantiles
 
 # Clip of scaled features, smallest usable spread.
@@ -27,7 +27,7 @@ def assemble(signals: DataFrame, panel: DataFrame, measures: list[str], length:
     cell = F.struct(*measures)
     p = panel.select(*keys, F.struct(F.col("session_id").alias("k"), cell.alias("v")).alias("c"), F.lit(False).alias("sig"))
     s = signals.select(*keys).distinct().select(*keys, F.lit(None).cast(p.schema["c"].dataType).alias("c"), F.lit(True).alias("sig"))
-    w = W.partitionBy("country", "asset").orderBy("session_id").rangeBetween(-length + 1, 0)
+    w = by_asset().rangeBetween(-length + 1, 0)
     run = p.unionByName(s).withColumn("run", F.collect_list("c").over(w)).where("sig")
     known = F.map_from_entries("run")
     steps = F.sequence(F.lit(0), F.lit(length - 1))
@@ -85,7 +85,7 @@ def flatten(assembled: DataFrame, measures: list[str], fill: float = 0.0) -> Dat
 
 def window_counts(rows: DataFrame, fit: Column, length: int) -> DataFrame:
     """How many fitted windows of ``length`` sessions contain each row of the asset."""
-    w = W.partitionBy("country", "asset").orderBy("session_id").rangeBetween(0, length - 1)
+    w = by_asset().rangeBetween(0, length - 1)
     return rows.withColumn("freq", F.count_if(fit).over(w))
 
 

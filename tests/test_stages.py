@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import expr
 from tessera.operators import ensemble, evaluate, forecast, universe
 from tessera.plans import catalog, views
 from tessera.plans.catalog import ensembles, forecasts, portfolios, risks, sequences
@@ -88,6 +89,55 @@ def test_candidates_of_any_number_of_seeds(spark):
     assert sorted(c.select("asset", "median_rank", "target", "split").collect()) == sorted(want.collect())
 
 
+def test_common_scores_are_the_common_universe(spark):
+    want = ensemble.common_universe(ensembles._scores(spark, SF), len(ensembles.SEEDS))
+    got = ensembles.common(spark, SF)
+    assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["n05_seed_weights", "n06_candidate_choice", "n09_country_slope", "n10_pooled_slope"])
+def test_validation_results_rank_validation_dates_only(spark, monkeypatch, name):
+    """Ranks are of one date, so what is read of the validation dates needs no other."""
+    seen, rank = set(), ensemble.rank_normal
+    monkeypatch.setattr(ensemble, "rank_normal", lambda d, keys: seen.update(r.split for r in d.select("split").distinct().collect()) or rank(d, keys))
+    catalog.QUERIES[name](spark, SF)
+    assert seen == {"validation"}
+
+
+def test_agreement_of_common_scores_ranks_each_seed_once(spark):
+    rows = [("a", d, i, s, float((i * 7 + s * 5 + d * i) % 5)) for d in range(3) for i in range(2 + 9 * d) for s in (7, 19, 42)]
+    s = spark.createDataFrame(rows, "country string, date int, asset int, seed int, score double")
+    once, each = ensemble.seed_agreement(s, common=True), ensemble.seed_agreement(s)
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Window [sum") < each._jdf.queryExecution().optimizedPlan().toString().count("Window [sum")
+    same = lambda d: sorted(tuple(r) for r in d.withColumn("rank_corr", F.round("rank_corr", 9)).select(*each.columns).collect())
+    assert same(once) == same(each)
+
+
+def test_measures_make_no_label_dates(spark, monkeypatch):
+    plan = _columns_read(monkeypatch, spark, forecast, lambda spark, sf: forecasts.metrics(spark, sf, ()))
+    assert "lead(session_id" in plan and "lead(date" not in plan
+
+
+@pytest.mark.parametrize("make", [lambda s: views.panel(s, SF, "sup"), lambda s: forecasts.base(s, SF, history=False)])
+def test_asset_windows_sort_by_asset_first(spark, make):
+    """Country is text that few values share out, so a sort that starts with it compares whole rows."""
+    plan = make(spark)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    sorts = [line for line in plan.splitlines() if "Sort [" in line and "session_id" in line and "asset" in line]
+    assert sorts and all("Sort [asset" in line for line in sorts)
+
+
+@pytest.mark.parametrize("first, last", [(1, 5), (-2, 0), (0, 0), (-3, 1)])
+def test_short_growth_folds_no_frame_and_equals_one(spark, monkeypatch, first, last):
+    values = [0.5, -0.25, None, 0.1, 0.2, 0.3, -1.0, 0.7, 0.01, 0.02, 0.03, float("nan"), 0.4]
+    rows = [(a, "c", i, x) for a in (1, 2) for i, x in enumerate(values[a - 1:])]
+    d = spark.createDataFrame(rows, "asset int, country string, session_id int, x double")
+    short = d.select("asset", "session_id", expr.growth("x", first, last, expr.by_asset()).alias("g"))
+    monkeypatch.setattr(expr, "SHORT", 0)
+    long = d.select("asset", "session_id", expr.growth("x", first, last, expr.by_asset()).alias("g"))
+    assert "product" not in short._jdf.queryExecution().toString() and "product" in long._jdf.queryExecution().toString()
+    assert sorted(map(str, short.collect())) == sorted(map(str, long.collect()))
+
+
 def test_common_universe_counts_distinct_seeds(spark):
     rows = [("a", 1, 1, 7), ("a", 1, 1, 19), ("a", 1, 2, 7), ("a", 1, 2, 7), ("a", 2, 1, 19)]
     s = spark.createDataFrame(rows, "country string, date int, asset int, seed int")
