@@ -30,7 +30,7 @@ def rank_normal(scores: DataFrame, keys: list[str], value: str = "score", out: s
 
 def common_universe(scores: DataFrame, seeds: int) -> DataFrame:
     """Assets scored by every seed on the date; a window of an asset's few scores, so rows are exchanged once."""
-    n = F.size(F.collect_set("seed").over(W.partitionBy(*CROSS, "asset")))
+    n = F.size(F.collect_set("seed").over(W.partitionBy("asset", *CROSS)))
     return scores.withColumn("_s", n).where(F.col("_s") == seeds).drop("_s")
 
 
@@ -97,12 +97,16 @@ def choose(candidate_metrics: DataFrame, base: str, margin: float = 0.005, max_w
     return m.withColumn("selected", chosen).drop("_r", "_any")
 
 
-def seed_agreement(scores: DataFrame) -> DataFrame:
+def seed_agreement(scores: DataFrame, common: bool = False) -> DataFrame:
     """Rank correlation of every two seeds per date over the assets both cover.
 
     Seeds are few and fixed by the run, so an asset's seeds form a small map and
-    pairs of seeds are expanded per asset, never pairs of assets.
+    pairs of seeds are expanded per asset, never pairs of assets.  ``common`` scores are known for
+    every asset and seed, so a seed has the same ranks in all its pairs and they are made once.
     """
+    if common:
+        r = rk.ordinal(scores, [*CROSS, "seed"], ["score", "asset"], "_p", rank="_rank")
+        scores = r.select(*CROSS, "asset", "seed", F.col("_rank").alias("score"))
     per_asset = scores.groupBy(*CROSS, "asset").agg(
         F.sort_array(F.collect_list(F.struct("seed", "score"))).alias("s"))
     pair = F.flatten(F.transform("s", lambda a: F.transform(
@@ -111,8 +115,11 @@ def seed_agreement(scores: DataFrame) -> DataFrame:
     long = per_asset.select(*CROSS, "asset", F.inline(pair))
     keys = [*CROSS, "seed_left", "seed_right"]
     long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    r = rk.ordinal(long, keys, ["x", "asset"], "_x", rank="rx")
-    r = rk.ordinal(r, keys, ["y", "asset"], "_y", rank="ry", source=long)
+    if common:
+        r = long.withColumnsRenamed({"x": "rx", "y": "ry"})
+    else:
+        r = rk.ordinal(long, keys, ["x", "asset"], "_x", rank="rx")
+        r = rk.ordinal(r, keys, ["y", "asset"], "_y", rank="ry", source=long)
     return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_assets"),
         F.when(F.count(F.lit(1)) >= 3, moment_corr("rx", "ry")).alias("rank_corr"))
