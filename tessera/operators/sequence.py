@@ -2,16 +2,21 @@
 
 Signals are merged into the asset's own ordered run, so one range window yields
 the trailing slice of every signal: the panel is shuffled once and never
-multiplied by the sequence length.
+multiplied by the sequence length.  ``window_features`` makes the arrays that models
+read in the tasks that hold an asset's rows, so they are neither shuffled nor stored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import by_asset
 from tessera.functions.ranking import exact_quantiles
+from tessera.session import ship_package
 
 # Clip of scaled features, smallest usable spread.
 CLIP = 10.0
@@ -83,6 +88,86 @@ def flatten(assembled: DataFrame, measures: list[str], fill: float = 0.0) -> Dat
     return assembled.select("country", "asset", "session_id", array_to_vector(flat_cells(measures, fill)).alias("features"))
 
 
+def _cells(batches, measures: list[str], length: int, scale: tuple | None = None):
+    """Each batch with its wanted rows and their cells (row, step, measure), NaN where the asset has no value.
+
+    Rows come by asset and session; the last ``length - 1`` of a batch are kept for the next one.
+    """
+    run, session, x = np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty((0, len(measures)))
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = [b.column(c) for c in ("asset", "country")]
+        other = np.zeros(b.num_rows, dtype=bool)
+        for c in names:
+            other[1:] |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        other[0] = before != [c[0] for c in names]
+        before = [c[-1] for c in names]
+        run = np.concatenate([run, (run[-1] if len(run) else 0) + np.cumsum(other)])
+        session = np.concatenate([session, b.column("session_id").to_numpy(zero_copy_only=False)])
+        new = np.column_stack([b.column(m).to_numpy(zero_copy_only=False) for m in measures])
+        if scale:
+            centre, spread, clip = scale
+            new = np.clip((np.where(np.isnan(new), centre, new) - centre) / spread, -clip, clip)
+        x = np.concatenate([x, new])
+        rows = np.flatnonzero(b.column("_wanted").to_numpy(zero_copy_only=False))
+        own = rows + len(x) - b.num_rows
+        cells = np.full((len(rows), length, len(measures)), np.nan)
+        for back in range(min(length, len(x))):
+            at = np.maximum(own - back, 0)
+            step = length - 1 - (session[own] - session[at])
+            held = np.flatnonzero((own >= back) & (run[at] == run[own]) & (step >= 0))
+            cells[held, step[held]] = x[at[held]]
+        yield b, rows, cells
+        kept = slice(max(0, len(x) - length + 1), None)
+        run, session, x = run[kept], session[kept], x[kept]
+
+
+def _flat(cells: np.ndarray) -> np.ndarray:
+    return cells.reshape(len(cells), -1)
+
+
+def _summary(cells: np.ndarray) -> np.ndarray:
+    """Per measure the last value and the mean, population deviation, minimum and maximum of its values."""
+    has = ~np.isnan(cells)
+    n = np.maximum(has.sum(axis=1), 1)
+    mean = np.where(has, cells, 0.0).sum(axis=1) / n
+    spread = np.sqrt((np.where(has, cells - mean[:, None], 0.0) ** 2).sum(axis=1) / n)
+    low, high = np.where(has, cells, np.inf).min(axis=1), np.where(has, cells, -np.inf).max(axis=1)
+    parts = np.stack([cells[:, -1], mean, spread, low, high], axis=2)
+    parts[~has.any(axis=1)] = np.nan
+    return parts.reshape(len(cells), -1)
+
+
+def window_features(panel: DataFrame, measures: list[str], length: int, wanted: str, keep: list[str], summaries: bool = False,
+                    stats: DataFrame | None = None, clip: float = CLIP, fill: float = 0.0) -> DataFrame:
+    """``keep`` and ``features`` of the rows that meet the condition ``wanted``: their last ``length`` sessions as ``flatten`` has them, or the ``summaries`` of ``summarise`` by measure.
+
+    Every row of the panel can be part of a window.  With ``stats``, the row of ``robust_fit``, measures are scaled as
+    ``robust_apply`` does.  Nulls and NaN are no values; what still has none takes ``fill``.
+    """
+    ship_package(panel.sparkSession)
+    keys = ["asset", "country", "session_id"]
+    held = panel.select(*dict.fromkeys([*keys, *keep, *measures]), F.coalesce(F.expr(wanted), F.lit(False)).alias("_wanted"))
+    schema = panel.select(*keep).withColumn("features", F.array(F.lit(0.0))).schema
+    shape = _summary if summaries else _flat
+    fixed = None if stats is None else stats.select(*[f"{m}_{k}" for k in ("median", "iqr") for m in measures]).first()
+    scale = None if fixed is None else (*np.array(fixed, dtype=float).reshape(2, -1), clip)
+
+    def run(batches):
+        for b, rows, cells in _cells(batches, measures, length, scale):
+            if not len(rows):
+                continue
+            x = shape(cells)
+            x = np.where(np.isnan(x), fill, x)
+            ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(pa.array(rows)) for c in keep], pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], [*keep, "features"])
+
+    return held.repartition(*keys[:2]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def window_counts(rows: DataFrame, fit: Column, length: int) -> DataFrame:
     """How many fitted windows of ``length`` sessions contain each row of the asset."""
     w = by_asset().rangeBetween(0, length - 1)

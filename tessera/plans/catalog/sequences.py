@@ -130,59 +130,51 @@ def f25(spark, sf):
 RETURNS, VOLS = (3, 5, 8), (3, 5, 8)
 CELLS = ["ret", *(f"return_{n}" for n in RETURNS), *(f"vol_{n}" for n in VOLS), "log_volume", "log_dollar_volume", "log_price",
          "high_low_proxy", "amihud", "day_of_week", "is_month_end", "is_quarter_end"]
-SCALED = [f"{m}_scaled" for m in CELLS]
 WIDTH = L * len(CELLS)
-SUMMARY = [f"{m}_{k}" for m in SCALED for k in ("last", "mean", "std", "min", "max")]
+KEEP = ["country", "asset", "session_id", "date", "split", "target", "label_end_date"]
+FITTED, LATER = "model_eligible AND split = 'train'", "model_eligible AND split <> 'train'"
 
 
-def _training(spark, sf, summaries=False):
-    """Eligible signals after the purge with their flat sequence, or with its ``summaries`` instead; neither model reads both.
-
-    Cells are scaled with the median and range of the training windows; a missing
-    value or session is the median, so zero.
-    """
+def _training(spark, sf):
+    """Purged rows with their cells, and the median and range of the cells of the training windows."""
     p = features.model_features(purged(spark, sf), RETURNS, VOLS, 8)
-    p = materialise(p.select("country", "asset", "session_id", "date", "split", "target", "label_end_date", "model_eligible", *[F.col(c).cast("double").alias(c) for c in CELLS]))
-    keys = ["country", "asset", "session_id"]
-    fitted = (F.col("split") == "train") & F.col("model_eligible")
-    stats = materialise(sequence.robust_fit(sequence.window_counts(p, fitted, L), CELLS, "freq"))
-    rows = p.where("model_eligible").select(*keys, "date", "split", "target", "label_end_date")
-    a = sequence.assemble(rows.select(*keys), sequence.robust_apply(p, stats, CELLS), SCALED, L)
-    cells = sequence.summarise(a, SCALED) if summaries else a.select(*keys, sequence.flat_cells(SCALED).alias("features"))
-    return materialise(rows.join(cells, keys))
-
+    # counted in the exchange of the asset's other windows
+    p = sequence.window_counts(p, F.expr(FITTED), L)
+    p = materialise(p.select(*KEEP, "model_eligible", "freq", *[F.col(c).cast("double").alias(c) for c in CELLS]))
+    return p, materialise(sequence.robust_fit(p, CELLS, "freq"))
 
-def _vectors(rows, columns=None):
-    from pyspark.ml.functions import array_to_vector
 
-    cells = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]) if columns else F.col("features")
-    return rows.withColumn("features", array_to_vector(cells))
+def _windows(panel, stats, wanted, summaries=False):
+    """Scaled flat sequences of the ``wanted`` signals, or their ``summaries``; a missing value or session is the median, so zero."""
+    return sequence.window_features(panel, CELLS, L, wanted, KEEP, summaries, stats)
 
 
 @query("m03_ridge", "country asset:i date:d prediction:f4 target:f4")
 def m03(spark, sf):
-    r = _vectors(_training(spark, sf))
-    return models.ridge(r.where("split = 'train'"), r.where("split <> 'train'"))
+    p, stats = _training(spark, sf)
+    return models.ridge(_windows(p, stats, f"{FITTED} AND target IS NOT NULL"), _windows(p, stats, LATER), width=WIDTH)
 
 
 @query("m04_boosted_trees", "country asset:i date:d prediction:f4 target:f4")
 def m04(spark, sf):
-    r = _vectors(_training(spark, sf, summaries=True), SUMMARY)
-    return models.boosted_trees(r.where("split = 'train'"), r.where("split <> 'train'"))
+    p, stats = _training(spark, sf)
+    return models.boosted_trees(_windows(p, stats, f"{FITTED} AND target IS NOT NULL", True), _windows(p, stats, LATER, True))
 
 
 def _walk(spark, sf):
-    r = _training(spark, sf)
-    o = forecast.quarter_origins(r.where("split <> 'train'").select("country", "date").distinct())
-    return r, models.walk_forward(r, o, WIDTH)
+    p, stats = _training(spark, sf)
+    o = forecast.quarter_origins(p.where(LATER).select("country", "date").distinct())
+    known = _windows(p, stats, "model_eligible AND target IS NOT NULL AND label_end_date IS NOT NULL")
+    return p, stats, models.walk_forward(known, o, WIDTH)
 
 
 @query("m05_walk_forward_fits", "country origin:d rows_used:i intercept:f4")
 def m05(spark, sf):
-    return _walk(spark, sf)[1]
+    return _walk(spark, sf)[-1]
 
 
 @query("m05_walk_forward_forecasts", "country asset:i date:d training_cutoff:d prediction:f4 target:f4")
 def m05_predict(spark, sf):
-    r, fits = _walk(spark, sf)
-    return models.predict_walk_forward(r, materialise(fits))
+    """Origins lie outside the training span, so no row inside has a fit."""
+    p, stats, fits = _walk(spark, sf)
+    return models.predict_walk_forward(_windows(p, stats, LATER), materialise(fits))

@@ -410,3 +410,53 @@ def test_keep_last_is_total(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("a", 2, 7.0), ("b", 1, None)], "k string, t int, v double")
     got = {r.k: r.v for r in clean.keep_last(df, ["k"], ["t"]).collect()}
     assert got == {"a": 7.0, "b": None}
+
+
+@pytest.mark.parametrize("per_batch", [3, 10_000])
+def test_window_features_equal_the_assembled_sequences(spark, per_batch):
+    """Gaps, nulls and assets that go on in the next batch; the same slots as ``assemble`` and the same numbers as ``summarise``."""
+    from tessera.operators import sequence
+
+    rng = np.random.default_rng(12)
+    rows = [("XY"[a % 2], a, s, float(rng.normal()), None if rng.random() < 0.2 else float(rng.normal()), bool(rng.random() < 0.7))
+            for a in range(9) for s in range(14) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "country string, asset bigint, session_id bigint, u double, v double, ok boolean").repartition(3)
+    keys, names = ["country", "asset", "session_id"], ["u_scaled", "v_scaled"]
+    stats = sequence.robust_fit(df, ["u", "v"])
+    a = sequence.assemble(df.where("ok").select(*keys), sequence.robust_apply(df, stats, ["u", "v"]), names, 4)
+    parts = ("last", "mean", "std", "min", "max")
+    wide = sequence.summarise(a, names).select(*keys, F.array(*[f"{m}_{k}" for m in names for k in parts]).alias("features"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    try:
+        for want, summaries in ((a.select(*keys, sequence.flat_cells(names).alias("features")), False), (wide, True)):
+            got = sequence.window_features(df, ["u", "v"], 4, "ok", keys, summaries, stats).collect()
+            want = {tuple(r[:3]): r.features for r in want.collect()}
+            assert len(got) == len(want) == sum(r[5] for r in rows)
+            assert all(np.allclose(r.features, want[tuple(r[:3])], atol=1e-12) for r in got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ridge_with_a_constant_measure_equals_closed_form(spark):
+    """A constant column makes the cross products singular; the penalty does not."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=(60, 2)), np.zeros(60)])
+    x = np.column_stack([x, x[:, 0] + 1e-3 * x[:, 1]])
+    y = 300 * x[:, 0] - 200 * x[:, 1] + rng.normal(size=60) * 1000
+    df = spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y)], "target double, features array<double>")
+    xc = x - x.mean(0)
+    want = xc @ np.linalg.solve(xc.T @ xc + 10 * np.eye(4), xc.T @ (y - y.mean())) + y.mean()
+    got = {r.target: r.prediction for r in models.ridge(df, df).collect()}
+    assert np.allclose([got[b] for b in y], want, rtol=1e-9)
+
+
+def test_boosted_trees_learn_from_arrays_in_few_partitions(spark, monkeypatch):
+    """The rows of a job lie in as many partitions as there are cores, or a multiple; each one costs every level of every tree."""
+    held = []
+    monkeypatch.setattr(models, "materialise", lambda df: held.append(df.cache()) or held[0])
+    rows = [(float(10 * (k % 4 > 1)), [float(k % 4), float(k % 7)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "target double, features array<double>").repartition(40)
+    out = models.boosted_trees(df, df, maxIter=3, stepSize=1.0, subsamplingRate=1.0, featureSubsetStrategy="all").collect()
+    assert all(r.prediction == pytest.approx(r.target, abs=1e-6) for r in out) and len(out) == 400
+    assert models._few(held[0], 400, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert models._few(held[0], 400, 20).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
