@@ -22,10 +22,14 @@ def tiles(df: DataFrame, keys: list[str], member: str, fields: list[str], size:
     return spread.groupBy(*keys, F.col("_tile").alias("tile")).agg(F.collect_list(F.struct(*fields)).alias("members"), F.first("_tiles").alias("tiles"))
 
 
-def blocks(df: DataFrame, keys: list[str], member: str, fields: list[str], size: int = SIZE) -> DataFrame:
-    """One row per (keys, i, j), i <= j, with the members of both tiles as ``left`` and ``right`` (the same where i = j)."""
+def blocks(df: DataFrame, keys: list[str], member: str, fields: list[str], size: int = SIZE, parts: int | None = None) -> DataFrame:
+    """One row per (keys, i, j), i <= j, with the members of both tiles as ``left`` and ``right`` (the same where i = j).
+
+    Blocks are small for the work in them, so by their bytes few tasks would get them all; ``parts`` deals them to that many.
+    """
     t = tiles(df, keys, member, fields, size)
     dealt = t.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles").cast("bigint") - 1)))
     dealt = dealt.select(*keys, F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "members")
+    dealt = dealt.repartition(parts, *keys, "i", "j") if parts else dealt
     side = lambda c: F.first(F.when(F.col("tile") == F.col(c), F.col("members")), ignorenulls=True)
     return dealt.groupBy(*keys, "i", "j").agg(side("i").alias("left"), side("j").alias("right"))

@@ -460,3 +460,29 @@ def test_boosted_trees_learn_from_arrays_in_few_partitions(spark, monkeypatch):
     assert all(r.prediction == pytest.approx(r.target, abs=1e-6) for r in out) and len(out) == 400
     assert models._few(held[0], 400, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert models._few(held[0], 400, 20).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_hybrid_loss_folds_only_pairs_that_decide(spark, monkeypatch):
+    """Equal predictions and a pair that overflows need no fold; the rest equals every pair, ties and infinite predictions too."""
+    folded = []
+    whole = forecast._pair_losses
+    monkeypatch.setattr(forecast, "_pair_losses", lambda rows, group, size: folded.append({r.model for r in rows.collect()}) or whole(rows, group, size))
+    rng = np.random.default_rng(4)
+    cases = {"even": np.full(24, 0.5), "plain": rng.normal(size=24) * 9, "far": rng.normal(size=24) * 900, "odd": rng.normal(size=24), "low": rng.normal(size=24)}
+    cases["odd"][3], cases["low"][5] = np.nan, -np.inf
+    target = np.round(rng.normal(size=24), 1) * 100
+    target[:2] = 1000, -1000
+    cases["far"][:2] = -900, 900
+    pdf = pd.concat([pd.DataFrame({"model": m, "country": "X", "date": np.repeat([day(0), day(1)], 12), "asset": list(range(12)) * 2,
+                                   "prediction": p, "target": target}) for m, p in cases.items()])
+    df = spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], "model string, country string, date date, asset bigint, prediction double, target double")
+    got = {r.model: r for r in forecast.hybrid_loss(df, ["model"], size=5).collect()}
+    assert folded == [{"plain", "odd", "low"}]
+    with np.errstate(over="ignore"):
+        for m, p in cases.items():
+            losses, pairs = [], 0
+            for k in (slice(0, 12), slice(12, 24)):
+                every = [np.log1p(np.exp(b - a)) for a, y in zip(p[k], target[k]) for b, z in zip(p[k], target[k]) if y > z]
+                losses.append(np.mean(every))
+                pairs += len(every)
+            assert got[m].n_pairs == pairs and got[m].rank_loss == pytest.approx(np.mean(losses), nan_ok=True)
