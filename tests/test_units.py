@@ -486,3 +486,28 @@ def test_hybrid_loss_folds_only_pairs_that_decide(spark, monkeypatch):
                 losses.append(np.mean(every))
                 pairs += len(every)
             assert got[m].n_pairs == pairs and got[m].rank_loss == pytest.approx(np.mean(losses), nan_ok=True)
+
+
+def test_manifest_streams_files_of_any_bytes(spark, tmp_path):
+    """Line ends anywhere, a byte order mark, one line, odd names and packed files; parts of a few hundred bytes, each file also as one value."""
+    import gzip
+    import hashlib
+
+    from tessera.sources import inventory
+
+    rng = np.random.default_rng(8)
+    noise = rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes()
+    files = {"noise.bin": noise, "sub/ended.bin": noise[:50_000] + b"\n", "sub/lines.txt": b"\n" * 5_000, "mark [1] 50%.txt": b"\xef\xbb\xbf" + noise[:40_000],
+             "mark ended.txt": b"\xef\xbb\xbfab\r\n" * 900, "one line.txt": b"x" * 30_000, "packed.gz": gzip.compress(noise), "small.txt": b"ab\n",
+             "zeros": bytes(20_000) + b"\n\n", "two+marks.txt": b"\xef\xbb\xbf" * 2 + b"\n" * 300}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    want = {(name, len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert {tuple(r) for r in inventory.file_manifest(spark, str(tmp_path), whole_bytes=100).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert {tuple(r) for r in inventory.file_manifest(spark, f"file://{tmp_path}").collect()} == want
